@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import text_of
+from larkfield.llm.common import text_of, written
 
 #: Parts a text may be dealt to; bounds the share of a hot text that one task sees to 1 / SALTS.
 SALTS = 64
 
 
 def normalised(text):
-    return F.translate(text, " \t\n\x0b\x0c\r", "")
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"[\t-\r]+", "")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,6 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
     runs = norm.repartitionByRange(F.col("norm"), F.col("salt")).sortWithinPartitions("norm", "salt").groupBy("norm", "salt").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
     groups = runs.select(F.sha2("norm", 256).alias("sha"), "best", "n").groupBy("sha").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    groups = written(groups, "groups")  # apart from its aggregate, the join below can be split where one text is hot
     ids = rows.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     return ids.join(groups, ids.text_sha256 == groups.sha).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256")
 
