@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import written
-from larkfield.llm.graph import components
+from larkfield.llm.graph import Links, components
 
 THRESHOLD = 0.95
 #: Rows sampled for the splitters; vectors a block holds about; blocks at most; rows of a tile; dimensions of the boxes.
@@ -86,28 +86,6 @@ def far_apart(low_a, high_a, low_b, high_b, threshold: float) -> np.ndarray:
     return (gap * gap).sum(-1) > 2 - 2 * threshold + 1e-9
 
 
-class Links:
-    """Union-find over the rows of a cell, and their link counts."""
-
-    def __init__(self, n: int):
-        self.parent, self.count = np.arange(n), np.zeros(n, dtype=np.int64)
-
-    def join(self, u: np.ndarray, v: np.ndarray) -> None:
-        p = self.parent
-        while True:
-            a, b = p[u], p[v]
-            differ = a != b
-            if not differ.any():
-                return
-            u, v, a, b = u[differ], v[differ], a[differ], b[differ]
-            np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                q = p[p]
-                if (q == p).all():
-                    break
-                p[:] = q
-
-
 def compare(x: np.ndarray, side: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(weight of linked rows, least row linked) for rows x of one block (side all equal) or of two, across them only. Rows are unit vectors, rotated."""
     n, dim = x.shape

@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star steps over DataFrames."""
+"""Connected components: by alternating large-star and small-star steps over DataFrames, and by union-find inside one block."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,25 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Links:
+    """Union-find over the rows of one block, and their link counts."""
+
+    def __init__(self, n: int):
+        self.parent, self.count = np.arange(n), np.zeros(n, dtype=np.int64)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        p = self.parent
+        while True:
+            a, b = p[u], p[v]
+            differ = a != b
+            if not differ.any():
+                return
+            u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+            np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                q = p[p]
+                if (q == p).all():
+                    break
+                p[:] = q

@@ -5,10 +5,11 @@ level from its own hash, its points placed by further hash bits and thinned to t
 where their weights overlap, so the first point of each register agrees with the probability of the weighted Jaccard similarity.
 All first arrivals of a step are drawn at once, and only those early enough to be some register's first go on.
 
-Equal multisets form a class first, by digest. Representatives that share a band meet in two rounds: each with its bucket's least member,
-then, across the components that gives, each member outside a bucket's largest component with the members of other components. So every
-candidate pair is either verified or already joined, yet a bucket of n near copies costs n pairs. Verified links (multiset overlap
->= threshold) give components.
+Equal multisets form a class first, by digest. Representatives that share a band meet in turns: each with its bucket's least member, then
+those outside their bucket's largest component with a member of it, and last, in buckets that still hold several components, every pair
+across them: by a join in buckets of up to SMALL, else in blocks of bounded size that count common shingles by matrix products. So each candidate
+pair is either verified or already joined, yet a bucket of n near copies costs a few n rows. Verified links (multiset overlap >=
+threshold) give components.
 
 Cases: null and empty texts and texts without a word link with nothing; one to four words are one shingle; texts are never cut; rows of a
 null doc_id link with nothing; rows that repeat a doc_id must repeat its text; ties go to the smallest doc_id; extra columns are not read.
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import mix64, steps, text_of, written
-from larkfield.llm.graph import components
+from larkfield.llm.graph import Links, components
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 6
 #: Words a worker remembers before it starts anew; bounds its memory, not its results.
 CACHE_WORDS = 400_000
+#: Members of a bucket whose remaining pairs are joined one by one; outsiders and members of a block in larger ones; shingles a matrix product counts at once.
+SMALL, BLOCK_FEW, BLOCK_MANY, COLUMNS = 32, 128, 512, 4096
 _ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,18 +100,20 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
                 seed = mix64(item[on] + np.uint64(level + 1) * np.uint64(0xD1B54A32D192ED03))
             d, w, t, k = doc[on], weight[on], np.zeros(int(on.sum())), 0
             while len(seed):
-                k += 1
+                # the next arrivals of each process: one where there are many processes, a run of them where few are left
+                more = min(256, max(1, 100_000 // len(seed)))
                 with np.errstate(over="ignore"):
-                    h = mix64(seed + np.uint64(k) * _GOLDEN)
-                t = t - np.log(((h >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / (m * size)
-                early = t < bound[d]
-                seed, d, w, t, h = seed[early], d[early], w[early], t[early], h[early]
-                p = mix64(h ^ np.uint64(0xA0761D6478BD642F))
-                y = low + ((p >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-                hit = y < w
-                cells.append((d * m + (p & np.uint64(0xFFFFFFFF)).astype(np.int64) % m)[hit])
-                times.append(t[hit])
+                    h = mix64(seed[:, None] + np.arange(k + 1, k + 1 + more, dtype=np.uint64) * _GOLDEN)
+                arrive = t[:, None] + np.cumsum(-np.log(((h >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53), 1) / (m * size)
+                early = arrive < bound[d][:, None]
+                row = np.nonzero(early)[0]
+                p = mix64(h[early] ^ np.uint64(0xA0761D6478BD642F))
+                hit = low + ((p >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64) < w[row]
+                cells.append((d[row] * m + (p & np.uint64(0xFFFFFFFF)).astype(np.int64) % m)[hit])
+                times.append(arrive[early][hit])
                 points.append(p[hit])
+                on = early[:, -1]
+                seed, d, w, t, k = seed[on], d[on], w[on], arrive[on, -1], k + more
             low, size, level = low + size, low + size, level + 1
         cell, time, point = np.concatenate(cells), np.concatenate(times), np.concatenate(points)
         late = np.argsort(-time, kind="stable")  # written last, the earliest point of a register stays
@@ -168,6 +173,75 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
+def _parted(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component by `links`; and the buckets of several components: n members, n_few outside the largest (big), a member of it (pick)."""
+    comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rep")
+    placed = written(shared.select("bucket", "rep").join(comps, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("pick"))
+    parted = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp", "pick")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    return placed, written(parted.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("n_few"), F.col("most.comp").alias("big"), F.col("most.pick.rep").alias("pick")), "parted")
+
+
+def in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all members of a bucket that are linked across components.
+
+    Outsiders and members of a bucket are dealt to blocks of about BLOCK_FEW x BLOCK_MANY; a block takes the pairs whose first common band is its
+    bucket's, counts their common shingles and returns a spanning forest of the links: as many rows as it has members at most.
+    """
+    ways = mixed.withColumn("few_chunks", F.ceil(F.col("n_few") / BLOCK_FEW).cast("int")).withColumn("many_chunks", F.ceil(F.col("n") / BLOCK_MANY).cast("int"))
+    few = ways.where("comp <> big").select("bucket", "rep", "comp", "big", F.lit(True).alias("is_few"), F.pmod(F.xxhash64("rep"), "few_chunks").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("many_chunks") - 1)).alias("y"))
+    many = ways.select("bucket", "rep", "comp", "big", F.lit(False).alias("is_few"), F.explode(F.sequence(F.lit(0), F.col("few_chunks") - 1)).alias("x"), F.pmod(F.xxhash64(F.lit(1), "rep"), "many_chunks").cast("int").alias("y"))
+    rows = few.unionByName(many).join(texts, F.col("rep") == F.col("id")).drop("id")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        a, b = frame[frame["is_few"]].sort_values("rep"), frame[~frame["is_few"]].sort_values("rep")
+        if not len(a) or not len(b):
+            return nothing
+        bucket, big = frame["bucket"].iloc[0], frame["big"].iloc[0]
+        bands_a, bands_b = np.stack(a["bands"].tolist()), np.stack(b["bands"].tolist())
+        ra, rb, ca, cb = (x.to_numpy() for x in (a["rep"], b["rep"], a["comp"], b["comp"]))
+        wanted = (ca[:, None] != cb) & ((cb == big) | (ra[:, None] < rb))
+        for k in range(int(np.flatnonzero(bands_a[0] == bucket)[0])):
+            wanted &= bands_a[:, k][:, None] != bands_b[:, k]
+        if not wanted.any():
+            return nothing
+        shingles = Shingles()
+        units_a, units_b = [_units(shingles.of(t)) for t in a["text"]], [_units(shingles.of(t)) for t in b["text"]]
+        known = np.unique(np.concatenate(units_a))
+        both = np.zeros(wanted.shape, dtype=np.float32)
+        for k in range(0, len(known), COLUMNS):
+            part = known[k : k + COLUMNS]
+            both += _rows(units_a, part) @ _rows(units_b, part).T
+        size_a, size_b = (np.array([len(u) for u in us]) for us in (units_a, units_b))
+        i, j = np.nonzero(wanted & (both >= threshold * (size_a[:, None] + size_b - both) - 1e-6))
+        if not len(i):
+            return nothing
+        nodes, at = np.unique(np.concatenate([ra[i], rb[j]]), return_inverse=True)
+        forest = Links(len(nodes))
+        forest.join(at[: len(i)], at[len(i) :])
+        return pd.DataFrame({"a": nodes, "b": nodes[forest.parent]}).query("a != b")
+
+    return rows.groupBy("bucket", "x", "y").applyInPandas(run, "a bigint, b bigint")
+
+
+def _units(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: an element of weight w is w units, so that the least of two weights is the number of common units."""
+    items, n = bag
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(nth > 0, mix64(np.repeat(items, n) + nth.astype(np.uint64) * _GOLDEN), np.repeat(items, n)))
+
+
+def _rows(units: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(units), len(part)), dtype=np.float32)
+    for r, u in enumerate(units):
+        at = np.searchsorted(part, u)
+        at[at == len(part)] = 0
+        out[r, at[part[at] == u]] = 1
+    return out
+
+
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rep_id (least doc_id of its equal multisets), cluster_id (least doc_id reachable by links), kept, one row per row."""
     sketch = sketches(docs, bands, rows, id_col, text_col)
@@ -181,18 +255,20 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     texts = written(source.join(ids, "id").dropDuplicates(["id"]), "candidates")
     first = written(shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
     links = written(verified(first, texts, threshold), "links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = shared.select("bucket", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    parted = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("most.comp").alias("big"))
+    placed, parted = _parted(shared, links)
+    some = placed.join(parted, "bucket").where("comp <> big").select(F.greatest("rep", "pick").alias("a"), F.least("rep", "pick").alias("b")).distinct()
+    second = written(some.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(verified(second, texts, threshold), "links"))
+    placed, parted = _parted(shared, links)
     mixed = placed.join(parted, "bucket")
     few = mixed.where("comp <> big").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
-    many = mixed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("comp").alias("comp_b"), "big")
-    across = few.join(many, (few.bucket == many.bucket_b) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("big")) | (F.col("a") < F.col("b"))))
-    second = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(written(second, "pairs"), texts, threshold)
-    final = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    many = mixed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("comp").alias("comp_b"), "big", "n")
+    across = (few.bucket == many.bucket_b) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("big")) | (F.col("a") < F.col("b")))
+    pairs = few.join(many.where(F.col("n") <= SMALL), across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    third = written(pairs.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+    large = in_blocks(mixed.where(F.col("n") > SMALL), texts.join(reps.select(F.col("rep").alias("id"), "bands"), "id"), threshold)
+    links = links.unionByName(verified(third, texts, threshold)).unionByName(large)
+    final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class"), "rep", F.coalesce("component", "rep").alias("comp"))
     alone = sketch.where("digest is null or doc_id is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept"))
     rest = known.select("doc_id", "digest").join(classes, F.col("digest") == F.col("class")).select("doc_id", F.col("rep").alias("rep_id"), F.col("comp").alias("cluster_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
