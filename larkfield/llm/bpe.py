@@ -77,7 +77,7 @@ class WordBpe:
         self.last_ids = np.array([self.vocab.get(c + self.suffix, -1) for c in chars], dtype=np.int64)
         self.char_byte = {c: b for b, c in enumerate(chars)}
         letters, numbers = _classes("L"), _classes("N")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+".replace("\\s", r"\t-\r \x85\xa0"))
+        self.words = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^\\s{letters}{numbers}]+".replace("\\s", r"\t-\r \x85\xa0"))
         self.odd = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
         self.forget()
 
@@ -96,17 +96,20 @@ class WordBpe:
         word = np.repeat(np.arange(len(words)), n)
         done_sym, done_word = [], []
         none = len(self.made)
+        rank = np.full(len(sym), none, dtype=np.int64)
+        look = np.arange(len(sym))  # places whose pair is new
         while len(sym):
-            inner = np.append(word[1:] == word[:-1], False)
-            key = np.where(inner, sym * self.size + np.append(sym[1:], 0), -1)
+            look = look[look + 1 < len(sym)]
+            look = look[word[look] == word[look + 1]]
+            key = sym[look] * self.size + sym[look + 1]
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
-            rank = np.where(self.keys[at] == key, self.ranks[at], none)
+            rank[look] = np.where(self.keys[at] == key, self.ranks[at], none)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.append(first, len(sym)))
-            over = np.repeat(best == none, sizes)
-            if over.any():
+            if (best == none).any():
+                over = np.repeat(best == none, sizes)
                 done_sym.append(sym[over])
                 done_word.append(word[over])
                 stay = ~over
@@ -114,22 +117,28 @@ class WordBpe:
                 if not len(sym):
                     break
                 sizes, best = sizes[best < none], best[best < none]
-                first = np.cumsum(sizes) - sizes
-            low = np.repeat(best, sizes)
-            hit = np.flatnonzero(rank == low)
+            hit = np.flatnonzero(rank == np.repeat(best, sizes))
             # left to right, places may not overlap: in a run of adjacent hits every second one counts
-            run = np.append(True, (hit[1:] != hit[:-1] + 1))
-            lead = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            lead = np.maximum.accumulate(np.where(np.append(True, hit[1:] != hit[:-1] + 1), np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - lead) % 2 == 0]
-            alone = ~self.together[low[hit]]
+            low = rank[hit]
+            alone = ~self.together[low]
             if alone.any():  # only the leftmost place of such a word
                 w = word[hit]
                 hit = hit[~alone | np.append(True, w[1:] != w[:-1])]
-            sym = sym.copy()
-            sym[hit] = self.made[low[hit]]
+                low = rank[hit]
+            sym[hit] = self.made[low]
+            rank[hit] = none
+            rank[hit[hit > 0] - 1] = none
             keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            now = hit - np.arange(len(hit))  # a hit's place after the removals before it
+            rank[now] = none
+            near = np.zeros(len(sym), dtype=bool)
+            near[now] = True
+            near[now[now > 0] - 1] = True
+            look = np.flatnonzero(near)
         sym = np.concatenate(done_sym) if done_sym else sym
         word = np.concatenate(done_word) if done_word else word
         order = np.argsort(word, kind="stable")
@@ -173,9 +182,9 @@ class WordBpe:
                 elif part:
                     words += self._pretokens(part)
             per_text[k] = len(words) - before
-        if new := [w for w in set(words) if w not in index]:
+        if new := set(words).difference(index):
             special = [w for w in new if w[0] == SPECIAL]
-            if rest := sorted(w for w in new if w[0] != SPECIAL):
+            if rest := sorted(new.difference(special)):
                 self._learn(rest)
             for w in special:
                 if self.used == len(self.flat):
