@@ -19,6 +19,8 @@ from larkfield.llm.common import text_of, written
 
 #: Parts a text may be dealt to; bounds the share of a hot text that one task sees to 1 / SALTS.
 SALTS = 64
+#: Leading characters that range splitters hold.
+LEAD = 48
 
 
 def normalised(text):
@@ -31,7 +33,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     norm = rows.select("doc_id", normalised(F.col("text")).alias("norm"), F.length("text").alias("chars"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     # order of preference as one comparable struct
     rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
-    runs = norm.repartitionByRange(F.col("norm"), F.col("salt")).sortWithinPartitions("norm", "salt").groupBy("norm", "salt").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+    # splitters are leading bytes, so that the sample of them that the driver sees stays small; texts are sorted and compared whole
+    lead = norm.withColumn("lead", F.substring("norm", 1, LEAD))
+    runs = lead.repartitionByRange(F.col("lead"), F.col("salt")).sortWithinPartitions("lead", "salt", "norm").groupBy("lead", "salt", "norm").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
     groups = runs.select(F.sha2("norm", 256).alias("sha"), "best", "n").groupBy("sha").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     groups = written(groups, "groups")  # apart from its aggregate, the join below can be split where one text is hot
     ids = rows.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
