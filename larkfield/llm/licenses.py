@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import text_of
+from larkfield.llm.common import text_of, written
 
 #: Sentences by which licences are stated.
 TEMPLATES: dict[str, list[str]] = {
@@ -156,16 +156,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     """One row per row of docs: doc_id, licences (families found, sorted, joined by ', '; empty if none), n_lines (confirmed lines),
     confidence (least probability of a confirmed line, null if none), n_unknown (candidate lines that no family claims)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(~F.col("text").rlike(TRIGGER))
-    some = plain.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 2000).alias("text")).orderBy("h").limit(negatives)  # training rows only: a bounded sample
-    classes, weights, bias, temperature = train([line for r in some.collect() for line in r["text"].split("\n")[:3]])
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(negatives)  # training rows only: a bounded sample of documents
+    some = rows.join(F.broadcast(chosen), "h").select("h", F.slice(F.split("text", "\n"), 1, 3).alias("lines")).dropDuplicates(["h"]).collect()
+    classes, weights, bias, temperature = train([line[:2000] for r in sorted(some) for line in r["lines"] if not re.search(TRIGGER, line)])
     families = classes[:-1]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
     shapes = [(f, k, g) for f, ss in TEMPLATES.items() for k, s in enumerate(ss) for g in sorted(_trigrams(s))]
     known = spark.createDataFrame([(g, f, k, len(_trigrams(TEMPLATES[f][k]))) for f, k, g in shapes], "gram string, family string, template int, size int")
     lines = paragraphs(docs, id_col, text_col).withColumn("key", F.struct("doc_id", "line", F.xxhash64("paragraph").alias("hash")))
     words = lines.select("key", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({TOKENS})"), 1).alias("words"))
-    words = words.distinct()  # rows that repeat a document
+    words = written(words.distinct(), "licence-lines")  # distinct: rows may repeat a document
     every = words.select("key", F.explode(F.array_distinct(F.concat(*(grams(F.col("words"), n) for n in range(1, MOST_N + 1))))).alias("gram"))
     # both tables are the model: some thousand n-grams of the templates, whatever the input
     total = every.join(F.broadcast(table), "gram").groupBy("key").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(classes))))
