@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from larkfield.functions.geo import haversine
+from larkfield.functions.text import normalised_address, normalised_name
 
-#: Corporate forms, longer ones first, and variant characters.
-CORPORATE = ["地方独立行政法人", "独立行政法人", "医療法人社団", "医療法人", "社会福祉法人", "学校法人", "宗教法人", "特定非営利活動法人", "一般社団法人", "一般財団法人", "公益社団法人", "公益財団法人", "株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "(株)", "（株）", "(有)", "（有）"]
-VARIANTS = str.maketrans("髙﨑邊邉齋齊澤龍國學", "高崎辺辺斎斉沢竜国学")
-_CORPORATE = re.compile("|".join(map(re.escape, CORPORATE)))
-
-
-def plain_name(name: str | None) -> str:
-    """NFKC, one form of each character, without corporate forms, punctuation, symbols and space, lower case."""
-    text = _CORPORATE.sub("", unicodedata.normalize("NFKC", name or "").translate(VARIANTS).replace("ヶ", "が").replace("ケ", "が"))
-    return "".join(c for c in text if unicodedata.category(c)[0] not in "PS" and not c.isspace()).lower()
-
-
-@F.pandas_udf(StringType())
-def normalised_name(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in names:
-        yield batch.map(plain_name)
-
-
-def match_classes(left: DataFrame, right: DataFrame, metres: float = 50.0, normal=normalised_name) -> DataFrame:
+def match_classes(left: DataFrame, right: DataFrame, metres: float = 50.0) -> DataFrame:
     """left's rows with match: both, name, address or none, against the other provider's rows of the same query.
 
     name: equal normalised names; address: equal or ending alike, or within metres. both: one row of the other side has both. Results of a query
     are a page, so the join by query is bounded by its size.
     """
-    a = left.select("query_id", "rank", normal("name").alias("n"), normal("address").alias("d"), "lat", "lng")
-    b = right.select(F.col("query_id").alias("q"), normal("name").alias("n2"), normal("address").alias("d2"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    a = left.select("query_id", "rank", normalised_name("name").alias("n"), normalised_address("address").alias("d"), "lat", "lng")
+    b = right.select(F.col("query_id").alias("q"), normalised_name("name").alias("n2"), normalised_address("address").alias("d2"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     j = a.join(b, F.col("query_id") == F.col("q"), "left")
     name = (F.col("n") != "") & (F.col("n") == F.col("n2"))
     ends = (F.col("d") != "") & (F.col("d2") != "") & (F.endswith("d", "d2") | F.endswith("d2", "d"))

@@ -24,6 +24,8 @@ def dedup_window(rows: DataFrame, key: str = "query", window: int = 5, index: st
     it hides in the next. Composing these few numbers block by block gives each block's true start, and a second fold the kept rows.
     So no array grows with a hot key but the one of its blocks, a BLOCK-th of its rows.
     """
+    if window >= BLOCK:
+        raise ValueError("a block must be longer than the window")
     place = (F.col(index) % BLOCK).cast("int")
     blocks = rows.select(F.col(key).alias("_k"), F.floor(F.col(index) / BLOCK).alias("_b"), place.alias("_p")).groupBy("_k", "_b").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
     hide = lambda start: F.aggregate("_ps", start, lambda until, p: F.when(p >= until, p + window + 1).otherwise(until))
