@@ -158,7 +158,8 @@ def _within(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame
     blocks = 1 << max(0, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)) - 1).bit_length()
     tree: list[tuple[int, float]] = []
     if blocks > 1:
-        sample = classes.orderBy("k1", "k2").limit(SAMPLE).select("embedding").toPandas()  # hashes: a uniform sample of bounded size
+        top = int(min(1.0, SAMPLE / n) * 2**64) - 2**63 - 1  # k1 is a hash: below a cut of its range lie about SAMPLE of the n rows
+        sample = classes.where(F.col("k1") <= F.lit(top)).select("embedding").toPandas()
         tree = splitters((unit(sample["embedding"]) @ basis)[:, :box], blocks)
 
     def rotate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
