@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkfield.operators import compare, routes, search, spatial
-from larkfield.sources.tables import ITEMS_SQL, PLACES_SQL, items, places, table
+from larkfield.operators import advisors, candidates, compare, models, querylog, routes, search, spatial
+from larkfield.functions import text
+from larkfield.sources.tables import ITEMS_SQL, PLACES_SQL, items, places, query_log, table
 
 #: Customers and suppliers as two sides; sizes as in the benchmark tables.
 BASE = f"WITH p AS ({PLACES_SQL}), i AS ({ITEMS_SQL}), "
@@ -56,11 +57,52 @@ def _slices(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("route"), n.alias("pos"), F.when(n % 3 != 0, "motorway").otherwise("street").alias("class"), (n % 2).alias("a"), ((n + 1) % 2).alias("b"))
 
 
+def _named(spark, sf_dir):
+    """Places with an address of 11 municipalities, by row order."""
+    city = F.concat(F.lit("東京都"), F.element_at(F.array(*map(F.lit, "甲乙丙丁戊己庚辛壬癸子")), (F.col("id") % 11 + 1).cast("int")), F.lit("市1-"), F.col("id").cast("string"))
+    return places(spark, sf_dir).select(F.col("id").alias("pos"), F.concat(F.when(F.col("id") % 9 != 0, "X").otherwise(""), F.lit("Shop"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 7 != 0, city).alias("address"))
+
+
+def _roads(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("primary", "street", "rail", "path"))), (F.col("id") % 4 + 1).cast("int"))
+    return items(spark, sf_dir).select("id", kind.alias("class"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("r"), (F.col("id") % 5).cast("string"))).alias("name"), "lat", "lng")
+
+
+def _listed(spark, sf_dir):
+    return places(spark, sf_dir).where("id < 900").select((F.col("id") % 12).cast("string").alias("group"), F.col("id").alias("pos"), "id", F.concat(F.lit("店"), (F.col("id") % 40).cast("string"), F.when(F.col("id") % 5 == 0, "店").otherwise("")).alias("name"), "lat", "lng", (F.col("id") % 97).cast("double").alias("distance"))
+
+
+def _calls(spark, sf_dir):
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(F.col("event_type").alias("role"), (n % 1000).alias("input"), (n % 300).alias("output"), (n % 50).alias("cache_read"), (n % 20).alias("cache_write"), (n % 7000).alias("ms"), F.concat(F.lit("https://x/"), F.element_at(F.array(*map(F.lit, ("tilequery", "isochrone", "matrix", "searchbox", "else"))), (n % 5 + 1).cast("int"))).alias("url"))
+
+
 def _buildings(spark, sf_dir):
     return items(spark, sf_dir)
 
 
 QUERIES = {
+    "advise_more_specific": lambda s, d: advisors.more_specific(_named(s, d), "shop").select("pos", "municipality"),
+    "advise_distinct_localities": lambda s, d: advisors.distinct_localities(_named(s, d)).select("pos"),
+    "advise_floors": lambda s, d: advisors.floor_suggestions(_scored(s, d), top=20),
+    "advise_promotable": lambda s, d: advisors.promotable(table(s, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_nationkey").alias("label"), F.lit("poi").alias("type"), F.when(F.col("n_nationkey") % 2 == 0, "adjacent").otherwise("nearby").alias("level")), items(s, d).select(F.col("grp").alias("label")), 1000),
+    "advise_refine": lambda s, d: advisors.refine(places(s, d).where("id % 2 = 0"), places(s, d).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("condition"), F.lit(0.5).alias("closeness")), places(s, d).where("id % 5 = 0").select("id", F.lit("b").alias("condition"), F.lit(0.9).alias("closeness"))),
+    "advise_travel_times": lambda s, d: advisors.with_travel_times(places(s, d).select("id"), table(s, d, "events").select(F.col("user_id").alias("dst"), F.col("value").alias("sec"))).where("reach_sec is not null"),
+    "geo_facing_roads": lambda s, d: _rounded(advisors.facing_roads(places(s, d), _roads(s, d), (100.0, 300.0, 500.0)).select("id", "road", "class_rank", "distance", "rank"), "distance"),
+    "geo_between": lambda s, d: advisors.next_to_each_other(places(s, d).where("id < 200").select(F.col("id").alias("pair"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("lat") + 0.013).alias("lat2"), (F.col("lng") - 0.011).alias("lng2")), items(s, d)),
+    "geo_travel_bearing": lambda s, d: places(s, d).select("id", advisors.travel_bearing(F.col("lat"), F.col("lng"), F.lit(35.05), F.lit(139.05), F.col("id") % 2 == 0)["direction"].alias("direction")),
+    "geo_visible": lambda s, d: advisors.visible(places(s, d).withColumn("filterrank", F.when(F.col("id") % 6 != 0, F.col("id") % 14)), 1, 16.5).select("id"),
+    "usage_by_role": lambda s, d: advisors.usage(_calls(s, d), 1.0, 5.0).withColumn("cost", F.round("cost", 4)),
+    "usage_requests": lambda s, d: advisors.requests(_calls(s, d)),
+    "list_dedup_names": lambda s, d: candidates.dedup_names(_listed(s, d)),
+    "list_dedup_contained": lambda s, d: candidates.dedup_contained(_listed(s, d)),
+    "list_spread": lambda s, d: candidates.spread(_listed(s, d), 10),
+    "list_near_clusters": lambda s, d: candidates.near_clusters(_listed(s, d), 200.0),
+    "list_hulls": lambda s, d: candidates.hulls(_listed(s, d)).select("group", F.size("ring").alias("corners")),
+    "text_search_names": lambda s, d: _named(s, d).select("pos", text.normalised_search_name("name").alias("name"), text.normalised_address("address").alias("address")),
+    "text_query_types": lambda s, d: _named(s, d).select("pos", text.query_type(F.coalesce("address", F.lit(""))).alias("kind"), text.short_hash(F.col("name")).alias("hash")),
+    "model_classify": lambda s, d: models.classify(query_log(s, d)),
+    "log_retry_update": lambda s, d: querylog.apply_labels(query_log(s, d).withColumn("ai_classification", F.lit("others")), models.classify(query_log(s, d)), "others").select("row_idx", "ai_classification"),
     "geo_pairs_within": lambda s, d: _rounded(spatial.pairs_within(places(s, d), items(s, d), 800.0).select("a_id", "b_id", "distance"), "distance"),
     "geo_nearest_match": lambda s, d: _rounded(spatial.nearest_match(places(s, d), items(s, d), 800.0), "nearest"),
     "geo_nearest_match_north": lambda s, d: _rounded(spatial.nearest_match(places(s, d), items(s, d), 800.0, "north"), "nearest"),
@@ -106,7 +148,24 @@ _FULL = "round((0.3 * rel + coalesce(0.5 * cond, 0) + coalesce(0.2 * near, 0)) /
 _LITE = "round((0.2 * rel + coalesce(0.7 * cond, 0)) / (0.2 + CASE WHEN cond IS NULL THEN 0 ELSE 0.7 END), 3)"
 _evald = _EVAL.replace("{score}", _FULL)
 
+_NAMED = BASE + """n AS (SELECT id AS pos, lower(CASE WHEN id % 9 <> 0 THEN 'X' ELSE '' END || 'Shop' || id) AS name, CASE WHEN id % 7 <> 0 THEN substr('甲乙丙丁戊己庚辛壬癸子', id % 11 + 1, 1) || '市' END AS city FROM p)"""
+_CALLS = "SELECT event_type AS role, event_id % 1000 AS i, event_id % 300 AS o, event_id % 50 AS r, event_id % 20 AS w, event_id % 7000 AS ms FROM events"
+
 ORACLE = {
+    "advise_more_specific": _NAMED + """, g AS (SELECT coalesce(city, '') AS municipality, count(*) AS k, min(pos) AS f FROM n GROUP BY 1), b AS (SELECT municipality FROM g WHERE k >= 2 ORDER BY k DESC, f LIMIT 1) SELECT pos, municipality FROM n JOIN b ON coalesce(city, '') = municipality""",
+    "advise_distinct_localities": _NAMED + " SELECT min(pos) AS pos FROM n WHERE city IS NOT NULL GROUP BY city UNION ALL SELECT pos FROM n WHERE city IS NULL",
+    "advise_floors": _evald + """, f AS (SELECT id, score, CASE class WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS o, CASE WHEN id % 3 <> 0 THEN (id % 30)::INT END AS floors FROM s), first AS (SELECT * FROM f WHERE o = (SELECT min(o) FROM f) ORDER BY score DESC, id LIMIT 20)
+SELECT min(id) AS id, floors FROM first WHERE floors IS NOT NULL GROUP BY floors HAVING count(*) = 1""",
+    "advise_promotable": "SELECT s_nationkey AS label, count(*) AS n FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1 ORDER BY 2, 1 LIMIT 1",
+    "advise_refine": "SELECT c_custkey AS id, 'a' AS condition, 0.5::DOUBLE AS closeness FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'b', 0.9::DOUBLE FROM customer WHERE c_custkey % 10 = 0",
+    "advise_travel_times": BASE + "t AS (SELECT user_id, min(value) AS sec FROM events GROUP BY 1) SELECT p.id, t.sec AS reach_sec FROM p JOIN t ON t.user_id = p.id",
+    "geo_facing_roads": BASE + f"""k AS (SELECT *, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 3 THEN 10 END AS c, CASE WHEN id % 3 <> 0 THEN 'r' || id % 5 ELSE 'road ' || id END AS road FROM i WHERE id % 4 <> 2),
+x AS (SELECT p.id, k.id AS road_id, road, c, {_far('p', 'k')} AS d FROM p JOIN k ON abs(p.lat - k.lat) < 0.02 AND abs(p.lng - k.lng) < 0.02), m AS (SELECT id, min(CASE WHEN d <= 100 THEN 100 WHEN d <= 300 THEN 300 ELSE 500 END) AS r FROM x WHERE d <= 500 GROUP BY 1),
+u AS (SELECT x.*, row_number() OVER (PARTITION BY x.id, road ORDER BY c, d, road_id) AS k FROM x JOIN m USING (id) WHERE d <= r) SELECT id, road, c AS class_rank, round(d, 3) AS distance, row_number() OVER (PARTITION BY id ORDER BY c, d, road_id) AS rank FROM u WHERE k = 1""",
+    "geo_between": BASE + "q AS (SELECT id, lat, lng, lat + 0.013 AS lat2, lng - 0.011 AS lng2 FROM p WHERE id < 200) SELECT q.id AS pair, count(i.id) AS blocking FROM q LEFT JOIN i ON i.lat > q.lat AND i.lat < lat2 AND i.lng < q.lng AND i.lng > lng2 GROUP BY 1",
+    "geo_visible": "SELECT c_custkey AS id FROM customer WHERE c_custkey % 6 = 0 OR c_custkey % 14 <= 7",
+    "usage_by_role": f"WITH c AS ({_CALLS}) SELECT role, count(*) AS calls, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output, sum(r)::BIGINT AS cache_read, sum(w)::BIGINT AS cache_write, sum(ms)::BIGINT AS ms, round((sum(i) + sum(r) * 0.1::DOUBLE + sum(w) * 1.25::DOUBLE + sum(o) * 5.0::DOUBLE) / 1e6, 4) AS cost FROM c GROUP BY 1",
+    "usage_requests": "SELECT CASE event_id % 5 WHEN 0 THEN 'tile' WHEN 1 THEN 'isochrone' WHEN 2 THEN 'matrix' WHEN 3 THEN 'search' ELSE 'other' END AS purpose, count(*) AS count FROM events GROUP BY 1",
     "geo_pairs_within": _NEAR + " SELECT a_id, b_id, round(d, 3) AS distance FROM x WHERE d <= 800",
     "geo_nearest_match": _NEAR + " SELECT a_id AS id, round(min(d), 3) AS nearest FROM x WHERE d <= 800 GROUP BY 1",
     "geo_nearest_match_north": _NEAR + " SELECT a_id AS id, round(min(d), 3) AS nearest FROM x WHERE d <= 800 AND lat > lat2 GROUP BY 1",
