@@ -5,7 +5,9 @@ The flow of least cost says how many bytes go from each old shard to each new on
 line: block totals give the blocks' offsets (first pass), a running sum inside a block the rows' (second pass), and the flow's cuts the
 new shard. Only shards that gain or lose rows are rewritten.
 
-Law `bytes`: a shard's size differs from an even share by less than one row at each cut. Cases: a null text has size 1; equal rows
+Rows larger than a FINE-th of a shard, of which there are FINE a shard at most, are placed one by one: they stay where they are while they fit,
+the others go, largest first, where most room is left; the flow fills up the rest. So, law `bytes`, a shard's size differs from its
+capacity by two FINE-ths about, unless single rows are larger than a shard. Cases: a null text has size 1; equal rows
 are placed each on their own, in order of (doc_id, text hash); an empty table gives no rows; extra columns are not read.
 """
 
@@ -20,6 +22,8 @@ from larkfield.llm.common import text_of, written
 
 #: Rows that one block of the running sums holds about; the driver sees a few numbers a block.
 BLOCK_ROWS = 20_000
+#: Parts of a shard that a row may be large for the byte line; FINE * shards larger rows can exist at most.
+FINE = 1000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[dict[int, int]]:
@@ -84,6 +88,39 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
+def place_large(rows: list[tuple[int, int]], capacity: list[int]) -> tuple[list[int], list[int]]:
+    """New shards of (old shard, size) rows, largest first, and the bytes they take in each."""
+    taken, shard, moving = [0] * len(capacity), [-1] * len(rows), []
+    for k, (old, size) in enumerate(rows):
+        if old < len(capacity) and taken[old] + size <= capacity[old]:
+            shard[k] = old
+            taken[old] += size
+        else:
+            moving.append(k)
+    room = [(t - c, j) for j, (t, c) in enumerate(zip(taken, capacity))]
+    heapq.heapify(room)
+    for k in moving:
+        over, j = room[0]
+        heapq.heapreplace(room, (over + rows[k][1], j))
+        shard[k] = j
+        taken[j] += rows[k][1]
+    return shard, taken
+
+
+def room_left(capacity: list[int], taken: list[int], small: int) -> list[int]:
+    """Bytes of `small` that each shard gets, so that all end as near to their capacity as the taken bytes let them."""
+    low, high = -max([0, *capacity]), small + max([0, *taken])
+    fill = lambda level: [max(0, c + level - t) for c, t in zip(capacity, taken)]
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(fill(mid)) >= small else (mid + 1, high)
+    out, over = fill(low), sum(fill(low)) - small
+    for j, n in enumerate(out):  # the level is whole bytes
+        cut = min(over, 1, n)
+        out[j], over = n - cut, over - cut
+    return out
+
+
 def by_file(df: DataFrame) -> tuple[DataFrame, int]:
     """df with `old_shard`: the rank of the file a row was read from, by path; and the number of files."""
     files = sorted(r[0] for r in df.select(F.input_file_name().alias("f")).distinct().collect())  # a row per file
@@ -102,17 +139,23 @@ def reshard(docs: DataFrame, shards: int = 16, old: str | None = None, id_col: s
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *([F.col(old).cast("int").alias("old_shard")] if old else []))
     if not old:
         base, _ = by_file(base)
-    sized = written(base.select("doc_id", "old_shard", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")), "reshard")
-    count = sized.count()
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
+    sized = written(base.select("doc_id", "old_shard", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid")), "reshard")
+    size = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    room = capacities or even_capacities(size["bytes"], shards)
+    limit = max(1, size["bytes"] // (len(room) * FINE))
+    big = sorted((-r["size"], r["doc_id"] is None, r["doc_id"], r["text_crc32"], r["uid"], r["old_shard"]) for r in sized.where(F.col("size") > limit).collect())  # FINE a shard at most
+    shard_of, taken = place_large([(r[-1], -r[0]) for r in big], room)
+    chosen = spark.createDataFrame([(r[-2], s) for r, s in zip(big, shard_of)], "uid bigint, shard int")
+    large = sized.where(F.col("size") > limit).join(F.broadcast(chosen), "uid").select("doc_id", "size", "text_crc32", "old_shard", F.lit(-1).alias("block"), F.lit(0).cast("bigint").alias("at"), "shard")
+    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
+    sized = sized.where(F.col("size") <= limit).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
     totals = sorted((r["old_shard"], r["block"], r["n"]) for r in sized.groupBy("old_shard", "block").agg(F.sum("size").alias("n")).collect())  # numbers a block, not a row
     supply = [0] * (1 + max((o for o, *_ in totals), default=0))
     bases = []
     for o, b, n in totals:
         bases.append((o, b, supply[o]))
         supply[o] += n
-    flow = min_cost_flow(supply, capacities or even_capacities(sum(supply), shards), lambda i, j: int(i != j))
+    flow = min_cost_flow(supply, room_left(room, taken, sum(supply)), lambda i, j: int(i != j))
     cuts = []  # pieces of an old shard's byte line: what stays comes first
     for o, to in enumerate(flow):
         at = 0
@@ -126,7 +169,9 @@ def reshard(docs: DataFrame, shards: int = 16, old: str | None = None, id_col: s
     rows = sized.join(F.broadcast(starts), ["old_shard", "block"]).join(F.broadcast(lines), "old_shard")
     at = F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rows = rows.withColumn("at", at).withColumn("shard", F.element_at(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (F.col("at") < c["b"])), 1)["shard"])
-    rows = written(rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("at")).alias("nth")), "reshard")
+    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "at", "shard").unionByName(large)
+    nth = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("at", "doc_id", "text_crc32"))
+    rows = written(rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", nth.alias("nth")), "reshard")
     counts = sorted((r["shard"], r["old_shard"], r["block"], r["n"]) for r in rows.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n")).collect())
     slots, filled = [], {}
     for s, o, b, n in counts:
