@@ -8,11 +8,19 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from larkfield.llm import embed_dedup, exact_dedup, graph, near_dedup, resharding
+from larkfield.llm import common, embed_dedup, exact_dedup, graph, near_dedup, resharding
 
 DOCS = "doc_id bigint, text string, rep string, bucket string, part string"
 
 
+def test_written_tables_can_be_cleared(spark):
+    common.clear(spark)
+    table = common.written(spark.range(3), "x")
+    assert table.count() == 3 and common.clear(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0])
+
+
 def frame(spark, texts, ids=None):
     return spark.createDataFrame([(i, t, "x", "y", "z") for i, t in zip(ids or range(len(texts)), texts)], DOCS)
 
