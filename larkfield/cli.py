@@ -17,8 +17,8 @@ TRENDS = {
     "trend_daily_volume_result": lambda r, a: q.daily(r).orderBy("date"),
     "trend_hourly_volume_result": lambda r, a: q.hourly(r).orderBy(F.expr("try_cast(hour_jst as int)").asc_nulls_last()),
     "trend_proximity_prefecture_result": lambda r, a: q.by_prefecture(r),
-    "trend_top_queries_result": lambda r, a: q.top_queries(r, a.top_n).orderBy(q.category_rank(), "ai_classification", "rank"),
-    "trend_daily_category_result": lambda r, a: q.daily_category(r).orderBy("date", q.category_rank(), "ai_classification"),
+    "trend_top_queries_result": lambda r, a: q.top_queries(r, a.top_n).orderBy(q.category_rank().asc_nulls_last(), "ai_classification", "rank"),
+    "trend_daily_category_result": lambda r, a: q.daily_category(r).orderBy("date", q.category_rank().asc_nulls_last(), "ai_classification"),
     "trend_column_usage_result": lambda r, a: q.column_usage(r),
     "trend_long_tail_result": lambda r, a: q.long_tail(r),
 }

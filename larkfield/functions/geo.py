@@ -115,9 +115,9 @@ def bearing(lat1, lng1, lat2, lng2) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))
 
 
-def compact_distance(metres) -> Column:
-    """950 m, 1.2 km."""
-    return F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(F.call_function("format_number", metres / 1000, F.lit("0.0")), F.lit(" km")))
+def compact_distance(metres, gap: str = " ") -> Column:
+    """950 m, 1.2 km, with gap between number and unit."""
+    return F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(f"{gap}m"))).otherwise(F.concat(F.call_function("format_number", metres / 1000, F.lit("0.0")), F.lit(f"{gap}km")))
 
 
 def repair(lat, lng) -> tuple[Column, Column]:
@@ -134,3 +134,40 @@ def truncate_coordinate(text, decimals: int) -> Column:
     """A decimal string cut, not rounded, after `decimals` digits."""
     head, tail = F.substring_index(text, ".", 1), F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(F.lit(""))
     return (F.when((tail == "") | F.lit(decimals == 0), head).otherwise(F.concat(head, F.lit("."), F.substring(tail, 1, max(decimals, 1))))).cast("double")
+
+
+def circle_box(lat, lng, radius) -> Column:
+    """The rectangle that a centre and a radius stand for, rounded to six decimals."""
+    d = radius / COARSE_M
+    return make_box(*(F.round(x, 6) for x in (lng - d, lat - d, lng + d, lat + d)))
+
+
+def box_circle(box: Column) -> Column:
+    """struct(lat, lng, radius) that a rectangle stands for."""
+    return F.struct(((box["min_lat"] + box["max_lat"]) / 2).alias("lat"), ((box["min_lng"] + box["max_lng"]) / 2).alias("lng"), ((box["max_lat"] - box["min_lat"]) / 2 * COARSE_M).alias("radius"))
+
+
+def corridor_box(lat1, lng1, lat2, lng2, buffer_m: float = 500.0, half_m: float | None = 500.0) -> Column:
+    """The box around the line between two points, buffered; cut to half_m around its middle."""
+    around = expand_box(make_box(F.least(lng1, lng2), F.least(lat1, lat2), F.greatest(lng1, lng2), F.greatest(lat1, lat2)), buffer_m)
+    return around if half_m is None else cap_box(around, half_m)
+
+
+def feature_box(box: Column, lat, lng, metres: float = 400.0) -> Column:
+    """A feature's own box, else its point with metres around it."""
+    return F.coalesce(box, expand_box(make_box(lng, lat, lng, lat), metres))
+
+
+def implied_travel(lat, lng, left: bool, size_km: float, travel=None) -> Column:
+    """The eight cells around a landmark, each with the direction one travels in it with the landmark at the left or right; within 45 degrees of travel if given."""
+    size, cells = size_km * 1000, []
+    dy, dx = 1 / LAT_M, 1 / (LNG_M * F.cos(F.radians(lat)))
+    for row in (1, 0, -1):
+        for col in (-1, 0, 1):
+            if row or col:
+                y, x = lat + row * size * dy, lng + col * size * dx
+                way = F.pmod(bearing(y, x, lat, lng) + (90 if left else -90), F.lit(360.0))
+                box = make_box(*(F.round(v, 5) for v in (x - size / 2 * dx, y - size / 2 * dy, x + size / 2 * dx, y + size / 2 * dy)))
+                cells.append(F.struct(F.lit(("N" if row > 0 else "S" if row else "") + ("E" if col > 0 else "W" if col else "")).alias("position"), F.floor(way + 0.5).alias("bearing"), compass(way).alias("direction"), box.alias("box")))
+    off = lambda c: F.abs(c["bearing"] - travel)
+    return F.array(*cells) if travel is None else F.filter(F.array(*cells), lambda c: F.least(off(c), 360 - off(c)) <= 45)

@@ -35,3 +35,30 @@ SPEEDS = {"walking": 80, "cycling": 250, "driving": 500}
 ROAD_RANK = {"motorway": 1, "motorway_link": 1, "trunk": 2, "trunk_link": 2, "primary": 3, "primary_link": 3, "secondary": 4, "secondary_link": 4, "tertiary": 5, "tertiary_link": 5, "street": 6, "street_limited": 6, "pedestrian": 7, "construction": 8, "track": 9, "service": 9, "path": 10}
 RELEVANCE = {"definitely": 1.0, "probably": 0.7}
 RELEVANCE_UNKNOWN = 0.4
+
+#: Data issues of the feedback log and their labels, in order.
+DATA_ISSUES = {"poi_missing": "poi coverage", "poi_attribute_wrong": "wrong poi", "poi_duplicate": "poi duplication", "address_missing": "address coverage", "address_wrong": "wrong address"}
+MISSING_KINDS = {"general": "General", "bus": "Bus stop", "brand": "Brand", "parking_lot": "Parking lot"}
+DATA_ACTIONS = {"add": "Add", "fix": "Fix", "delete": "Delete"}
+USUAL_ACTION = {"poi_missing": "add", "poi_attribute_wrong": "fix", "poi_duplicate": "delete", "address_missing": "add", "address_wrong": "fix"}
+#: A diagnosis' reason: (issue, kind of what is missing).
+DIAGNOSED = {
+    "poi coverage": ("poi_missing", "general"),
+    "poi coverage (bus)": ("poi_missing", "bus"),
+    "poi coverage (brand)": ("poi_missing", "brand"),
+    "poi coverage (parking lot)": ("poi_missing", "parking_lot"),
+    "poi freshness": ("poi_attribute_wrong", None),
+    "address coverage": ("address_missing", None),
+    "poi duplication": ("poi_duplicate", None),
+    "wrong poi": ("poi_attribute_wrong", None),
+    "wrong address": ("address_wrong", None),
+}
+UNCLEAR = ["unknown query", "too ambiguous query"]
+RAIL_AND_OTHER = ["major_rail", "minor_rail", "service_rail", "ferry", "aerialway", "golf"]
+ROAD_POINTS = ["junction", "roundabout", "mini_roundabout", "turning_circle", "turning_loop", "traffic_signals", "level_crossing", "intersection"]
+#: Words of queries for kinds of places.
+BUS_STOP_WORDS = ["バス停", "バス停留所", "停留所", "bus stop", "bus_stop"]
+SHELTER_WORDS = ["避難所", "避難場所", "指定緊急避難所", "指定緊急避難場所", "避難施設", "shelter"]
+BUILDING_WORDS = ["マンション", "アパート", "ビル", "邸", "タワー", "レジデンス", "ハイツ", "コーポ", "テラス", "荘", "館", "プレイス", "コート", "ガーデン", "ヴィラ", "パレス", "ハウス"]
+LODGING_WORDS = ["ホテル", "宿", "旅館", "ホステル", "民宿", "ゲストハウス", "ロッジ", "宿泊"]
+NATURAL = r"(公園|河川|運河|河口|[^\p{L}]?川$|川沿|海岸|海辺|海$|湖|池|沼|山$|山沿|丘|緑地|森|林|浜|ビーチ|滝|湿地|干潟|庭園|渓谷|岬|水辺|堤防|土手)"

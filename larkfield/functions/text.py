@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larkfield.functions.reference import BUILDING_WORDS, BUS_STOP_WORDS, CATEGORIES, LODGING_WORDS, NATURAL, SHELTER_WORDS
+
 # Characters, suffixes and patterns that results depend on.
 ZERO_WIDTH = "​‌‍﻿"
 NUMERAL = {"〇": 0, "○": 0, "零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -141,3 +143,51 @@ def choice_number(text: Column) -> Column:
     words = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5}
     out = F.nullif(F.regexp_extract(half, r"(\d{1,2})", 1), F.lit("")).cast("int")
     return F.coalesce(out, *(F.when(text.rlike(f"^{k}|{k}(番|つ)"), v) for k, v in words.items()))
+
+
+def _any_word(text: Column, words: list[str]) -> Column:
+    low = F.lower(text)
+    return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w))
+
+
+def asks_bus_stop(query: Column) -> Column:
+    return _any_word(query, BUS_STOP_WORDS)
+
+
+def asks_shelter(query: Column) -> Column:
+    return _any_word(query, SHELTER_WORDS)
+
+
+def asks_building(query: Column) -> Column:
+    """Whether a query names a kind of building; with case."""
+    return F.exists(F.array(*map(F.lit, BUILDING_WORDS)), lambda w: F.contains(query, w))
+
+
+def natural_target(text: Column) -> Column:
+    return text.rlike(NATURAL)
+
+
+def asked_class(query: Column) -> Column:
+    """The class of places that a normalised query's category word stands for; null if none."""
+    return F.when(_any_word(query, [search_name(w) for w in LODGING_WORDS]), "lodging")
+
+
+def is_address_type(kind: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(kind)) == "address", F.lit(False))
+
+
+def unfenced(answer: Column) -> Column:
+    """A model's answer without code fences and the language they state."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = F.btrim(strip(answer), F.lit("`"))
+    return strip(F.when(F.startswith(strip(answer), F.lit("```")), F.regexp_replace(bare, "^json", "")).otherwise(answer))
+
+
+def labels_of_numbers(numbers: Column) -> Column:
+    """Categories for a model's numbers, counted from 1; others for any that stands for none."""
+    return F.transform(numbers, lambda n: F.coalesce(F.get(F.array(*map(F.lit, CATEGORIES)), n - 1), F.lit("others")))
+
+
+def near_label(km: Column, most_km: float = 5.0) -> Column:
+    """Whether a result lies near the centre, with one decimal: `1.2km (within 5km)`; null if the distance is unknown."""
+    return F.concat(F.call_function("format_number", km, F.lit("0.0")), F.when(km > most_km, f"km (over {most_km:g}km)").otherwise(f"km (within {most_km:g}km)"))

@@ -187,11 +187,11 @@ c AS (SELECT landmark, candidate, d, row_number() OVER (PARTITION BY candidate O
 f AS (SELECT id, n, CASE WHEN mad < 1e-9 THEN q - med > 0.05 ELSE 0.6745 * (q - med) / mad > 3.5 END AS o FROM k, m, d), c AS (SELECT count(*) FILTER (o) AS c FROM f) SELECT id FROM f, c WHERE n < 4 OR c = 0 OR c = n OR o""",
     "search_cap": "SELECT c_custkey AS id FROM customer ORDER BY CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 997 ELSE 9999 END, c_custkey LIMIT 150",
     "search_floor_filter": "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 30 <= 12",
-    "search_confidence": _evald + ", n AS (SELECT count(*) FILTER (class = 'full') AS \"full\", count(*) FILTER (class = 'partial') AS partial FROM s) SELECT \"full\", partial, CASE WHEN \"full\" = 1 THEN 'high' WHEN \"full\" > 1 THEN 'medium' WHEN partial > 0 THEN 'low' ELSE 'none' END AS label FROM n",
+    "search_confidence": _evald + ", n AS (SELECT count(*) FILTER (class = 'full') AS \"full\", count(*) FILTER (class = 'partial') AS partial FROM s) SELECT \"full\", partial, CASE WHEN \"full\" = 1 THEN 'decisive' WHEN \"full\" > 1 THEN 'ambiguous' WHEN partial > 0 THEN 'tentative' ELSE 'none' END AS label FROM n",
     "search_travel_times": "SELECT user_id AS dst, min(value) AS sec FROM events GROUP BY 1",
     "compare_match_classes": BASE + f"""j AS (SELECT p.id % 40 AS query_id, p.id AS rank, coalesce(p.id % 30 = i.id % 30, false) AS n, coalesce(('tokyo1-' || p.id % 23) LIKE '%' || ('tokyo1-' || i.id % 23), false) OR coalesce(('tokyo1-' || i.id % 23) LIKE '%' || ('tokyo1-' || p.id % 23), false) OR coalesce({_far('p', 'i', '6371000.0')} <= 50, false) AS a FROM p LEFT JOIN i ON p.id % 40 = i.id % 40)
 SELECT query_id, rank, CASE WHEN max((n AND a)::INT) = 1 THEN 'both' WHEN max(n::INT) = 1 THEN 'name' WHEN max(a::INT) = 1 THEN 'address' ELSE 'none' END AS match FROM j GROUP BY 1, 2""",
-    "compare_row_states": LOG + " SELECT key, coalesce(arg_max(state, seq) FILTER (type = 'state'), CASE WHEN count(*) FILTER (type = 'ticket') > 0 THEN 'problem' END, 'untested') AS state, arg_max(reason, seq) FILTER (type = 'state') AS reason, count(*) FILTER (type = 'ticket') AS tickets FROM now GROUP BY 1",
+    "compare_row_states": LOG + " SELECT key, coalesce(arg_min(state, seq) FILTER (type = 'state'), CASE WHEN count(*) FILTER (type = 'ticket') > 0 THEN 'problem' END, 'untested') AS state, arg_min(reason, seq) FILTER (type = 'state') AS reason, count(*) FILTER (type = 'ticket') AS tickets FROM now GROUP BY 1",
     "compare_latest_round": LOG + " SELECT seq, key, roundId FROM now",
     "compare_remove_ticket": LOG + " SELECT seq FROM log WHERE seq NOT IN (SELECT seq FROM now WHERE key = '8' AND type = 'ticket' AND id = 't9999')",
     "compare_last_turns": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS r FROM conversations) WHERE r <= 3",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions.geo import EARTH_KM, haversine
 from larkfield.functions.reference import CATEGORIES, LONG_TAIL, PREFECTURES, USAGE_COLUMNS
+from larkfield.functions.text import leading_number
 
 #: Rows of one block of the windowed dedup; bounds the arrays it folds.
 BLOCK = 4096
@@ -63,14 +64,14 @@ def count_queries(rows: DataFrame) -> DataFrame:
 
 def category_rank(col: str = "ai_classification") -> Column:
     """Place in the known order; null for others."""
-    return F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col(col)).cast("int")
+    return F.nullif(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col(col)).cast("int"), F.lit(0))
 
 
 def count_labels(rows: DataFrame, col: str = "ai_classification") -> DataFrame:
     """Known labels in their order, then others by count and first row; with their share."""
     n = rows.groupBy(col).agg(F.count("*").alias("count"), F.min("row_idx").alias("first_idx"))
     total = n.agg(F.sum("count").alias("total"))
-    known = F.nullif(category_rank(col), F.lit(0))
+    known = category_rank(col)
     return n.crossJoin(F.broadcast(total)).select(col, "count", percent(F.col("count"), F.col("total")).alias("ratio"), known.alias("_known"), "first_idx").orderBy(F.col("_known").asc_nulls_last(), F.desc("count"), "first_idx").drop("_known", "first_idx")  # total: one row
 
 
@@ -198,3 +199,56 @@ def filter_rows(rows: DataFrame, category: str | None = None, least_count: int |
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.orderBy("row_idx").offset(offset).limit(limit)
+
+
+def values_in_order(rows: DataFrame, col: str) -> DataFrame:
+    """Distinct values of a column as they first occur; empty ones not."""
+    return rows.where(F.coalesce(F.trim(col), F.lit("")) != "").groupBy(F.col(col).alias("value")).agg(F.min("row_idx").alias("first_idx")).orderBy("first_idx")
+
+
+#: Parameter: (the roles of columns that hold it, whether it is a number). A role may be stated for either side.
+ROLES = {
+    "query": (("q", "query"), False), "lat": (("proximity(lat)", "location(lat)"), True), "lng": (("proximity(lng)", "location(lng)"), True), "bbox": (("bbox",), False), "bbox_lat": (("bbox(lat)",), True), "bbox_lng": (("bbox(lng)",), True),
+    "limit": (("limit",), True), "language": (("language",), False), "country": (("country",), False), "near": (("near",), False), "navigation_profile": (("navigation_profile",), False), "radius": (("radius",), True), "type": (("type",), False), "region": (("region",), False),
+}
+LISTS = ("types", "poi_category", "poi_category_exclusion")
+
+
+def requests_of_rows(rows: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Search parameters of each row, from the roles of its columns (column: role). `proximity` is `lng,lat`, `location` is `lat,lng`; lists are
+    cut at commas; numbers are what a value begins with; empty values and absent roles give null."""
+    value = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    by_role = {}
+    for column, role in roles.items():
+        by_role.setdefault(role, []).append(value(column))
+    first = lambda names: F.coalesce(*(x for n in names for x in by_role.get(n, [])), F.lit(None).cast("string"))
+
+    def pair(role: str, place: int) -> Column:
+        parts = F.split(first([role]), ",")
+        both = [leading_number(F.get(parts, F.lit(k))) for k in (0, 1)]
+        return F.when((F.size(parts) == 2) & both[0].isNotNull() & both[1].isNotNull(), both[place])
+
+    out = {name: leading_number(first(names)) if number else first(names) for name, (names, number) in ROLES.items()}
+    out["lat"] = F.coalesce(out["lat"], pair("proximity", 1), pair("location", 0))
+    out["lng"] = F.coalesce(out["lng"], pair("proximity", 0), pair("location", 1))
+    out |= {name: F.filter(F.transform(F.split(first([name]), ","), lambda x: F.trim(x)), lambda x: x != "") for name in LISTS}
+    return rows.select("row_idx", *(c.alias(n) for n, c in out.items()))
+
+
+def visible_columns(rows: DataFrame, roles: dict[str, str], apart: tuple[str, ...] = ("query_type", "query_count")) -> DataFrame:
+    """The columns that have a role, but those shown apart."""
+    return rows.select(*(c for c in rows.columns if roles.get(c, "(none)") != "(none)" and c not in apart))
+
+
+def summary_payload(rows: DataFrame, top: int = 10) -> DataFrame:
+    """One row: JSON of the aggregates that a commentary is written from; no row of the log is in it."""
+    rows = rows.fillna("", ["ai_classification"])
+    number = lambda c: F.round(F.regexp_replace(c, "%", "").cast("double"), 1)
+    by_key = lambda k: lambda a, b: F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(0)
+    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)), by_key(k)))
+    queries = top_queries(rows, top).groupBy("ai_classification").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "query", "count"))), lambda x: F.struct(x["query"].alias("query"), x["count"].alias("count"))).alias("v")).agg(entries("ai_classification", "v").alias("top_queries_by_category"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(category_rank(), F.lit(len(CATEGORIES) + 1)).alias("o"), "ai_classification"))), lambda x: x["ai_classification"]).alias("categories"))
+    days = daily_category(rows).groupBy("date").agg(entries("ai_classification", "count").alias("v")).agg(entries("date", "v").alias("daily_category_counts"), F.struct(F.min("date").alias("from"), F.max("date").alias("to")).alias("date_range"))
+    usage = column_usage(rows).agg(entries("parameter", F.struct("count", number("rate_pct").alias("rate_pct")).alias("v")).alias("column_usage_rate"))
+    tail = long_tail(rows).groupBy("scope").agg(entries("bucket", F.struct(F.col("unique_query_count").alias("unique_queries"), number("volume_pct").alias("volume_pct")).alias("v")).alias("v")).agg(entries("scope", "v").alias("long_tail_distribution"))
+    one = queries.crossJoin(days).crossJoin(usage).crossJoin(tail)  # a row each
+    return one.select(F.to_json(F.struct("categories", "date_range", "top_queries_by_category", "daily_category_counts", "column_usage_rate", "long_tail_distribution")).alias("payload"))

@@ -209,4 +209,48 @@ def travel_times(matrix: DataFrame) -> DataFrame:
 def confidence(tiered: DataFrame) -> DataFrame:
     """One row: counts of full and partial matches and a label."""
     n = tiered.agg(F.count_if(F.col("class") == "full").alias("full"), F.count_if(F.col("class") == "partial").alias("partial"))
-    return n.withColumn("label", F.when(F.col("full") == 1, "high").when(F.col("full") > 1, "medium").when(F.col("partial") > 0, "low").otherwise("none"))
+    return n.withColumn("label", F.when(F.col("full") == 1, "decisive").when(F.col("full") > 1, "ambiguous").when(F.col("partial") > 0, "tentative").otherwise("none"))
+
+
+def basis(tiered: DataFrame) -> DataFrame:
+    """Rows that suggestions are drawn from: full matches, else partial ones, else all."""
+    n = tiered.agg(F.max(F.when(F.col("class") == "full", 2).when(F.col("class") == "partial", 1).otherwise(0)).alias("_best"))
+    best = F.when(F.col("_best") == 2, F.col("class") == "full").when(F.col("_best") == 1, F.col("class") == "partial").otherwise(True)
+    return tiered.crossJoin(F.broadcast(n)).where(best).drop("_best")  # n: one row
+
+
+def category_set(candidates: DataFrame) -> DataFrame:
+    """The distinct categories of all candidates."""
+    return candidates.select(F.explode("poi_category").alias("category")).distinct()
+
+
+def subnames(categories: DataFrame) -> DataFrame:
+    """(name, ids): category ids by their part after `>`."""
+    return categories.groupBy(F.element_at(F.split("id", ">"), F.when(F.contains("id", F.lit(">")), 2).otherwise(1)).alias("name")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def did_you_mean(guesses: DataFrame, variants: DataFrame, most: int = 5) -> DataFrame:
+    """(text, lat, lng): guesses first, then variants, one for each cell of some 30 metres, `most` in all. Both have pos, their order."""
+    both = guesses.select(F.lit(0).alias("_s"), "pos", "text", "lat", "lng").unionByName(variants.select(F.lit(1).alias("_s"), "pos", "text", "lat", "lng"))
+    cell = [F.floor(F.col(c) * 3000 + 0.5) for c in ("lat", "lng")]
+    one = both.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_s", "pos"))).where("_r = 1")
+    return one.orderBy("_s", "pos").limit(most).select("text", "lat", "lng")
+
+
+def merged(listed: DataFrame, merges: DataFrame) -> DataFrame:
+    """Rows left of clusters (group, pos, id, name, distance) after a model's merges (group, step, a, b: positions): of a pair the longer name stays, then the nearer.
+
+    A pair with a row that is already gone does nothing. Merges of a cluster are applied in order of step; clusters are of bounded size.
+    """
+    size = F.length(F.coalesce("name", F.lit("")))
+    own = listed.select("group", F.col("pos").alias("p"), size.alias("n"), F.coalesce(F.col("distance").cast("double"), F.lit(9e9)).alias("d"))
+    side = lambda c: own.select("group", F.col("p").alias(c), F.struct("p", "n", "d").alias(f"{c}_row"))
+    loser = F.when((F.col("a_row.n") > F.col("b_row.n")) | ((F.col("a_row.n") == F.col("b_row.n")) & (F.col("a_row.d") <= F.col("b_row.d"))), F.col("b")).otherwise(F.col("a"))
+    steps = merges.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"]).select("group", F.struct("step", "a", "b", loser.alias("x")).alias("m"))
+    gone = F.aggregate(F.array_sort(F.collect_list("m")), F.array().cast("array<bigint>"), lambda out, m: F.when(F.array_contains(out, m["a"].cast("bigint")) | F.array_contains(out, m["b"].cast("bigint")), out).otherwise(F.array_append(out, m["x"].cast("bigint"))))
+    dropped = steps.groupBy("group").agg(gone.alias("g")).select("group", F.explode("g").alias("pos"))
+    return listed.join(dropped, ["group", "pos"], "left_anti")
+
+
+def centroid(points: DataFrame) -> DataFrame:
+    return points.agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))

@@ -91,23 +91,34 @@ def floors(points: DataFrame, buildings: DataFrame, metres: float = 10.0, storey
     return joined.withColumn("floors", F.greatest(F.lit(1), F.floor(F.col("height") / storey + 0.5)).cast("int")).withColumn("floors", F.when(F.col("height").isNotNull(), F.col("floors"))).drop("_id", "_best", "_bid", "_hid", "height")
 
 
-def scan(points: DataFrame, lat: float, lng: float, radius: float, most: int = 50) -> DataFrame:
-    """Named points within radius, nearest first, `most` of them; distance rounded to a metre. A box bounds what is read."""
+def around(points: DataFrame, lat: float, lng: float, radius: float) -> DataFrame:
+    """points within radius, with their distance _d. A box bounds what is read."""
     dy, dx = radius / LAT_M * 1.01, radius / (LNG_M * math.cos(math.radians(lat))) * 1.01
-    box = points.where(F.col("lat").between(lat - dy, lat + dy) & F.col("lng").between(lng - dx, lng + dx) & (F.coalesce("name", F.lit("")) != ""))
-    near = box.withColumn("_d", haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2")).where(F.col("_d") <= radius)
+    box = points.where(F.col("lat").between(lat - dy, lat + dy) & F.col("lng").between(lng - dx, lng + dx))
+    return box.withColumn("_d", haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2")).where(F.col("_d") <= radius)
+
+
+def _nearest(near: DataFrame, most: int) -> DataFrame:
     return near.orderBy("_d", "id").limit(most).withColumn("distance", F.floor(F.col("_d") + 0.5)).drop("_d")
 
 
-def scan_layer(features: DataFrame, layer: str, lat: float, lng: float, radius: float, most: int = 50, where: Column | None = None, by_place: int | None = None) -> DataFrame:
-    """scan() over one partition of spatial features, further filtered; by_place: one of those that share coordinates rounded to so many decimals."""
+def scan(points: DataFrame, lat: float, lng: float, radius: float, most: int = 50) -> DataFrame:
+    """Named points within radius, nearest first, `most` of them; distance rounded to a metre."""
+    return _nearest(around(points.where(F.coalesce("name", F.lit("")) != ""), lat, lng, radius), most)
+
+
+def scan_layer(features: DataFrame, layer: str, lat: float, lng: float, radius: float, most: int = 50, where: Column | None = None, by_place: int | None = None, named: bool = True) -> DataFrame:
+    """scan() over one layer of spatial features, further filtered; by_place: the nearest of those that share coordinates rounded to so many decimals."""
     chosen = features.where(F.col("layer") == layer)
     if where is not None:
         chosen = chosen.where(where)
+    if named:
+        chosen = chosen.where(F.coalesce("name", F.lit("")) != "")
+    near = around(chosen, lat, lng, radius)
     if by_place is not None:
         cell = [F.floor(F.col(c) * 10**by_place + 0.5) for c in ("lat", "lng")]
-        chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("id"))).where("_r = 1").drop("_r")
-    return scan(chosen, lat, lng, radius, most)
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_d", "id"))).where("_r = 1").drop("_r")
+    return _nearest(near, most)
 
 
 def nearest_line(mains: DataFrame, lines: DataFrame, radius: float, where: Column | None = None, cell_m: float = 1000.0, most_lat: float = 60.0) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import copy
 
+import regex
+
+from larkfield.functions.reference import NATURAL
 from larkfield.functions.text import inferred_reach
 
 #: Short keys of requests.
@@ -27,9 +30,12 @@ def _queries(part: dict) -> list[str]:
     return given if not text or text in given else [text, *given]
 
 
-def with_defaults(request: dict, level: str = "very_close", most: int = 3, natural: bool = False) -> dict:
-    """A full copy of the request: every optional part present, conditions beyond `most` (0 to 5) set aside by name, loose levels along lines tightened."""
+def with_defaults(request: dict, level: str = "very_close", most: int = 3, natural: bool | None = None) -> dict:
+    """A full copy of the request: every optional part present, conditions beyond `most` (0 to 5) set aside by name, loose levels along lines
+    tightened, less so for natural targets (None: as the target's wording tells)."""
     out = copy.deepcopy(request)
+    if natural is None:
+        natural = bool(regex.search(NATURAL, (out.get("target") or {}).get("text") or ""))
     if near := out.get("proximity"):
         near.update({k: near.get(k) for k in ("bearing_filter", "scope", "within")})
         for anchor in near.get("anchors") or []:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.functions.geo import towards
+from larkfield.functions.geo import TURF_M, haversine, in_box, towards
 from larkfield.functions.text import normalised_search_name, search_name
 from larkfield.operators import candidates as lists
 from larkfield.operators import search, spatial
@@ -76,3 +76,40 @@ def search_poi(poi: DataFrame, request: dict, ratings: DataFrame | None = None,
     return kept.select(F.row_number().over(search.Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).alias("rank"), "id", "name", "lat", "lng", "score")  # capped above
 
 
+
+
+#: Most results by how specific a query is.
+LIMITS = {"unique": 5, "brand": 20, "generic": 30}
+
+
+def text_search(poi: DataFrame, query: str, types: list[str] | None = None, box=None, near: tuple[float, float] | None = None, category: str | None = None, specificity: str = "generic") -> DataFrame:
+    """Places whose name holds the query, nearest first if near is given, else by id; as many as its specificity allows.
+
+    types: feature types; box: a struct of bounds; category: one of poi_category. Leave one out to search without it. Rows without coordinates
+    are left out; only features of a place type keep their bbox.
+    """
+    rows = poi.where("lat is not null and lng is not null")
+    if box is not None:
+        rows = rows.where(in_box(F.col("lat"), F.col("lng"), box))
+    if types is not None:
+        rows = rows.where(F.col("feature_type").isin(types))
+    if category is not None:
+        rows = rows.where(F.array_contains("poi_category", category))
+    if "bbox" in poi.columns:
+        rows = rows.withColumn("bbox", F.when(F.col("feature_type") != "poi", F.col("bbox")))
+    far = haversine(F.lit(near[0]), F.lit(near[1]), F.col("lat"), F.col("lng"), TURF_M, "atan2") if near else F.lit(None).cast("double")
+    return named(rows, [query]).withColumn("distance", far).orderBy("distance", "id").limit(LIMITS.get(specificity, LIMITS["generic"]))
+
+
+def plain_search(poi: DataFrame, query: str, **options) -> DataFrame:
+    """text_search() as ranked results without a score."""
+    found = text_search(poi, query, **options)
+    w = search.Window.partitionBy(F.lit(0)).orderBy("distance", "id")  # limited above
+    return found.select(F.row_number().over(w).alias("rank"), "id", "name", "lat", "lng", F.lit(None).cast("double").alias("score"))
+
+
+def grounded(names: DataFrame, poi: DataFrame) -> DataFrame:
+    """(text, id, lat, lng): suggested names (pos, text) that a place bears, the first by id of each."""
+    own = names.select("pos", "text", normalised_search_name("text").alias("_n")).where("_n <> ''")
+    place = poi.groupBy(normalised_search_name("name").alias("_p")).agg(F.min(F.struct("id", "lat", "lng")).alias("b"))
+    return own.join(place, F.col("_n") == F.col("_p")).select("pos", "text", "b.*")
