@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkfield.functions import geo, text
-from larkfield.operators import compare, feedback, labels, layers, querylog, search
+from larkfield.operators import advisors, compare, feedback, labels, layers, models, querylog, routes, search
 from larkfield.operators.place_queries import _two_sides
 from larkfield.plans import search_poi
 from larkfield.sources.tables import ITEMS_SQL, LOG_SQL, PLACES_SQL, from_sql, items, places, query_log, table
@@ -65,6 +65,26 @@ def _scored(s, d):
     return places(s, d).select("id", F.when(F.col("id") % 9 == 0, "partial").otherwise("none").alias("class"), "lat", "lng")
 
 
+def _lines(s, d):
+    """Four crossing routes as lines."""
+    return s.createDataFrame([(k, [(139.0 + 0.01 * k, 35.0), (139.05, 35.05), (139.1 - 0.01 * k, 35.1)]) for k in range(4)], "id int, line array<struct<lng:double,lat:double>>")
+
+
+def _with_roads(s, d):
+    """Two streets a place, one of them through it."""
+    line = lambda dy: F.array(F.struct((F.col("lng") - 0.001).alias("lng"), (F.col("lat") - dy).alias("lat")), F.struct((F.col("lng") + 0.001).alias("lng"), (F.col("lat") + dy).alias("lat")))
+    both = F.explode(F.array(F.struct(F.lit("a").alias("road"), line(0.0).alias("line")), F.struct(F.lit("b").alias("road"), F.when(F.col("id") % 3 == 0, line(0.001)).otherwise(F.transform(line(0.001), lambda x: F.struct(x["lng"].alias("lng"), (x["lat"] + 0.01).alias("lat")))).alias("line"))))
+    return places(s, d).select("id", "lat", "lng", both.alias("r")).select("id", "lat", "lng", "r.*")
+
+
+def _routes(s, d):
+    step = lambda name, kind: F.struct(F.array(F.lit(kind)).alias("classes"), F.struct(name.alias("name")).alias("ic"), F.struct(F.lit(None).cast("string").alias("name")).alias("jct"))
+    steps = F.array(F.struct(F.array(step(F.lit("A"), "motorway"), step(F.concat(F.lit("B"), (F.col("id") % 3).cast("string")), "street"), step(F.lit("A"), "street")).alias("intersections")))
+    return places(s, d).select(F.col("id").alias("route_id"), F.array(F.struct(steps.alias("steps"))).alias("legs"))
+
+
+PLAN = {"prox": {"anc": [{"ty": "poi", "tx": "Customer#000000005"}], "wi": {"mnMi": 10, "mxMi": 60}}, "tgt": {"tx": "Customer"}, "cond": [{"ty": "poi", "tx": "Customer#00000001", "d": {"lv": "somewhat_nearby"}}]}
+
 _WORDS = {"bus_stop": text.asks_bus_stop, "shelter": text.asks_shelter, "building": text.asks_building, "natural": text.natural_target}
 QUERIES = {
     "feedback_history": lambda s, d: feedback.history(_log(s, d)),
@@ -106,6 +126,12 @@ QUERIES = {
     "box_circle": lambda s, d: places(s, d).select("id", geo.circle_box(F.col("lat"), F.col("lng"), F.lit(500.0)).alias("b")).select("id", F.round(geo.box_circle(F.col("b"))["radius"], 0).alias("radius")),
     "box_corridor": lambda s, d: places(s, d).select("id", geo.corridor_box(F.col("lat"), F.col("lng"), F.lit(35.05), F.lit(139.05), half_m=None).alias("b")).select("id", F.round("b.min_lat", 7).alias("south"), F.round("b.max_lat", 7).alias("north")),
     "geo_implied_travel": lambda s, d: places(s, d).where("id <= 50").select("id", F.explode(geo.implied_travel(F.col("lat"), F.col("lng"), True, 1.0, F.lit(90.0))).alias("c")).select("id", "c.position", "c.direction"),
+    "geo_corners": lambda s, d: advisors.corners(_with_roads(s, d)),
+    "route_coverage": lambda s, d: advisors.route_coverage(places(s, d), _lines(s, d), 600.0).select("id", "routes", "share"),
+    "route_info": lambda s, d: routes.route_info(_routes(s, d)).select("route_id", F.array_join("interchanges", ",").alias("interchanges"), "motorway", "entry", "exit"),
+    "search_plan": lambda s, d: search_poi.search_poi(places(s, d), PLAN),
+    "search_narrowed": lambda s, d: search_poi.narrowed(places(s, d), places(s, d).where("id in (3, 7)"), 250.0).select("id"),
+    "model_ask": lambda s, d: models.parsed(models.ask(table(s, d, "nation").select(F.to_json(F.struct("n_nationkey")).alias("payload")), lambda p: p if "1" in p else "no json"), "n_nationkey bigint").select("payload", F.col("value.n_nationkey").alias("key")),
     "log_values_in_order": lambda s, d: querylog.values_in_order(query_log(s, d), "ai_classification"),
     "log_requests": lambda s, d: querylog.requests_of_rows(query_log(s, d), ROLE_OF).select("row_idx", "query", "lat", "lng", "bbox", "navigation_profile", F.array_join("poi_category", ",").alias("poi_category")),
     "log_visible_columns": lambda s, d: querylog.visible_columns(query_log(s, d), ROLE_OF).distinct(),
@@ -162,6 +188,10 @@ FROM nation LEFT JOIN (VALUES (1, 'poi_attribute_wrong', 'fix'), (1, 'poi_missin
     "label_reasons": BASE + "SELECT id, concat_ws('|', CASE WHEN id % 9 >= 5 THEN '✔️ 5階建て以上（' || (id % 9) || '階相当）' END, CASE WHEN id % 2 = 0 THEN '✔️ すぐ近くにa' END, CASE WHEN id % 2 = 0 THEN '✔️ 近くにb（ではない）' END, '✔️ 同じビルにc') AS reasons FROM p",
     "box_circle": BASE + "SELECT id, 500.0::DOUBLE AS radius FROM p",
     "box_corridor": BASE + "SELECT id, round(least(lat, 35.05::DOUBLE) - 500 / 111000.0::DOUBLE, 7) AS south, round(greatest(lat, 35.05::DOUBLE) + 500 / 111000.0::DOUBLE, 7) AS north FROM p",
+    "geo_corners": BASE + "SELECT id, id % 3 = 0 AS corner FROM p",
+    "route_info": BASE + "SELECT id AS route_id, 'A,B' || (id % 3) AS interchanges, true AS motorway, 'A' AS entry, 'B' || (id % 3) AS exit FROM p",
+    "search_narrowed": BASE + ", b AS (SELECT min(lng) - 250 / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS a, min(lat) - 250 / 110540.0::DOUBLE AS b, max(lng) + 250 / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS c, max(lat) + 250 / 110540.0::DOUBLE AS d FROM p WHERE id IN (3, 7)) SELECT id FROM p, b WHERE lng BETWEEN a AND c AND lat BETWEEN b AND d",
+    "model_ask": """SELECT '{"n_nationkey":' || n_nationkey || '}' AS payload, CASE WHEN contains(n_nationkey::VARCHAR, '1') THEN n_nationkey END AS key FROM nation""",
     "log_values_in_order": f"WITH log AS ({LOG_SQL}) SELECT ai_classification AS value, min(row_idx) AS first_idx FROM log WHERE trim(ai_classification) <> '' GROUP BY 1",
     "log_visible_columns": f"WITH log AS ({LOG_SQL}) SELECT DISTINCT query, proximity, bbox, poi_category, navigation_profile FROM log",
     "log_requests": f"""WITH log AS ({LOG_SQL}), x AS (SELECT *, string_split(trim(proximity), ',') AS v FROM log), y AS (SELECT *, CASE WHEN len(v) = 2 THEN try_cast(v[1] AS DOUBLE) END AS a, CASE WHEN len(v) = 2 THEN try_cast(v[2] AS DOUBLE) END AS b FROM x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from larkfield.functions.reference import CATEGORIES
 from larkfield.functions.text import PLACE_QUERY, POI_QUERY
@@ -44,3 +46,29 @@ def classify(rows: DataFrame, model: Classifier = stub, batch: int = 30, column:
             yield pd.DataFrame({"query": texts, "label": [x for k in range(0, len(texts), batch) for x in classify_batch(model, texts[k : k + batch])]})
 
     return rows.select(F.coalesce(F.col(column), F.lit("")).alias("query")).distinct().mapInPandas(run, "query string, label string")
+
+
+def ask(rows: DataFrame, model: Callable[[str], str], column: str = "payload", attempts: int = 3) -> DataFrame:
+    """(payload, answer) of the distinct payloads (JSON): a model that takes and gives JSON is asked until it answers with valid JSON, `attempts`
+    times at most; null if it never does, so that callers fall back to keeping everything."""
+
+    def one(payload: str) -> str | None:
+        for _ in range(attempts):
+            try:
+                answer = model(payload)
+                json.loads(answer)
+                return answer
+            except Exception:
+                continue
+        return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"payload": frame["payload"], "answer": pd.Series([one(p) for p in frame["payload"]], dtype=object)})
+
+    return rows.select(F.col(column).alias("payload")).where("payload is not null").distinct().mapInPandas(run, "payload string, answer string")
+
+
+def parsed(answers: DataFrame, schema: str | DataType) -> DataFrame:
+    """answers with their JSON as columns of a struct `value`; null where there is no answer or it has another shape."""
+    return answers.withColumn("value", F.from_json("answer", schema))

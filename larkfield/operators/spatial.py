@@ -121,18 +121,21 @@ def scan_layer(features: DataFrame, layer: str, lat: float, lng: float, radius:
     return _nearest(near, most)
 
 
-def nearest_line(mains: DataFrame, lines: DataFrame, radius: float, where: Column | None = None, cell_m: float = 1000.0, most_lat: float = 60.0) -> DataFrame:
-    """(id, nearest) of mains with a line (id, line: array<struct<lng,lat>>) within radius metres. Lines meet mains by the cells of their segments."""
-    if where is not None:
-        lines = lines.where(where)
+def lines_within(mains: DataFrame, lines: DataFrame, radius: float, cell_m: float = 1000.0, most_lat: float = 60.0) -> DataFrame:
+    """(id, line_id, d) of mains and lines (id, line: array<struct<lng,lat>>) whose segments come within radius metres, a row a segment. Lines
+    meet mains by the cells of their segments."""
     ends = lines.select("id", F.explode(F.zip_with(F.slice("line", 1, F.greatest(F.size("line") - 1, F.lit(0))), F.slice("line", 2, F.greatest(F.size("line") - 1, F.lit(0))), lambda p, q: F.array(p, q))).alias("part"))
     dy, dx = cell_m / LAT_M, cell_m / (LNG_M * math.cos(math.radians(most_lat)))
     pad_y, pad_x = radius / LAT_M * 1.02, radius / (LNG_M * math.cos(math.radians(most_lat))) * 1.02
     span = lambda c, d, pad: F.explode(F.sequence(F.floor((F.least(F.col("part")[0][c], F.col("part")[1][c]) - pad) / d), F.floor((F.greatest(F.col("part")[0][c], F.col("part")[1][c]) + pad) / d)))
     parts = ends.withColumn("_cx", span("lng", dx, pad_x)).withColumn("_cy", span("lat", dy, pad_y))
     own = mains.where("lat is not null and lng is not null").select("id", "lat", "lng").withColumn("_cx", F.floor(F.col("lng") / dx)).withColumn("_cy", F.floor(F.col("lat") / dy))
-    near = own.join(parts.drop("id"), ["_cx", "_cy"]).withColumn("d", to_line(F.col("lat"), F.col("lng"), F.col("part"))).where(F.col("d") <= radius)
-    return near.groupBy("id").agg(F.min("d").alias("nearest"))
+    return own.join(parts.withColumnRenamed("id", "line_id"), ["_cx", "_cy"]).withColumn("d", to_line(F.col("lat"), F.col("lng"), F.col("part"))).where(F.col("d") <= radius).select("id", "line_id", "d")
+
+
+def nearest_line(mains: DataFrame, lines: DataFrame, radius: float, where: Column | None = None) -> DataFrame:
+    """(id, nearest) of mains with a line within radius metres; where: which lines count."""
+    return lines_within(mains, lines if where is None else lines.where(where), radius).groupBy("id").agg(F.min("d").alias("nearest"))
 
 
 def split_by_polygons(points: DataFrame, polygons: DataFrame, hole: Column | None = None, cell_deg: float = 0.01) -> DataFrame:

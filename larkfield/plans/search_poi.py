@@ -15,6 +15,7 @@ from larkfield.plans.schema import expand, problems, with_defaults
 #: Metres around anchors of a kind when the request states no reach.
 USUAL_REACH = {"station": 600.0, "locality": 800.0}
 REACH = 400.0
+SCOPE_REACH = 5000.0
 
 
 def named(poi: DataFrame, queries: list[str]) -> DataFrame:
@@ -24,42 +25,89 @@ def named(poi: DataFrame, queries: list[str]) -> DataFrame:
     return poi.withColumn("_n", name).where(F.exists(F.array(*map(F.lit, wanted)), lambda q: F.contains(F.col("_n"), q))).drop("_n") if wanted else poi.limit(0)
 
 
-def anchor_of(poi: DataFrame, anchors: list[dict]) -> tuple[float, float, float] | None:
-    """(lat, lng, usual reach) of the first anchor that a place bears: equal names first, then the first by id. One row comes to the driver."""
-    for a in anchors:
-        exact = search_name(a["text"])
-        row = named(poi, [a["text"]]).withColumn("_e", normalised_search_name("name") == exact).orderBy(F.desc("_e"), "id").first()
-        if row:
-            return row["lat"], row["lng"], USUAL_REACH.get(a.get("type"), REACH)
-    return None
+def place_of(poi: DataFrame, text: str) -> tuple[float, float] | None:
+    """(lat, lng) of the place a text names: equal names first, then the first by id. One row comes to the driver."""
+    row = named(poi, [text]).withColumn("_e", normalised_search_name("name") == search_name(text)).orderBy(F.desc("_e"), "id").first()
+    return (row["lat"], row["lng"]) if row else None
 
 
-def search_poi(poi: DataFrame, request: dict, ratings: DataFrame | None = None, blocked: list[str] = (), most: int = 150, least: float = 0.3) -> DataFrame:
-    """rank, id, name, lat, lng, score of a request (long or short keys) over poi: id, name, lat, lng.
+def centres(poi: DataFrame, near: dict, point: tuple[float, float] | None = None) -> list[tuple[float, float, float]]:
+    """(lat, lng, usual reach) of each anchor that a place bears; without any, of the scope, then of the request's own point."""
+    found = [(*at, USUAL_REACH.get(a.get("type"), REACH)) for a in near.get("anchors") or [] if a.get("text") and (at := place_of(poi, a["text"]))]
+    scope = (near.get("scope") or {}).get("text")
+    if not found and scope and (at := place_of(poi, scope)):
+        found = [(*at, SCOPE_REACH)]
+    return found or ([(*point, REACH)] if point else [])
 
-    Order of steps: reach, name rules, dedup, nearest `most`, ratings, conditions, scores, threshold and outlier cut. An unresolved anchor or a
-    request without target gives no rows.
+
+def span_of(within: dict, usual: float) -> tuple[float | None, float]:
+    """(inner, outer) metres of a stated reach: by level, as a ring, by minutes, by metres; else (None, usual). A ring without outer end goes half as far again."""
+    speed = search.SPEEDS.get(within.get("profile") or "walking", 80)
+    first = lambda *keys: next((within[k] for k in keys if within.get(k) is not None), None)
+    low, high, metres = first("minMinutes"), first("maxMinutes", "minutes"), first("maxMeters", "meters")
+    radius = search.DISTANCE_LEVELS.get(within.get("level"), (None, None, None))[1]
+    if within.get("level"):
+        return None, radius or usual
+    if low is not None:
+        return low * speed, high * speed if high is not None else low * speed * 1.5
+    return None, high * speed if high is not None else metres if metres is not None else usual
+
+
+def reachable(rows: DataFrame, points: list[tuple[float, float, float]], within: dict) -> DataFrame:
+    """rows within the stated reach of any of the points, with the distance of the nearest."""
+    far = [haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2") for lat, lng, _ in points]
+    inside = None
+    for d, (_, _, usual) in zip(far, points):
+        inner, outer = span_of(within, usual)
+        one = d <= outer if inner is None else (d <= outer) & (d >= inner)
+        inside = one if inside is None else inside | one
+    return rows.where(inside).withColumn("distance", F.least(*far) if len(far) > 1 else far[0])
+
+
+def narrowed(rows: DataFrame, items: DataFrame, radius_m: float = 250.0) -> DataFrame:
+    """rows within the box around items, padded: for a search with too many results, around its most selective condition."""
+    box = spatial.extent(items, radius_m).select(F.struct("min_lng", "min_lat", "max_lng", "max_lat").alias("_box"))
+    return rows.crossJoin(F.broadcast(box)).where(in_box(F.col("lat"), F.col("lng"), F.col("_box"))).drop("_box")  # box: one row
+
+
+def search_poi(poi: DataFrame, request: dict, ratings: DataFrame | None = None, blocked: list[str] = (), most: int = 150, least: float = 0.3, point: tuple[float, float] | None = None, trace: list | None = None) -> DataFrame:
+    """rank, id, name, lat, lng, score of a request (long or short keys) over poi: id, name, lat, lng, and if known floors and building.
+
+    Order of steps: reach, name rules, same building, floors, nearest `most`, dedup, ratings, conditions, scores, threshold and outlier cut. An
+    unresolved anchor or a request without target gives no rows. trace: a list that gets (step, rows left) of each step, to be counted.
     """
     plan = with_defaults(expand(request))
     empty = poi.select(F.lit(1).alias("rank"), "id", "name", "lat", "lng", F.lit(0.0).alias("score")).limit(0)
     if problems(plan):
         return empty
-    found = anchor_of(poi, plan["proximity"].get("anchors") or [])
-    if not found:
+    near, target = plan["proximity"], plan["target"]
+    points = centres(poi, near, point)
+    if not points:
         return empty
-    lat, lng, usual = found
-    within = plan["proximity"]["within"] or {}
-    reach = within.get("maxMeters") or (within["maxMinutes"] * search.SPEEDS.get(within.get("profile") or "walking", 80) if within.get("maxMinutes") else usual)
-    target = plan["target"]
-    rows = spatial.within_reach(named(poi, target["queries"]), lat, lng, reach)
-    if plan["proximity"]["bearing_filter"]:
-        rows = rows.where(towards(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng), F.lit(plan["proximity"]["bearing_filter"]), strict=False))
-    rows = search.cap(search.drop_blocked(search.drop_building_names(rows, target["query_intent"]), list(blocked)), most)
-    shape = rows.select(F.lit(0).alias("group"), "id", "name", "lat", "lng", "distance", F.row_number().over(search.Window.partitionBy(F.lit(0)).orderBy("distance", "id")).alias("pos"))  # capped above
+    step = (lambda name, df: trace.append((name, df))) if trace is not None else lambda name, df: None
+    within = near["within"] or {}
+    rows = reachable(named(poi, target["queries"]), points, within)
+    if near["bearing_filter"]:
+        rows = rows.where(towards(F.col("lat"), F.col("lng"), F.lit(points[0][0]), F.lit(points[0][1]), F.lit(near["bearing_filter"]), strict=False))
+    step("reach", rows)
+    rows = search.drop_blocked(search.drop_building_names(rows, target["query_intent"]), list(blocked))
+    for c in plan["conditions"]:
+        if search.reach_of(c["distance"]).by_building and "building" in poi.columns:
+            items = named(poi, c["queries"])
+            if not items.isEmpty():
+                rows = spatial.same_building(rows, items).where(~F.col("same") if c["negate"] else F.col("same")).drop("same")
+    floors = target.get("floors")
+    if floors and "floors" in poi.columns:
+        rows = rows.where(search.floor_pass(F.col("floors"), floors.get("value"), floors.get("min"), floors.get("max"), floors["negate"]))
+    step("rules", rows)
+    rows = search.cap(rows, most)
+    order = search.Window.partitionBy(F.lit(0)).orderBy("distance", "id")  # capped above
+    shape = rows.select(F.lit(0).alias("group"), "id", "name", "lat", "lng", "distance", F.row_number().over(order).alias("pos"))
     rows = lists.dedup_contained(lists.dedup_names(shape)).drop("group", "pos")
+    step("dedup", rows)
     rows = search.rate(rows, ratings, strict=True) if ratings is not None else rows.withColumn("relevance", F.lit("unknown"))
     rows = rows.withColumn("reach_sec", F.lit(None).cast("double")).withColumn("floors", F.lit(None).cast("int"))
-    hits, labels, tested = None, [], []
+    hits, labels = None, []
     for c in plan["conditions"]:
         how = search.reach_of(c["distance"])
         label = c.get("text") or c["type"]
@@ -69,15 +117,14 @@ def search_poi(poi: DataFrame, request: dict, ratings: DataFrame | None = None,
         one = search.condition_hits(rows, spatial.nearest_match(rows, items, how.reference_m, c["direction"], 32 if how.minutes else None), label, how.reference_m, c["negate"])
         hits = one if hits is None else hits.unionByName(one)
         labels.append(label)
-        tested.append(label)
     hits = hits if hits is not None else rows.select("id", F.lit("").alias("condition"), F.lit(0.0).alias("closeness")).limit(0)
-    scored = search.evaluate(rows, hits, labels, search.LITE, reference_m=max(1.0, reach), evaluated=tested) if labels else search.evaluate(rows, hits, ["-"], search.LITE, reference_m=max(1.0, reach))
+    reference = max(1.0, span_of(within, points[0][2])[1])
+    scored = search.evaluate(rows, hits, labels, search.LITE, reference_m=reference, evaluated=list(labels)) if labels else search.evaluate(rows, hits, ["-"], search.LITE, reference_m=reference)
     kept = search.outliers(scored, least)
+    step("scores", kept)
     return kept.select(F.row_number().over(search.Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).alias("rank"), "id", "name", "lat", "lng", "score")  # capped above
 
 
-
-
 #: Most results by how specific a query is.
 LIMITS = {"unique": 5, "brand": 20, "generic": 30}
 

@@ -82,3 +82,29 @@ def test_small_functions(spark):
     assert [value(layers.road_category(F.lit(x))) for x in ("path", "ferry", "junction", "odd", None)] == ["road", "rail and other", "point", "other", None]
     cells = value(geo.implied_travel(F.lit(35.0), F.lit(139.0), True, 1.0))
     assert len(cells) == 8 and {c["position"]: c["direction"] for c in cells}["S"] == "E"
+
+
+def test_plan_rings_floors_buildings_and_points(spark):
+    rows = [(1, "駅", 35.0, 139.0, None, None), (2, "店A", 35.004, 139.0, 3, 9), (3, "店B", 35.008, 139.0, 8, 9), (4, "店C", 35.02, 139.0, 8, 7), (5, "港", 35.03, 139.0, None, None), (6, "銀行", 35.0201, 139.01, 1, 7)]
+    poi = spark.createDataFrame(rows, "id long, name string, lat double, lng double, floors int, building long")
+    find = lambda near, steps=None, **k: sorted(r["name"] for r in search_poi.search_poi(poi, {"proximity": near, "target": {"text": "店"} | k.pop("target", {}), **k}, least=0.0, trace=steps).collect())
+    station, harbour = {"text": "駅"}, {"text": "港"}
+    assert find({"anchors": [station], "within": {"maxMinutes": 12}}) == ["店A", "店B"]
+    assert find({"anchors": [station], "within": {"minMinutes": 8, "maxMinutes": 12}}) == ["店B"]
+    assert find({"anchors": [station, harbour], "within": {"maxMeters": 1200}}) == ["店A", "店B", "店C"]
+    assert find({"scope": {"text": "港"}}) == ["店A", "店B", "店C"]
+    assert find({"anchors": [station], "within": {"level": "somewhat_nearby"}}, target={"floors": {"min": 5}}) == []
+    assert find({"anchors": [station], "within": {"maxMeters": 3000}}, target={"floors": {"min": 5}}) == ["店B", "店C"]
+    steps = []
+    assert find({"scope": {"text": "港"}}, steps, conditions=[{"type": "poi", "text": "銀行", "distance": {"level": "same_building"}}]) == ["店C"]
+    assert [(name, df.count()) for name, df in steps][:2] == [("reach", 3), ("rules", 1)]
+    assert len(find({"scope": {"text": "港"}}, conditions=[{"type": "poi", "text": "無い", "distance": {"level": "same_building"}}])) == 3
+    assert [r["name"] for r in search_poi.search_poi(poi, {"proximity": {"scope": {"text": "nowhere"}}, "target": {"text": "店"}}, point=(35.02, 139.0), least=0.0).collect()] == ["店C"]
+
+
+def test_route_coverage_counts_all_routes(spark):
+    lines = spark.createDataFrame([(k, [(139.0, 35.0 + k / 1000), (139.1, 35.0 + k / 1000)]) for k in range(12)], "id int, line array<struct<lng:double,lat:double>>")
+    poi = spark.createDataFrame([(1, 35.0, 139.05), (2, 35.011, 139.01), (3, 35.2, 139.0)], "id long, lat double, lng double")
+    from larkfield.operators import advisors
+
+    assert [(r["id"], r["routes"], round(r["share"], 3)) for r in advisors.route_coverage(poi, lines, 300.0).collect()] == [(1, 3, 0.25), (2, 3, 0.25)]
