@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,11 +118,24 @@ def nearest_prefecture(lng: Column, lat: Column) -> Column:
     return F.array_min(F.transform(table, lambda p: F.struct(haversine(lat, lng, p["y"], p["x"], EARTH_KM).alias("d"), p["k"].alias("ord"))))
 
 
+def with_prefecture(rows: DataFrame, lng: Column, lat: Column, name: str = "ord") -> DataFrame:
+    """rows with the place of the nearest prefecture, null without coordinates: the least of 47 squared chords, in generated code. Great circles
+    are measured only where a second chord is as good as equal."""
+    phi = [(math.radians(y), math.radians(x)) for _, y, x, _ in PREFECTURES]
+    units = [(math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p)) for p, q in phi]
+    chord = lambda u: sum((F.col(f"_{c}") - v) * (F.col(f"_{c}") - v) for c, v in zip("vw", u[1:])) + (F.col("_u") - u[0]) * (F.col("_u") - u[0])
+    own = rows.withColumns({"_x": lng, "_y": lat}).withColumns({"_u": F.cos(F.radians("_y")) * F.cos(F.radians("_x")), "_v": F.cos(F.radians("_y")) * F.sin(F.radians("_x")), "_w": F.sin(F.radians("_y"))})
+    near = own.withColumn("_c", F.array(*map(chord, units))).withColumn("_s", F.slice(F.sort_array("_c"), 1, 2)).withColumns({"_m": F.get("_s", F.lit(0)), "_n": F.get("_s", F.lit(1))})
+    equal = F.col("_n") <= F.col("_m") * (1 + 1e-9) + 1e-15
+    place = F.when(equal, nearest_prefecture(F.col("_x"), F.col("_y"))["ord"]).otherwise((F.array_position("_c", F.col("_m")) - 1).cast("int"))
+    return near.withColumn(name, F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), place)).drop("_x", "_y", "_u", "_v", "_w", "_c", "_s", "_m", "_n")
+
+
 def by_prefecture(rows: DataFrame) -> DataFrame:
     """47 rows, zeros filled, then rows without proximity; rate over all rows. Distinct proximities are located once."""
     n = rows.groupBy("proximity").agg(F.count("*").alias("n"))
     lng, lat = parse_proximity()
-    n = n.select("n", lng.alias("x"), lat.alias("y")).select("n", F.when(F.col("x").isNotNull(), nearest_prefecture(F.col("x"), F.col("y"))["ord"]).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
+    n = with_prefecture(n, lng, lat, "k").groupBy("k").agg(F.sum("n").alias("n"))
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     names = rows.sparkSession.createDataFrame([(k, p[0], p[3]) for k, p in enumerate(PREFECTURES)] + [(None, "(no proximity)", "")], "ord int, prefecture string, prefecture_romaji string")
     return names.join(n, F.col("ord").eqNullSafe(F.col("k")), "left").crossJoin(F.broadcast(total)).select("prefecture", "prefecture_romaji", F.coalesce("n", F.lit(0)).alias("count"), percent(F.coalesce("n", F.lit(0)), F.col("total")).alias("rate_pct"))  # total: one row

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
 import os
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stamp(now: datetime | None = None) -> str:
@@ -24,9 +26,41 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, single: bool =
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", quote_all).option("emptyValue", "").csv(path)
 
 
-def minified(struct) -> object:
-    """JSON of a struct without null fields."""
-    return F.to_json(struct, {"ignoreNullFields": "true"})
+def _lean(value: Column, kind: T.DataType) -> Column:
+    """The value without what says nothing: empty texts and lists are null, at every depth of structs."""
+    if isinstance(kind, T.StringType):
+        return F.nullif(value, F.lit(""))
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda x: _lean(x, kind.elementType)) if isinstance(kind.elementType, T.StructType) else value
+        return F.when(F.size(value) > 0, inner)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_lean(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def minified(df: DataFrame) -> DataFrame:
+    """(json): each row as JSON without nulls, empty texts and empty lists."""
+    return df.select(F.to_json(F.struct(*(_lean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields)), {"ignoreNullFields": "true"}).alias("json"))
+
+
+def response(ranked: DataFrame, meta: dict, most: int = 150) -> str:
+    """A search's answer as JSON: its results in order of rank, `most` at most as the search itself caps them, and what is known of the run."""
+    rows = minified(ranked.orderBy("rank").limit(most)).collect()
+    return json.dumps({"results": [json.loads(r["json"]) for r in rows], "meta": {"count": len(rows), **meta}}, ensure_ascii=False)
+
+
+#: Columns of the search feedback file, in order.
+FEEDBACK_COLUMNS = ["ts", "query", "label", "candidate_id", "name", "lat", "lng", "rank", "score", "tier", "relevance", "w_rel", "w_cond", "w_anchor", "decisiveness", "gold_min"]
+
+
+def write_feedback(feedback: DataFrame, path: str) -> None:
+    """Search feedback as CSV, every value quoted; columns it lacks are empty. The header's byte order mark tells spreadsheets the encoding."""
+    have = set(feedback.columns)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in FEEDBACK_COLUMNS]
+    line = F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cells))
+    head = feedback.sparkSession.createDataFrame([("\ufeff" + ",".join(FEEDBACK_COLUMNS),)], "value string").select("value", F.lit(0).alias("part"), F.lit("").alias("at"))
+    body = feedback.select(line.alias("value"), F.lit(1).alias("part"), F.col("ts").cast("string").alias("at"))
+    head.unionAll(body).coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)  # a log of one person's judgements
 
 
 def report(title: str, sections: list[tuple[str, DataFrame]], commentary: str = "", most: int = 500) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkfield.functions import geo, text
 from larkfield.operators import compare, feedback, labels, layers, querylog, search
 from larkfield.plans import schema, search_poi
+from larkfield.sources import sinks
 
 
 def test_merges_follow_their_order(spark):
@@ -108,3 +109,24 @@ def test_route_coverage_counts_all_routes(spark):
     from larkfield.operators import advisors
 
     assert [(r["id"], r["routes"], round(r["share"], 3)) for r in advisors.route_coverage(poi, lines, 300.0).collect()] == [(1, 3, 0.25), (2, 3, 0.25)]
+
+
+def test_json_says_nothing_twice(spark):
+    df = spark.createDataFrame([(1, "", ["x"], ("", 2.0), None), (2, "a", [], None, [("", 1)])], "rank int, name string, tags array<string>, at struct<b:string,c:double>, more array<struct<d:string,e:int>>")
+    assert [json.loads(r["json"]) for r in sinks.minified(df).collect()] == [{"rank": 1, "tags": ["x"], "at": {"c": 2.0}}, {"rank": 2, "name": "a", "more": [{"e": 1}]}]
+    got = json.loads(sinks.response(df.select("rank", "name"), {"stage": "done"}))
+    assert got == {"results": [{"rank": 1}, {"rank": 2, "name": "a"}], "meta": {"count": 2, "stage": "done"}}
+
+
+def test_feedback_file(spark, tmp_path):
+    df = spark.createDataFrame([("2", 'say "hi"', 0.5), ("1", "a,b", None)], "ts string, query string, score double")
+    sinks.write_feedback(df, str(tmp_path / "f"))
+    lines = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "f").glob("part-*"))).splitlines()
+    assert lines[0] == "\ufeff" + ",".join(sinks.FEEDBACK_COLUMNS) and lines[1].startswith('"1","a,b",""') and lines[2].startswith('"2","say ""hi""",""') and len(lines) == 3
+
+
+def test_nearest_prefecture_is_exact(spark):
+    far = [(p[2] + dx, p[1] + dy) for p in querylog.PREFECTURES for dx, dy in ((0, 0), (0.3, -0.2), (-5.0, 4.0))] + [(None, 35.0), (200.0, 95.0)]
+    rows = spark.createDataFrame(far, "x double, y double")
+    got = querylog.with_prefecture(rows, F.col("x"), F.col("y"), "a").withColumn("b", F.when(F.col("x").isNotNull(), querylog.nearest_prefecture(F.col("x"), F.col("y"))["ord"]))
+    assert got.where("not (a <=> b)").count() == 0
