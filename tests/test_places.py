@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfield.functions import geo, text
-from larkfield.operators import candidates, routes, search, spatial
+from larkfield.operators import candidates, place_queries, routes, search, spatial
 from larkfield.plans import schema
 from larkfield.plans.search_poi import search_poi
+from larkfield.sources import tables
 from larkfield.sources.tables import items, places
 from larkfield.streaming import log_streams
 
@@ -89,6 +90,21 @@ def test_lists(spark):
     assert len(candidates.hulls(df).first().ring) == 2
 
 
+def test_lists_hold_all_places_and_are_bounded(spark, sf_dir, monkeypatch):
+    listed = place_queries._listed(spark, sf_dir)
+    ids = sorted(r.id for r in places(spark, sf_dir).collect())
+    assert sorted(r.id for r in listed.collect()) == ids
+    twice = spark.range(20000).selectExpr("id as c_custkey", "'a' as c_name", "0 as c_nationkey")
+    monkeypatch.setattr(tables, "table", lambda *_: twice)
+    big = place_queries._listed(spark, sf_dir)
+    assert big.count() == 20000 and big.groupBy("group").count().agg(F.max("count")).first()[0] == 75
+    rows = spark.range(candidates.MOST + 1).selectExpr("'g' as group", "id as pos", "id", "'a' as name", "35.0D + id / 1000D as lat", "139.0D as lng", "1.0D as distance")
+    for operator in (candidates.dedup_names, candidates.near_clusters, candidates.hulls):
+        with pytest.raises(Exception, match="cap them first"):
+            operator(rows).collect()
+        assert operator(rows.where("id < 50")).count() > 0
+
+
 def test_plan(spark):
     request = {"prox": {"anc": [{"ty": "poi", "tx": "駅"}], "wi": {"mxMe": 900}}, "tgt": {"tx": "店"}, "cond": [{"ty": "road", "tx": "r", "d": {"lv": "far"}}, {"ty": "poi", "tx": "寺"}, {"ty": "poi"}, {"ty": "x", "tx": "y"}]}
     plan = schema.with_defaults(schema.expand(request))
