@@ -119,13 +119,13 @@ QUERIES = {
     "search_did_you_mean": lambda s, d: search.did_you_mean(*(f(s, d).select(F.col("id").alias("pos"), F.col("name").alias("text"), "lat", "lng") for f in (lambda s, d: places(s, d).where("id <= 3"), items))).select("text"),
     "search_merged": lambda s, d: _duplicated(s, d).select("id"),
     "search_centroid": lambda s, d: search.centroid(places(s, d)).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng")),
-    "search_text": lambda s, d: search_poi.text_search(places(s, d).where("id <= 5000"), "Customer#00000001", near=(35.05, 139.05), specificity="unique").select("id"),
+    "search_text": lambda s, d: search_poi.text_search(places(s, d), "Customer#00000001", near=(35.05, 139.05), specificity="unique").select("id"),
     "search_plain": lambda s, d: search_poi.plain_search(places(s, d), "00001").select("rank", "id"),
     "search_grounded": lambda s, d: search_poi.grounded(table(s, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("CUSTOMER # "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("text")), places(s, d)).select("pos", "id"),
     "label_reasons": lambda s, d: places(s, d).select("id", F.array_join(labels.reasons(REQUEST, (F.col("id") % 9).cast("int"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b")))), "|").alias("reasons")),
     "box_circle": lambda s, d: places(s, d).select("id", geo.circle_box(F.col("lat"), F.col("lng"), F.lit(500.0)).alias("b")).select("id", F.round(geo.box_circle(F.col("b"))["radius"], 0).alias("radius")),
     "box_corridor": lambda s, d: places(s, d).select("id", geo.corridor_box(F.col("lat"), F.col("lng"), F.lit(35.05), F.lit(139.05), half_m=None).alias("b")).select("id", F.round("b.min_lat", 7).alias("south"), F.round("b.max_lat", 7).alias("north")),
-    "geo_implied_travel": lambda s, d: places(s, d).where("id <= 50").select("id", F.explode(geo.implied_travel(F.col("lat"), F.col("lng"), True, 1.0, F.lit(90.0))).alias("c")).select("id", "c.position", "c.direction"),
+    "geo_implied_travel": lambda s, d: places(s, d).select("id", F.explode(geo.implied_travel(F.col("lat"), F.col("lng"), True, 1.0, F.lit(90.0))).alias("c")).select("id", "c.position", "c.direction"),
     "geo_corners": lambda s, d: advisors.corners(_with_roads(s, d)),
     "route_coverage": lambda s, d: advisors.route_coverage(places(s, d), _lines(s, d), 600.0).select("id", "routes", "share"),
     "route_info": lambda s, d: routes.route_info(_routes(s, d)).select("route_id", F.array_join("interchanges", ",").alias("interchanges"), "motorway", "entry", "exit"),

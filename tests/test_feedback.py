@@ -5,9 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from larkfield.functions import geo, text
-from larkfield.operators import compare, feedback, labels, layers, querylog, search
+from larkfield.operators import compare, feedback, feedback_queries, labels, layers, querylog, search
 from larkfield.plans import schema, search_poi
-from larkfield.sources import sinks
+from larkfield.sources import sinks, tables
 
 
 def test_merges_follow_their_order(spark):
@@ -85,6 +85,15 @@ def test_small_functions(spark):
     assert len(cells) == 8 and {c["position"]: c["direction"] for c in cells}["S"] == "E"
 
 
+def test_queries_take_all_places(spark, monkeypatch):
+    rows = [(k, f"Customer#00000001{k % 10}" if k > 5000 else f"Customer#{k}", 0) for k in (1, 50, 51, 5001, 20000)]
+    monkeypatch.setattr(tables, "table", lambda *_: spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int"))
+    assert {r.id for r in feedback_queries.QUERIES["search_text"](spark, "").collect()} == {5001, 20000}
+    # one travels east with the landmark at the left only south of it
+    got = feedback_queries.QUERIES["geo_implied_travel"](spark, "").collect()
+    assert sorted(map(tuple, got)) == sorted((k, *way) for k, *_ in rows for way in (("S", "E"), ("SE", "NE"), ("SW", "SE")))
+
+
 def test_plan_rings_floors_buildings_and_points(spark):
     rows = [(1, "駅", 35.0, 139.0, None, None), (2, "店A", 35.004, 139.0, 3, 9), (3, "店B", 35.008, 139.0, 8, 9), (4, "店C", 35.02, 139.0, 8, 7), (5, "港", 35.03, 139.0, None, None), (6, "銀行", 35.0201, 139.01, 1, 7)]
     poi = spark.createDataFrame(rows, "id long, name string, lat double, lng double, floors int, building long")
