@@ -6,8 +6,9 @@ n-grams of candidate paragraphs to it and sums, with DataFrame functions only. I
 variants calibrates the probabilities. A family counts if it beats `unknown`, reaches MIN_PROBABILITY and a template of that family is
 contained in the paragraph to MIN_CONTAINED of its word trigrams.
 
-A paragraph is a line, of any length. Lines without any trigger word have no feature of weight and are `unknown` by definition; they
-are not joined.
+Paragraphs are lines, of any length, and runs of two or more lines between blank ones (without a letter or digit, as a bare comment mark),
+joined with their comment marks stripped, so that a wrapped text is found too. A run counts for each family that none of its lines
+states, and lines of such a run are not `unknown`. Paragraphs without any trigger word are not joined.
 
 Cases: null and empty texts hold no licence; repeated lines count each; rows that repeat a doc_id are one document and get the same result;
 an empty table gives no rows; extra columns are not read.
@@ -16,7 +17,6 @@ an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,6 +80,8 @@ DECOYS = [
 ]
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|redistribut|creative commons|public domain|permission|rights reserved|\bcc0\b|\bcc[ -]by\b|confidential|unencumbered"
 TOKENS = r"[a-z0-9]+"
+#: Between runs of lines; line breaks with the comment marks after them, those that are words among them.
+BLANK, MARK = r"\n[^\p{L}\p{N}]*\n", r"(?i)(?:^|\r?\n)[^\p{L}\p{N}\n]*(?:(?:rem|dnl|c)[ \t]+)?"
 MOST_N, NEGATIVES, MIN_PROBABILITY, MIN_CONTAINED = 3, 1000, 0.7, 0.6
 UNKNOWN = "unknown"
 
@@ -142,9 +144,14 @@ def train(negatives: list[str], seed: int = 5, rounds: int = 400, l2: float = 2e
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, paragraph: the lines that have a trigger word."""
+    """key (doc_id, run, its hash, line; line -1 is the whole run), paragraph: the lines and runs of lines that have a trigger word."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(TRIGGER))
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.col("paragraph").rlike(TRIGGER))
+    runs = rows.select("doc_id", F.posexplode(F.split("text", BLANK)).alias("run", "whole"))
+    lines = F.split("whole", "\n")
+    joined = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("whole", MARK, " ").alias("paragraph")))).otherwise(F.array().cast("array<struct<line:int,paragraph:string>>"))
+    every = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("paragraph"))), joined)
+    rows = runs.select("doc_id", "run", F.xxhash64("whole").alias("hash"), F.inline(F.filter(every, lambda x: x["paragraph"].rlike(TRIGGER))))
+    return rows.select(F.struct("doc_id", "run", "hash", "line").alias("key"), "paragraph")
 
 
 def grams(words, n: int):
@@ -153,8 +160,9 @@ def grams(words, n: int):
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
-    """One row per row of docs: doc_id, licences (families found, sorted, joined by ', '; empty if none), n_lines (confirmed lines),
-    confidence (least probability of a confirmed line, null if none), n_unknown (candidate lines that no family claims)."""
+    """One row per row of docs: doc_id, licences (families found, sorted, joined by ', '; empty if none), n_lines (confirmed
+    lines, and runs confirmed across lines), confidence (least probability of one of them, null if none), n_unknown (candidate lines that no
+    family claims)."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text"))
     chosen = rows.select("h").distinct().orderBy("h").limit(negatives)  # training rows only: a bounded sample of documents
@@ -163,8 +171,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     families = classes[:-1]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
     shapes = [(f, k, g) for f, ss in TEMPLATES.items() for k, s in enumerate(ss) for g in sorted(_trigrams(s))]
-    known = spark.createDataFrame([(g, f, k, len(_trigrams(TEMPLATES[f][k]))) for f, k, g in shapes], "gram string, family string, template int, size int")
-    lines = paragraphs(docs, id_col, text_col).withColumn("key", F.struct("doc_id", "line", F.xxhash64("paragraph").alias("hash")))
+    ids = {(f, k): i for i, (f, k) in enumerate((f, k) for f, ss in TEMPLATES.items() for k in range(len(ss)))}
+    known = spark.createDataFrame([(g, f, ids[f, k], len(_trigrams(TEMPLATES[f][k]))) for f, k, g in shapes], "gram string, family string, template int, size int")
+    lines = paragraphs(docs, id_col, text_col)
     words = lines.select("key", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({TOKENS})"), 1).alias("words"))
     words = written(words.distinct(), "licence-lines")  # distinct: rows may repeat a document
     every = words.select("key", F.explode(F.array_distinct(F.concat(*(grams(F.col("words"), n) for n in range(1, MOST_N + 1))))).alias("gram"))
@@ -172,17 +181,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     total = every.join(F.broadcast(table), "gram").groupBy("key").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(classes))))
     z = F.array(*((F.col(f"z{k}") + float(bias[k])) / float(temperature) for k in range(len(classes))))
     top = F.array_max("z")
-    scored = total.select("key", z.alias("z")).withColumn("p", F.array_max(F.transform("z", lambda v: F.exp(v - top))) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    odds = total.select("key", z.alias("z"))
+    scored = odds.where("key.line >= 0").withColumn("p", F.array_max(F.transform("z", lambda v: F.exp(v - top))) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - top)))
     scored = scored.select("key", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", top).cast("int")).alias("family"), "p")
     short = words.select("key", F.explode(F.array_distinct(F.when(F.size("words") >= 3, grams(F.col("words"), 3)).otherwise(F.array(F.array_join("words", " "))))).alias("gram"))
-    contained = short.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg((F.count("*") / F.first("size")).alias("share")).groupBy("key", "family").agg(F.max("share").alias("share"))
-    both = scored.join(contained, ["key", "family"], "left")
+    parts = short.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg((F.count("*") / F.first("size")).alias("share"))
+    contained = parts.where("key.line >= 0").groupBy("key", "family").agg(F.max("share").alias("share"))
     sure = (F.col("family") != UNKNOWN) & (F.col("p") >= MIN_PROBABILITY) & (F.coalesce("share", F.lit(0.0)) >= MIN_CONTAINED)
-    flags = reduce(lambda a, b: [*a, b], (F.max(F.when(sure & (F.col("family") == f), F.lit(f))).alias(f"f{k}") for k, f in enumerate(families)), [])
-    by_doc = both.groupBy(F.col("key.doc_id").alias("id")).agg(*flags, F.count_if(sure).alias("n_lines"), F.min(F.when(sure, F.col("p"))).alias("confidence"), F.count_if(~sure).alias("n_unknown"))
+    lined = scored.join(contained, ["key", "family"], "left").select("key", "family", "p", sure.alias("sure"))
+    # a run may state several families, each against `unknown`; a template gives way to a fuller one of another family that has trigrams of it
+    rivals = F.array(*(F.array(*(F.lit(ids[o]) for o in ids if o[0] != t[0] and _trigrams(TEMPLATES[o[0]][o[1]]) & _trigrams(TEMPLATES[t[0]][t[1]]))).cast("array<int>") for t in ids))
+    held = parts.where(f"key.line < 0 and share >= {MIN_CONTAINED}").groupBy("key").agg(F.collect_list(F.struct("template", "family", "share")).alias("held")).join(odds, "key")
+    first = F.filter("held", lambda t: ~F.exists("held", lambda o: (o["share"] > t["share"]) & F.array_contains(F.get(rivals, t["template"]), o["template"])))
+    own = F.transform(F.array_distinct(F.transform(first, lambda t: t["family"])), lambda f: F.struct(f.alias("family"), (1 / (1 + F.exp(F.col("z")[len(families)] - F.get("z", F.array_position(F.array(*map(F.lit, families)), f).cast("int") - 1)))).alias("p")))
+    whole = held.select("key", F.filter(own, lambda s: s["p"] >= MIN_PROBABILITY).alias("stated"))
+    both = lined.unionByName(whole, allowMissingColumns=True).groupBy(F.col("key.doc_id").alias("id"), "key.run", "key.hash")
+    by_run = both.agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("found"), F.count_if("sure").alias("n"), F.min(F.when(F.col("sure"), F.col("p"))).alias("p"), F.count_if(~F.col("sure")).alias("left"), F.first("stated", ignorenulls=True).alias("stated"))
+    by_run = by_run.withColumn("across", F.filter(F.coalesce("stated", F.array().cast("array<struct<family:string,p:double>>")), lambda s: ~F.array_contains("found", s["family"])))
+    stated = F.concat("found", F.transform("across", lambda s: s["family"]))
+    flags = [F.max(F.when(F.array_contains(stated, f), F.lit(f))).alias(f"f{k}") for k, f in enumerate(families)]
+    least = F.min(F.least("p", F.array_min(F.transform("across", lambda s: s["p"])))).alias("confidence")
+    by_doc = by_run.groupBy("id").agg(*flags, F.sum(F.col("n") + F.size("across")).alias("n_lines"), least, F.sum(F.when(F.size("across") > 0, 0).otherwise(F.col("left"))).alias("n_unknown"))
     by_doc = by_doc.select("id", F.concat_ws(", ", *(f"f{k}" for k in range(len(families)))).alias("licences"), "n_lines", F.round("confidence", 6).alias("confidence"), "n_unknown")
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.join(by_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "confidence", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
+    rows = docs.select(F.col(id_col).alias("doc_id"))
+    return rows.join(by_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "confidence", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
 
 
 def _trigrams(sentence: str) -> set[str]:

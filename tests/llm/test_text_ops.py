@@ -144,3 +144,33 @@ def test_toxicity_without_labels_or_text(spark):
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
     kept = toxicity.scored(docs, toxicity.Model())
     assert kept.columns == ["doc_id", "text", "score", "_score"] and kept.agg(F.sum("score")).first()[0] == 36.0
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_licences_wrapped_over_lines(spark):
+    marked = lambda text, mark, end="\n": end.join(mark + line for line in text.split("\n"))
+    wrapped = [("MIT", MIT_GRANT), ("BSD", BSD_TEXT), ("GPL", GPL_HEADER), ("ISC", ISC_TEXT), ("LGPL", GPL_HEADER.replace("GNU General", "GNU Lesser General"))]
+    cases = [(family, f"int a;\n\n{form(text)}\n\n{PROSE}") for family, text in wrapped for form in (str, lambda t: "/*\n" + marked(t, " * ") + "\n */", lambda t: marked(t, "# ", "\r\n") + "\r\n#\r\n", lambda t: marked(t, "REM "), lambda t: marked(t, "// ") + "\nint main() { return 0; }")]
+    cases += [("MIT, GPL", f"{GPL_HEADER}\n{MIT_GRANT}"), ("MIT", "\n".join(MIT_GRANT.split())), ("", MIT_GRANT.replace("\n", "\n\n")), ("", f"{PROSE}\n" * 300), ("", "\n" * 50000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id bigint, text string")).collect()}
+    assert [got[k].licences for k in range(len(cases))] == [family for family, _ in cases]
+    assert {(r.n_lines, r.n_unknown) for r in got.values() if r.licences not in ("", "LGPL")} == {(1, 0), (2, 0)}
+    lines = "Released under the MIT License.\nReleased under the MIT License.\nHe needs a license to drive."
+    one = licenses.scan(spark.createDataFrame([(0, lines)], "doc_id bigint, text string")).first()
+    assert (one.licences, one.n_lines, one.n_unknown) == ("MIT", 2, 1)  # a run adds nothing to what its lines state
