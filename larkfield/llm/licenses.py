@@ -8,7 +8,9 @@ contained in the paragraph to MIN_CONTAINED of its word trigrams.
 
 Paragraphs are lines, of any length, and runs of two or more lines between blank ones (without a letter or digit, as a bare comment mark),
 joined with their comment marks stripped, so that a wrapped text is found too. A run counts for each family that none of its lines
-states, and lines of such a run are not `unknown`. Paragraphs without any trigger word are not joined.
+states, and lines of such a run are not `unknown`. Paragraphs that can't hold
+MIN_CONTAINED of any template, by needed_words(), are not scored, but for lines with a trigger word; a line is `unknown` if it has such a
+word or holds that much of a template, and no family claims it.
 
 Cases: null and empty texts hold no licence; repeated lines count each; rows that repeat a doc_id are one document and get the same result;
 an empty table gives no rows; extra columns are not read.
@@ -78,6 +80,7 @@ DECOYS = [
     "Copyright law is a subject of general interest to the public.",
     "The work was done in the source region with related conditions.",
 ]
+#: Lines that `unknown` counts where no family claims them; it decides no family.
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|redistribut|creative commons|public domain|permission|rights reserved|\bcc0\b|\bcc[ -]by\b|confidential|unencumbered"
 TOKENS = r"[a-z0-9]+"
 #: Between runs of lines; line breaks with the comment marks after them, those that are words among them.
@@ -143,15 +146,38 @@ def train(negatives: list[str], seed: int = 5, rounds: int = 400, l2: float = 2e
     return classes, {g: w[i] for g, i in index.items() if np.abs(w[i]).sum() > 0}, b, temperature
 
 
+def holds_template(text: str) -> bool:
+    own = _trigrams(text)
+    return any(len(own & every) / len(every) >= MIN_CONTAINED for every in (_trigrams(s) for ss in TEMPLATES.values() for s in ss))
+
+
+def needed_words() -> list[str]:
+    """Words one of which is in every paragraph that holds MIN_CONTAINED of a template's trigrams: of each template as many as leave too few
+    trigrams without them, long ones first, then such as no decoy has."""
+    common, found = set(tokens(" ".join(DECOYS))), set()
+    for sentence in (s for ss in TEMPLATES.values() for s in ss):
+        every = [set(t.split()) for t in _trigrams(sentence)]
+        left = [t for t in every if not t & found]
+        while len(left) / len(every) >= MIN_CONTAINED:
+            word = min(set().union(*left), key=lambda w: (-min(len(w), 6), w in common, -sum(w in t for t in left), w))
+            found.add(word)
+            left = [t for t in left if word not in t]
+    return sorted(found)
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (doc_id, run, its hash, line; line -1 is the whole run), paragraph: the lines and runs of lines that have a trigger word."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(TRIGGER))
+    """key (doc_id, run, its hash, line; line -1 is the whole run; asked: a trigger word), paragraph: the lines with a
+    trigger word, and all lines and runs of lines that can hold MIN_CONTAINED of a template."""
+    near = rf"(?<![a-z0-9])(?:{'|'.join(needed_words())})(?![a-z0-9])"
+    able = lambda x: F.lower(x).rlike(near)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(able(F.col("text")) | F.col("text").rlike(TRIGGER))
     runs = rows.select("doc_id", F.posexplode(F.split("text", BLANK)).alias("run", "whole"))
     lines = F.split("whole", "\n")
     joined = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("whole", MARK, " ").alias("paragraph")))).otherwise(F.array().cast("array<struct<line:int,paragraph:string>>"))
     every = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("paragraph"))), joined)
-    rows = runs.select("doc_id", "run", F.xxhash64("whole").alias("hash"), F.inline(F.filter(every, lambda x: x["paragraph"].rlike(TRIGGER))))
-    return rows.select(F.struct("doc_id", "run", "hash", "line").alias("key"), "paragraph")
+    every = F.transform(every, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), ((x["line"] >= 0) & x["paragraph"].rlike(TRIGGER)).alias("asked")))
+    rows = runs.select("doc_id", "run", F.xxhash64("whole").alias("hash"), F.inline(F.filter(every, lambda x: x["asked"] | able(x["paragraph"]))))
+    return rows.select(F.struct("doc_id", "run", "hash", "line", "asked").alias("key"), "paragraph")
 
 
 def grams(words, n: int):
@@ -161,13 +187,13 @@ def grams(words, n: int):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
     """One row per row of docs: doc_id, licences (families found, sorted, joined by ', '; empty if none), n_lines (confirmed
-    lines, and runs confirmed across lines), confidence (least probability of one of them, null if none), n_unknown (candidate lines that no
-    family claims)."""
+    lines, and runs confirmed across lines), confidence (least probability of one of them, null if none), n_unknown (lines about
+    licences that no family claims)."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text"))
     chosen = rows.select("h").distinct().orderBy("h").limit(negatives)  # training rows only: a bounded sample of documents
     some = rows.join(F.broadcast(chosen), "h").select("h", F.slice(F.split("text", "\n"), 1, 3).alias("lines")).dropDuplicates(["h"]).collect()
-    classes, weights, bias, temperature = train([line[:2000] for r in sorted(some) for line in r["lines"] if not re.search(TRIGGER, line)])
+    classes, weights, bias, temperature = train([line[:2000] for r in sorted(some) for line in r["lines"] if not re.search(TRIGGER, line) and not holds_template(line)])
     families = classes[:-1]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
     shapes = [(f, k, g) for f, ss in TEMPLATES.items() for k, s in enumerate(ss) for g in sorted(_trigrams(s))]
@@ -186,9 +212,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     scored = scored.select("key", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", top).cast("int")).alias("family"), "p")
     short = words.select("key", F.explode(F.array_distinct(F.when(F.size("words") >= 3, grams(F.col("words"), 3)).otherwise(F.array(F.array_join("words", " "))))).alias("gram"))
     parts = short.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg((F.count("*") / F.first("size")).alias("share"))
-    contained = parts.where("key.line >= 0").groupBy("key", "family").agg(F.max("share").alias("share"))
-    sure = (F.col("family") != UNKNOWN) & (F.col("p") >= MIN_PROBABILITY) & (F.coalesce("share", F.lit(0.0)) >= MIN_CONTAINED)
-    lined = scored.join(contained, ["key", "family"], "left").select("key", "family", "p", sure.alias("sure"))
+    contained = parts.where("key.line >= 0").groupBy("key", "family").agg(F.max("share").alias("share")).groupBy("key").agg(F.max("share").alias("most"), F.map_from_entries(F.collect_list(F.struct("family", "share"))).alias("shares"))
+    sure = (F.col("family") != UNKNOWN) & (F.col("p") >= MIN_PROBABILITY) & (F.coalesce(F.col("shares")[F.col("family")], F.lit(0.0)) >= MIN_CONTAINED)
+    lined = scored.join(contained, "key", "left").select("key", "family", "p", sure.alias("sure"), (~sure & (F.col("key.asked") | (F.coalesce("most", F.lit(0.0)) >= MIN_CONTAINED))).alias("left"))
     # a run may state several families, each against `unknown`; a template gives way to a fuller one of another family that has trigrams of it
     rivals = F.array(*(F.array(*(F.lit(ids[o]) for o in ids if o[0] != t[0] and _trigrams(TEMPLATES[o[0]][o[1]]) & _trigrams(TEMPLATES[t[0]][t[1]]))).cast("array<int>") for t in ids))
     held = parts.where(f"key.line < 0 and share >= {MIN_CONTAINED}").groupBy("key").agg(F.collect_list(F.struct("template", "family", "share")).alias("held")).join(odds, "key")
@@ -196,7 +222,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     own = F.transform(F.array_distinct(F.transform(first, lambda t: t["family"])), lambda f: F.struct(f.alias("family"), (1 / (1 + F.exp(F.col("z")[len(families)] - F.get("z", F.array_position(F.array(*map(F.lit, families)), f).cast("int") - 1)))).alias("p")))
     whole = held.select("key", F.filter(own, lambda s: s["p"] >= MIN_PROBABILITY).alias("stated"))
     both = lined.unionByName(whole, allowMissingColumns=True).groupBy(F.col("key.doc_id").alias("id"), "key.run", "key.hash")
-    by_run = both.agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("found"), F.count_if("sure").alias("n"), F.min(F.when(F.col("sure"), F.col("p"))).alias("p"), F.count_if(~F.col("sure")).alias("left"), F.first("stated", ignorenulls=True).alias("stated"))
+    by_run = both.agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("found"), F.count_if("sure").alias("n"), F.min(F.when(F.col("sure"), F.col("p"))).alias("p"), F.count_if("left").alias("left"), F.first("stated", ignorenulls=True).alias("stated"))
     by_run = by_run.withColumn("across", F.filter(F.coalesce("stated", F.array().cast("array<struct<family:string,p:double>>")), lambda s: ~F.array_contains("found", s["family"])))
     stated = F.concat("found", F.transform("across", lambda s: s["family"]))
     flags = [F.max(F.when(F.array_contains(stated, f), F.lit(f))).alias(f"f{k}") for k, f in enumerate(families)]

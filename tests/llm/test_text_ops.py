@@ -174,3 +174,20 @@ def test_licences_wrapped_over_lines(spark):
     lines = "Released under the MIT License.\nReleased under the MIT License.\nHe needs a license to drive."
     one = licenses.scan(spark.createDataFrame([(0, lines)], "doc_id bigint, text string")).first()
     assert (one.licences, one.n_lines, one.n_unknown) == ("MIT", 2, 1)  # a run adds nothing to what its lines state
+
+
+def test_licences_without_trigger_words(spark):
+    texts = ["Distributed under the GPL version 2.", "This project is released under the Apache 2.0 terms.", "Use of this source code is governed by a BSD-style", PROSE]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[k].n_lines + got[k].n_unknown for k in range(4)] == [1, 1, 1, 0]
+    assert [got[k].licences for k in range(2)] == ["GPL", "Apache-2.0"]
+
+
+def test_needed_words_are_necessary():
+    rng, words = random.Random(2), set(licenses.needed_words())
+    for sentence in (s for ss in licenses.TEMPLATES.values() for s in ss):
+        all_words, grams = licenses.tokens(sentence), licenses._trigrams(sentence)
+        for _ in range(300):  # any paragraph without one of them holds too little of the template
+            kept = [w for w in all_words if w not in words and rng.random() < 0.95]
+            assert len(licenses._trigrams(" ".join(kept)) & grams) / len(grams) < licenses.MIN_CONTAINED
+        assert sum(not set(g.split()) & words for g in grams) / len(grams) < licenses.MIN_CONTAINED
