@@ -5,7 +5,7 @@ adjacent pair of lowest rank (binary search over sorted pair keys, then a segmen
 pair left. Words that are done leave the array. A worker keeps the ids of pre-tokens it has met, up to CACHE_WORDS of them.
 
 Cases: null and empty texts have no ids; the strings of special tokens inside a text give the special ids; texts are never cut;
-repeated rows give repeated results; extra columns are not read.
+repeated rows give repeated results; a doc_id of any type, null too, is passed on unread; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,17 +14,15 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import steps, text_of
+from larkfield.llm.common import map_texts, text_of
 
 #: Pre-tokens a worker remembers before it starts anew; bounds its memory, not its results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Below this code point lower-casing, composition and classes are those of Python's tables; a text beyond it goes through the library's own normalizer.
 PLAIN = 0x250
 #: Marks of pre-tokens that are not plain words; beyond PLAIN, so no plain word begins with them.
@@ -223,21 +221,18 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A narrow map over the scan: no shuffle, memory bound by a step of text and the cache.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, " + ("ids array<int>, decoded string" if emit == "ids" else "ids_sha256 string, decoded_sha256 string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = encoder(path)
-        for frame in frames:
-            texts, outs = frame["text"].tolist(), []
-            for a, b in steps(list(map(len, texts))):
-                ids, count = bpe.encode(texts[a:b])
-                each = np.split(ids, np.cumsum(count)[:-1])
-                if emit == "ids":
-                    outs += [(len(x), x, bpe.decode(x.tolist()).decode()) for x in each]
-                else:
-                    outs += [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(x.tolist())).hexdigest()) for x in each]
-            yield pd.DataFrame(outs, columns=schema_names).assign(doc_id=frame["doc_id"])[["doc_id", *schema_names]] if outs else pd.DataFrame(columns=["doc_id", *schema_names])
-
-    schema_names = ["n_tokens", "ids", "decoded"] if emit == "ids" else ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return rows.mapInPandas(run, schema)
+
+        def work(texts: list[str]) -> list:
+            ids, count = bpe.encode(texts)
+            each = np.split(ids, np.cumsum(count)[:-1])
+            texts = map(bpe.decode, map(np.ndarray.tolist, each))
+            if emit == "ids":
+                return [count, each, [t.decode() for t in texts]]
+            return [count, [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], [hashlib.sha256(t).hexdigest() for t in texts]]
+
+        return work
+
+    return map_texts(rows, {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string"} if emit == "ids" else {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, start)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ STEP_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, which is one process; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="larkfield-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -60,6 +64,33 @@ def steps(lengths, most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
         yield a, len(lengths)
 
 
+#: Arrow types of the columns that map_texts makes, by their SQL names.
+ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()),
+}
+
+
+def map_texts(rows: DataFrame, made: dict[str, str], start: Callable[[], Callable], most: int = STEP_CHARS) -> DataFrame:
+    """rows with their last column, a text without nulls, replaced by the columns `made` (name: SQL type). A narrow map, no shuffle.
+
+    start() is called once a partition and gives a function of a list of texts that returns the columns' values; it gets about `most` bytes of
+    text at once, so memory is bound by an Arrow batch and a step. All other columns stay the Arrow arrays they are: an id keeps all its bits,
+    beside nulls too.
+    """
+    kept, types = rows.schema.fields[:-1], [ARROW[t] for t in made.values()]
+    names = [*(f.name for f in kept), *made]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, t in made.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for a, b in steps(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist(), most):
+                *own, texts = batch.slice(a, b - a).columns
+                yield pa.RecordBatch.from_arrays([*own, *(x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(work(texts.to_pylist()), types))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer: a bijection of uint64 that spreads all bits."""
     with np.errstate(over="ignore"):

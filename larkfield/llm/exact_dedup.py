@@ -1,24 +1,26 @@
 """Exact deduplication by content sort, with DataFrame functions only.
 
-Sampled splitters range-partition the normalised bytes (and a small salt, so that a text that a third of the rows share spreads over
-many partitions); each partition is sorted externally, equal texts lie adjacent, and the sorted aggregate compares neighbours in full and
-keeps one row per run. Runs of one text that the salt has parted meet by their SHA-256, a few bytes each.
-Rows get their group back by that hash, without their text.
+Sampled splitters range-partition rows by their normalised text (its leading characters, then its hash), each partition is sorted externally by
+the whole text, equal texts lie adjacent, and neighbouring rows are compared in full: a run is a stretch of equal texts, ordered by preference,
+and its first row is the one that stays. Rows keep their place in the run, so nothing is looked up by a hash afterwards.
+
+A text of more than max(HOT_ROWS, rows / HOT_PARTS) rows is hot; there are HOT_PARTS of them at most, whatever the table. Its rows are dealt to so
+many parts that none holds more than that, and the parts' runs, one row each, are compared by their whole texts once more.
 
 Cases: null counts as empty; texts are compared without the characters of [\\x20\\x09-\\x0D]; of equal texts the row with the most
-code points stays, then the smallest doc_id; a null doc_id stays only if its group has no other; rows that repeat a doc_id and text share
-the decision; an empty table gives no rows; extra columns are not read.
+code points stays, then the smallest doc_id, a null doc_id last; of rows that repeat a doc_id and text exactly one stays; an empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import text_of, written
 
-#: Parts a text may be dealt to; bounds the share of a hot text that one task sees to 1 / SALTS.
-SALTS = 64
+#: Rows of one text that a part may hold, and the number of hot texts at most.
+HOT_ROWS, HOT_PARTS = 64, 4000
 #: Leading characters that range splitters hold.
 LEAD = 48
 
@@ -27,19 +29,39 @@ def normalised(text):
     return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"[\t-\r]+", "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), one row per row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    norm = rows.select("doc_id", normalised(F.col("text")).alias("norm"), F.length("text").alias("chars"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # order of preference as one comparable struct
-    rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
-    # splitters are leading bytes, so that the sample of them that the driver sees stays small; texts are sorted and compared whole
-    lead = norm.withColumn("lead", F.substring("norm", 1, LEAD))
-    runs = lead.repartitionByRange(F.col("lead"), F.col("salt")).sortWithinPartitions("lead", "salt", "norm").groupBy("lead", "salt", "norm").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-    groups = runs.select(F.sha2("norm", 256).alias("sha"), "best", "n").groupBy("sha").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    groups = written(groups, "groups")  # apart from its aggregate, the join below can be split where one text is hot
-    ids = rows.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    return ids.join(groups, ids.text_sha256 == groups.sha).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), and `row` (key, or a number of its own), one row per row of docs.
+
+    key: a bigint column that tells rows apart.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), text_of(text_col).alias("text"))
+    norm = rows.select("doc_id", "row", normalised(F.col("text")).alias("norm"), F.length("text").alias("chars")).withColumn("hash", F.xxhash64("norm"))
+    most = max(HOT_ROWS, docs.count() // HOT_PARTS)
+    counts = docs.select(F.xxhash64(normalised(text_of(text_col))).alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = [(r["hash"], -(-r["n"] // most)) for r in counts.collect()]  # HOT_PARTS rows at most
+    parts = spark.createDataFrame(hot, "hash bigint, parts bigint")
+    dealt = norm.join(F.broadcast(parts), "hash", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), "parts"), F.lit(-1)))
+    # splitters are leading characters, a hash and a part, so that the sample of them that the driver sees stays small; texts are sorted and compared whole
+    lead = dealt.withColumn("lead", F.substring("norm", 1, LEAD))
+    run = Window.partitionBy("lead", "hash", "part", "norm")  # within its range partition: sorted, no other shuffle
+    order = [F.desc("chars"), F.col("doc_id").isNull(), "doc_id", "row"]
+    ranked = lead.repartitionByRange("lead", "hash", "part").select(
+        "doc_id", "row", "part", "norm", F.first(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).over(run.orderBy(*order)).alias("best"), F.count("*").over(run).alias("n")
+    )
+    head = (F.col("part") >= 0) & (F.col("row") == F.col("best.row"))
+    runs = written(ranked.select("doc_id", "row", "part", "best", "n", F.sha2("norm", 256).alias("text_sha256"), F.when(head, F.col("norm")).alias("norm")), "runs")
+    if not hot:
+        return _result(runs)
+    heads = runs.where("norm is not null").select(F.col("best.row").alias("run"), "norm", "best", "n")  # a row a part of a hot text
+    whole = heads.groupBy(F.col("norm").alias("same")).agg(F.min("best").alias("all_best"), F.sum("n").alias("all_n"))
+    merged = written(heads.join(whole, F.col("norm") == F.col("same")).select("run", "all_best", "all_n"), "hot")
+    joined = runs.join(F.broadcast(merged), F.col("best.row") == F.col("run"), "left")  # 2 * HOT_PARTS rows at most
+    return _result(joined.withColumns({"best": F.coalesce("all_best", "best"), "n": F.coalesce("all_n", "n")}))
+
+
+def _result(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row")
 
 
 ORACLE = r"""

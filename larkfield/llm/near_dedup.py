@@ -12,7 +12,8 @@ pair is either verified or already joined, yet a bucket of n near copies costs a
 threshold) give components.
 
 Cases: null and empty texts and texts without a word link with nothing; one to four words are one shingle; texts are never cut; rows of a
-null doc_id link with nothing; rows that repeat a doc_id must repeat its text; ties go to the smallest doc_id; extra columns are not read.
+null doc_id link with nothing; rows that repeat a doc_id are documents of their own, whatever their texts; ties go to the smallest doc_id, of
+its rows to the first; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import mix64, steps, text_of, written
+from larkfield.llm.common import map_texts, mix64, text_of, written
 from larkfield.llm.graph import Links, components
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 6
-#: Words a worker remembers before it starts anew; bounds its memory, not its results.
-CACHE_WORDS = 400_000
+#: Words a worker remembers before it starts anew; bytes of text it sketches at once. They bound its memory, not its results.
+CACHE_WORDS, SKETCH_BYTES = 150_000, 250_000
 #: Members of a bucket whose remaining pairs are joined one by one; outsiders and members of a block in larger ones; shingles a matrix product counts at once.
 SMALL, BLOCK_FEW, BLOCK_MANY, COLUMNS = 32, 128, 512, 4096
 _ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(64)], dtype=np.uint64)
@@ -126,29 +127,31 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest of the shingle multiset (null without shingles) and its band hashes, written to the shared folder."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """row, doc_id, mark (a hash of the text), digest of the shingle multiset (null without shingles) and its band hashes, written to the shared folder."""
+    source = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+    source = source.select("row", "doc_id", F.xxhash64("text").alias("mark"), "text")
     shift = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         shingles = Shingles()
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for a, b in steps(list(map(len, texts)), 500_000):
-                bags = [shingles.of(t) for t in texts[a:b]]
-                some = [i for i, x in enumerate(bags) if len(x[0])]
-                digest: list = [None] * len(bags)
-                hashes: list = [None] * len(bags)
-                sig = signatures([bags[i] for i in some], bands * rows) if some else []
-                for i, s in zip(some, sig):
-                    with np.errstate(over="ignore"):
-                        band = mix64((mix64(s).reshape(bands, rows) * _ODD[:rows]).sum(1, dtype=np.uint64) + shift)
-                    digest[i] = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=16).digest()
-                    hashes[i] = band.view(np.int64)
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].array, "digest": digest, "bands": hashes})
-
-    return written(source.mapInPandas(run, "doc_id bigint, digest binary, bands array<bigint>"), "sketches")
+
+        def work(texts: list[str]) -> list:
+            bags = [shingles.of(t) for t in texts]
+            some = [i for i, x in enumerate(bags) if len(x[0])]
+            digest: list = [None] * len(bags)
+            hashes: list = [None] * len(bags)
+            sig = signatures([bags[i] for i in some], bands * rows) if some else []
+            for i, s in zip(some, sig):
+                with np.errstate(over="ignore"):
+                    band = mix64((mix64(s).reshape(bands, rows) * _ODD[:rows]).sum(1, dtype=np.uint64) + shift)
+                digest[i] = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=16).digest()
+                hashes[i] = band.view(np.int64)
+            return [digest, hashes]
+
+        return work
+
+    return written(map_texts(source, {"digest": "binary", "bands": "array<bigint>"}, start, SKETCH_BYTES), "sketches")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,17 +245,19 @@ def _rows(units: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rep_id (least doc_id of its equal multisets), cluster_id (least doc_id reachable by links), kept, one row per row."""
-    sketch = sketches(docs, bands, rows, id_col, text_col)
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """doc_id, rep_id (least doc_id of its equal multisets), cluster_id (least doc_id reachable by links), kept, and `row` (key, or a number of
+    its own), one row per row. One row of each cluster is kept. key: a bigint column that tells rows apart."""
+    sketch = sketches(docs, bands, rows, id_col, text_col, key)
     known = sketch.where("digest is not null and doc_id is not null")
-    reps = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    reps = known.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "mark")).alias("least"), F.first("bands").alias("bands"))
+    reps = written(reps.select("digest", F.col("least.row").alias("rep"), F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"), "bands"), "classes")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     centers = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").select("bucket", "center")
     shared = written(members.join(centers, "bucket"), "buckets")  # members of buckets of two and more
-    ids = shared.select(F.col("rep").alias("id")).distinct()
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    texts = written(source.join(ids, "id").dropDuplicates(["id"]), "candidates")
+    ids = reps.join(shared.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "doc_id", "mark")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    texts = written(source.join(ids, ["doc_id", "mark"]).select("id", "text").dropDuplicates(["id"]), "candidates")  # a text is known by its id and hash
     first = written(shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
     links = written(verified(first, texts, threshold), "links")
     placed, parted = _parted(shared, links)
@@ -269,7 +274,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     large = in_blocks(mixed.where(F.col("n") > SMALL), texts.join(reps.select(F.col("rep").alias("id"), "bands"), "id"), threshold)
     links = links.unionByName(verified(third, texts, threshold)).unionByName(large)
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class"), "rep", F.coalesce("component", "rep").alias("comp"))
-    alone = sketch.where("digest is null or doc_id is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept"))
-    rest = known.select("doc_id", "digest").join(classes, F.col("digest") == F.col("class")).select("doc_id", F.col("rep").alias("rep_id"), F.col("comp").alias("cluster_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
+    classes = reps.select("digest", "rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class"), F.col("doc_id").alias("rep_id"), F.struct("doc_id", F.col("rep").alias("row")).alias("first"), F.coalesce("component", "rep").alias("comp"))
+    firsts = classes.groupBy(F.col("comp").alias("whole")).agg(F.min("first").alias("least"))
+    classes = classes.join(firsts, F.col("comp") == F.col("whole")).select("class", "rep_id", "least")
+    alone = sketch.where("digest is null or doc_id is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept"), "row")
+    rest = known.select("doc_id", "row", "digest").join(classes, F.col("digest") == F.col("class")).select("doc_id", "rep_id", F.col("least.doc_id").alias("cluster_id"), (F.col("row") == F.col("least.row")).alias("kept"), "row")
     return rest.unionByName(alone)

@@ -5,7 +5,7 @@ the totals, one number a partition, into global offsets. Pass 2 cuts each docume
 the boundary records between neighbouring sequences. No shuffle; nothing is gathered by sequence.
 
 Cases: a null or empty text is its end token alone; a text of any length is cut freely, never shortened; repeated rows are packed
-each on their own; an empty table gives no pieces; extra columns are not read.
+each on their own; a doc_id of any type, null too, is passed on unread; an empty table gives no pieces; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.bpe import encoder
-from larkfield.llm.common import steps, text_of, written
+from larkfield.llm.common import map_texts, text_of, written
 
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, opens boolean, closes boolean"
 
@@ -28,20 +28,22 @@ PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, part, part_start (tokens before it in its partition), doc_tokens, ids (little-endian unsigned 32-bit), written to the shared folder."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for a, b in steps(list(map(len, texts))):
-                ids, count = bpe.encode(texts[a:b])
-                each = [np.append(x, end_id).astype("<u4").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
-                total = count + 1
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].array, "part": part, "part_start": at + np.cumsum(total) - total, "doc_tokens": total, "ids": each})
-                at += int(total.sum())
 
-    return written(rows.mapInPandas(run, f"doc_id {kind}, part int, part_start bigint, doc_tokens bigint, ids binary"), "packing")
+        def work(texts: list[str]) -> list:
+            nonlocal at
+            ids, count = bpe.encode(texts)
+            total = count + 1
+            ends = np.cumsum(total)
+            data = np.insert(ids, np.cumsum(count), end_id).astype("<u4").tobytes()
+            first, at = at + ends - total, at + int(ends[-1])
+            return [np.full(len(texts), part), first, total, [data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), total.tolist())]]
+
+        return work
+
+    return written(map_texts(rows, {"part": "int", "part_start": "bigint", "doc_tokens": "bigint", "ids": "binary"}, start), "packing")
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -56,16 +58,21 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
     kind = table.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(c.split()[0] for c in PIECES.split(", ")), *(["ids"] if with_ids else [])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, at, data in zip(frame["doc_id"], frame["at"].tolist(), frame["ids"]):
-                n = len(data) // 4
-                cuts = [0, *range(window - at % window, n, window), n]
-                for a, b in zip(cuts, cuts[1:]):
-                    piece = data[4 * a : 4 * b]
-                    row = (doc, a, b - a, zlib.crc32(piece), n, (at + a) // window, (at + a) % window, a == 0, b == n)
-                    out.append((*row, np.frombuffer(piece, "<u4").astype("int32")) if with_ids else row)
-            yield pd.DataFrame(out, columns=names)
-
-    return placed.mapInPandas(run, f"doc_id {kind}, {PIECES}" + (", ids array<int>" if with_ids else ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, at, data = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            edge = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset).astype(np.int64) if len(data) else np.zeros(1, np.int64)
+            n, view = np.diff(edge) // 4, memoryview(data.buffers()[2] or b"")
+            first = at // window
+            count = (at + n - 1) // window - first + 1
+            row = np.repeat(np.arange(len(data)), count)
+            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            a = np.maximum(sequence * window, at[row]) - at[row]
+            b = np.minimum((sequence + 1) * window - at[row], n[row])
+            pieces = [view[x:y] for x, y in zip((edge[row] + 4 * a).tolist(), (edge[row] + 4 * b).tolist())]
+            out = [docs.take(pa.array(row)), a, b - a, pa.array(map(zlib.crc32, pieces), pa.int64()), n[row], sequence, (at[row] + a) % window, a == 0, b == n[row]]
+            if with_ids:
+                out.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=names)
+
+    return placed.mapInArrow(run, f"doc_id {kind}, {PIECES}" + (", ids array<int>" if with_ids else ""))

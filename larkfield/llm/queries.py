@@ -23,7 +23,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_embedding_dedup(spark, sf_dir):
@@ -35,7 +35,7 @@ def op5_html_extraction(spark, sf_dir):
 
 
 def op6_bagminhash(spark, sf_dir):
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_packing(spark, sf_dir):

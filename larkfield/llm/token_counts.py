@@ -1,27 +1,27 @@
 """Token counts from distinct pre-tokens.
 
 A pre-token is a run of spaces with the characters after it, up to the next space or line feed. No piece of the model spans such a
-border, so pieces are counted once for each distinct pre-token a worker meets and joined to each document's pre-token frequencies;
-ids are never made. The join is with the worker's own table, as a shuffle of (document, pre-token) rows would move more bytes than the text.
+border, so pieces are counted once for each distinct pre-token a worker meets and joined to each document's pre-token frequencies; a
+document's ids are never made, only those of pre-tokens a worker hasn't met. The join is with the worker's own table, as a shuffle of (document,
+pre-token) rows would move more bytes than the text.
 
-Cases: null and empty texts count 0 tokens; texts are never cut; repeated rows give repeated results; extra columns are not read.
+Cases: null and empty texts count 0 tokens; texts are never cut; repeated rows give repeated results; a doc_id of any type, null too, is
+passed on unread; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from operator import mul
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import text_of
+from larkfield.llm.common import map_texts, text_of
 
 #: Pre-tokens a worker remembers before it starts anew; bounds its memory, not its results.
-CACHE_PRETOKENS = 400_000
+CACHE_PRETOKENS = 200_000
 
 
 class PieceCounter:
@@ -70,12 +70,14 @@ def counter(path: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) per row: a narrow map, no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         pieces = counter(path)
-        for frame in frames:
-            n = [pieces.count(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": frame["text"].map(lambda t: len(t.encode())).astype("int64"), "n_tokens": pd.Series(n, index=frame.index, dtype="int64")}).assign(over_limit=lambda x: x["n_tokens"] > limit)
 
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+        def work(texts: list[str]) -> list:
+            n = list(map(pieces.count, texts))
+            return [[len(t.encode()) for t in texts], n, [k > limit for k in n]]
+
+        return work
+
+    return map_texts(rows, {"n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}, start)

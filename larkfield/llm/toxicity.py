@@ -5,11 +5,13 @@ Filters of several widths slide over the words, max pooling keeps each filter's
 Thresholds are calibrated for each language, as guessed from the text's own function words, on rows kept out of the fit; a text's score
 is the logistic of its logit shifted so that its language's threshold is TARGET.
 
-Fitting reads a bounded sample of labelled rows (sample_toxic and sample_clean, by hash of the id); scoring reads every whole text.
+Fitting reads a bounded sample of labelled rows (sample_toxic and sample_clean, by hash of the id); scoring reads every whole text. What
+the fit does follows the sample alone, never the table: with fewer than LEAST_HELD toxic rows kept out the thresholds come from the fit's own rows,
+a language with fewer than LEAST_LANGUAGE rows of either class uses the common threshold, and small samples get more passes (LEAST_PASSES).
 
-Cases: null and empty texts get the score of a text without words; texts are never cut; null labels are no labels; of several labels or
-rows of one id the sample takes one; without labels of both classes every score is the base rate (0 without any); repeated rows
-get equal scores; extra columns are not read by the model.
+Cases: null and empty texts get the score of a text without words; texts are never cut; null labels are no labels; of several labels of one
+id the sample takes the toxic one, of several texts the greatest; without labels of both classes every score is the base rate (0 without any);
+repeated rows get equal scores; ids and all other columns are passed on unread, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,19 +22,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larkfield.llm.common import steps, text_of
+from larkfield.llm.common import map_texts, steps, text_of
 
 WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
 #: predicted is 1 from this score on.
 TARGET = 0.7
-#: Words a worker remembers before it starts anew; bounds its memory, not its results.
-CACHE_WORDS = 200_000
+#: Words whose projections a worker remembers before it starts anew, 288 bytes each; characters of text it scores at once. They bound its memory, not its results.
+CACHE_WORDS, SCORE_CHARS = 50_000, 125_000
+#: Toxic rows that calibrate apart from the fit at least; rows of each class that a language's own threshold takes; row passes of a fit at least, and passes at most.
+LEAST_HELD, LEAST_LANGUAGE, LEAST_PASSES, MOST_PASSES = 8, 15, 40_000, 60
 #: Function words that tell the languages apart.
 LANGUAGES = {
     "en": frozenset("the of and to in is that it for was on are as with be by at this have from".split()),
@@ -123,7 +127,7 @@ class Model:
         for y in (0, 1):
             order[labels == y] = np.arange((labels == y).sum())
         held = order % holdout == holdout - 1
-        if (labels[held] == 1).sum() < 8:  # too few to calibrate on apart: the thresholds use the fit's own rows
+        if (labels[held] == 1).sum() < LEAST_HELD:  # too few to calibrate on apart
             held = np.zeros(len(labels), dtype=bool)
         train = np.flatnonzero(~held)
         # rows of buckets that only one or two texts touch stay zero: they would only learn those texts
@@ -139,7 +143,7 @@ class Model:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
         bias_m = [0.0, 0.0]
         step = 0
-        epochs = max(epochs, min(60, 40_000 // max(1, len(train))))  # small samples need more passes
+        epochs = max(epochs, min(MOST_PASSES, LEAST_PASSES // max(1, len(train))))  # small samples need more passes
         for epoch in range(epochs):
             for part in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
                 n = np.array([len(rows[i]) for i in part])
@@ -204,7 +208,7 @@ class Model:
         self.thresholds = {"": everywhere}
         for k in (*LANGUAGES, "other"):
             own = guess == k
-            if (y[own] == 1).sum() >= 15 and (y[own] == 0).sum() >= 15:
+            if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= LEAST_LANGUAGE:
                 self.thresholds[k] = _threshold(logits[own], y[own])
         return self
 
@@ -217,14 +221,14 @@ class Model:
         if cache is None:
             cache = {}
         index = cache.setdefault("index", {})
-        if len(index) > CACHE_WORDS:
-            index.clear()
-            cache["table"] = None
         logits, langs = np.zeros(len(texts), np.float64), []
         kernel = cache.get("kernel")
         if kernel is None:
             kernel = cache["kernel"] = np.concatenate([self.conv[w][k] for w in WIDTHS for k in range(w)], 1)
-        for a, b in steps([len(t) for t in texts], 250_000):
+        for a, b in steps([len(t) for t in texts], SCORE_CHARS):
+            if len(index) > CACHE_WORDS:
+                index.clear()
+                cache["table"] = None
             lists = [WORD.findall(t.lower()) for t in texts[a:b]]
             langs += [language(x) for x in lists]
             flat = [w for x in lists for w in x]
@@ -232,7 +236,7 @@ class Model:
                 rows = self.embed[np.array([self.features(w) for w in new])].sum(1) @ kernel
                 n0, table = len(index), cache.get("table")
                 if table is None or n0 + len(new) > len(table):
-                    bigger = np.zeros((max(2 * (n0 + len(new)), 1 << 12), kernel.shape[1]), np.float32)
+                    bigger = np.zeros((max(n0 + n0 // 2, n0 + len(new), 1 << 12), kernel.shape[1]), np.float32)
                     if table is not None:
                         bigger[:n0] = table[:n0]
                     cache["table"] = table = bigger
@@ -286,24 +290,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1500, sample_cle
     return Model().fit(got["_text"].tolist(), got["_y"].to_numpy(dtype=np.int64))
 
 
+def scored(docs: DataFrame, model: Model, text_col: str = "text", column: str = "_score") -> DataFrame:
+    """docs without its text, with the score as last column: a narrow map, no shuffle. The model is a few MB at any input size."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        own, cache = shared.value, {}
+        return lambda texts: [own.score(texts, cache)]
 
+    return map_texts(docs.select(*(c for c in docs.columns if c != text_col), text_of(text_col)), {column: "double"}, start, SCORE_CHARS)
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", column: str = "_score") -> DataFrame:
-    """docs with the score as one more column, all columns kept: a narrow map, no shuffle. The model is a few MB at any input size."""
+
+def score_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score as a column of docs. Only texts go to Python; a row's other columns stay where they are, of any type and name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, cache = shared.value, {}
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame[text_col]]
-            yield frame.assign(**{column: own.score(texts, cache)})
+        for texts in batches:
+            yield pa.array(np.concatenate([own.score(texts.slice(a, b - a).to_pylist(), cache) for a, b in steps(pc.binary_length(texts).to_pylist(), SCORE_CHARS)] or [np.zeros(0)]), pa.float64())
 
-    return docs.mapInPandas(run, schema)
+    return score(text_of(text_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per row of docs."""
-    model = fit(docs, labels, **bounds)
-    rows = scored(docs.select("doc_id", text_of().alias("text")), model)
+    rows = scored(docs.select("doc_id", text_of().alias("text")), fit(docs, labels, **bounds))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= TARGET).cast("int").alias("predicted"))

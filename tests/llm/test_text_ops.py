@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers as P
@@ -101,6 +103,12 @@ PROSE = "The cat sat on the mat and it was in the house with all of the people t
         (f'<script>var t="</p>";</script><!-- x --><div class="ad">{PROSE}</div><article><p>{PROSE}</p></article>', PROSE),
         (f"<div id=main><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><div class=sidebar>x</div><form><p>{PROSE}</p></form>", f"{PROSE} Short one. {PROSE}"),
         (f'<article><p>{PROSE}</p><section class="comments"><p>{PROSE}</p></section></article>', PROSE),
+        *((f'<div class="{c}"><p>{PROSE}</p><p>{PROSE}</p></div>', f"{PROSE} {PROSE}") for c in ("content has-sidebar", "post no-comments", "layout-with-header", "story search-result", "entry-content share-enabled")),
+        *((f'<p>{PROSE}</p><div class="{c}"><p>{PROSE}</p></div>', PROSE) for c in ("site-footer", "x sidebar", "postComments", "related-posts", "cookie-banner")),
+        (f"<main><a href=x>Go to the start of it</a></main><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE} {PROSE}"),
+        (f"<p>{PROSE}</p><a href=\"x class='y>one</a><p>{PROSE} it's</p>", f"{PROSE} {PROSE} it's"),
+        (f"<article><p>{PROSE}</p><p>Short.</p><ul><li><a href=x>one two</a><li><a href=y>three four</a></ul><p>Of the list.</p></article>", f"{PROSE} Short."),
+        (f"<ul><li class=ad>{PROSE}<li>{PROSE}</ul><p>a < b <c", f"{PROSE} a < b"),
         (f"<p hidden>{PROSE}</p><p>{PROSE}</p><p><a href=a>one two three</a> <a href=b>four five six seven</a></p>", PROSE),
     ],
 )
@@ -108,6 +116,87 @@ def test_extraction(page, text):
     assert html_extract.extract(page) == text
 
 
+HOSTILE = {
+    "quotes": "<a title='" * 100000, "inline": "<b>" * 100000 + "</i>" * 200000, "blocks": "<div>" * 80000 + "</section>" * 80000, "crossed": "<b>" * 80000 + "<div>" * 80000 + "</b>" * 80000, "less": "<" * 1000000,
+    "comments": "<!--" * 250000, "scripts": "<script>" * 120000, "class": '<div class="' + "a-" * 500000 + '">', "spaces": "<a" + " " * 1000000 + ">x", "paragraphs": "<p>x</p>" * 120000, "mixed": "<a x='y>\"z " * 90000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_extraction_is_linear(name):
+    began = time.thread_time()
+    html_extract.extract(HOSTILE[name])
+    assert time.thread_time() - began < 3  # a third of it on a quiet machine; quadratic work takes minutes
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page, by its tree: a stack of elements, asked afresh for each text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.now, self.out = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(t for t, _ in self.now).split())
+        if text:
+            linked = " ".join("".join(t for t, a in self.now if a).split())
+            self.out.append((text, len(linked), any(html_extract._marked(a)[0] and n not in ("body", "article", "main") or n in html_extract.DROPPED for n, a in self.path), any(n in html_extract.MAIN for n, _ in self.path)))
+        self.now = []
+
+    def handle_starttag(self, name, attributes):
+        marks = " ".join(f'{k}="{v}"' for k, v in attributes)
+        if name in html_extract.BLOCK or name in html_extract.DROPPED or html_extract._marked(marks)[0]:
+            self.cut()
+        if name not in html_extract.VOID:
+            self.path.append((name, marks))
+
+    def handle_endtag(self, name):
+        if name in html_extract.BLOCK or name in html_extract.DROPPED or html_extract._marked(self.path[-1][1])[0]:
+            self.cut()
+        assert self.path.pop()[0] == name
+
+    def handle_data(self, text):
+        if not any(n in html_extract.RAW for n, _ in self.path):
+            self.now.append((text, any(n == "a" for n, _ in self.path)))
+
+
+def plain_labels(found):
+    """The second pass, each block with all others."""
+    first = [html_extract.decide(*b) for b in found]
+    weight = lambda inside: sum(len(b[0]) for b, x in zip(found, first) if x == 1 and b[3] == inside)
+    trusted = any(b[3] and not b[2] for b in found) and weight(True) >= weight(False)
+    own = [i for i, b in enumerate(found) if not b[2] and (b[3] or not trusted)]
+    out = []
+    for i in range(len(found)):
+        if i not in own:
+            out.append(-1)
+        elif first[i]:
+            out.append(first[i])
+        else:
+            decided = [(abs(own.index(j) - own.index(i)), -first[j]) for j in own if first[j]]
+            out.append(-min(decided)[1] if decided else 1)
+    return out
+
+
+def some_page(rng):
+    inner = [f"<p>{PROSE}</p>", "<h2>A heading</h2>", "<p>Short one.</p>", "<ul><li><a href='x'>one two</a></li><li><a href='y'>three &amp; four</a></li></ul>", f"<p><b>{PROSE}</b><br>after it</p>", f"<div class='sidebar'><p>{PROSE}</p></div>", f"<blockquote>{'zzz ' * 80}</blockquote>", "<p>none of these have a link <a href='z'>in it</a> but one of them</p>", "<script>var x = '<p>';</script>"]
+    body = lambda: "\n".join(rng.choice(inner) for _ in range(rng.randrange(7)))
+    return f"<html><body><nav><a href='/'>Home</a></nav>{body()}" + (f"<article>{body()}</article>" if rng.random() < 0.6 else "") + f"<div>{body()}</div><footer>{PROSE}</footer></body></html>"
+
+
+def test_extraction_equals_a_plain_version(spark):
+    rng = random.Random(8)
+    pages = [some_page(rng) for _ in range(400)]
+    for page in pages:
+        plain = Plain()
+        plain.feed(page)
+        plain.cut()
+        assert html_extract.blocks(page) == plain.out
+        assert html_extract.extract(page) == " ".join(b[0] for b, x in zip(plain.out, plain_labels(plain.out)) if x > 0)
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():  # all of it, the article's blocks are its text
+        assert html_extract.labels(html_extract.blocks(row.html)) == plain_labels(html_extract.blocks(row.html))
+
+
 def test_extraction_table(spark):
     long = "<article>" + f"<p>{PROSE}</p>" * 3000 + "</article>"
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, long, "x"), (2, None, long, "x")], "page_id bigint, url string, html string, text string")
@@ -142,8 +231,35 @@ def test_toxicity_without_labels_or_text(spark):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == 4 and {(r.score, r.predicted) for r in got} == {(0.0, 0)}
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
-    kept = toxicity.scored(docs, toxicity.Model())
-    assert kept.columns == ["doc_id", "text", "score", "_score"] and kept.agg(F.sum("score")).first()[0] == 36.0
+    kept = docs.where(toxicity.score_of(docs, toxicity.Model()) < 0.7)
+    assert kept.columns == docs.columns and kept.agg(F.sum("score")).first()[0] == 36.0
+
+
+def test_toxicity_equals_scoring_text_by_text(spark):
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    kernels = {w: model.conv[w] for w in toxicity.WIDTHS}
+    for doc in docs.collect():  # each word's rows summed, each window's product, the greatest of each filter
+        words = toxicity.WORD.findall((doc.text or "").lower())
+        x = np.array([model.embed[model.features(w)].sum(0) for w in words]).reshape(len(words), model.dim)
+        pooled = [max((sum(x[i + k] @ kernels[w][k] for k in range(w))[f] + model.bias[w][f] for i in range(len(words) - w + 1)), default=0.0) for w in toxicity.WIDTHS for f in range(model.filters)] if len(words) < 150 else None
+        if pooled:
+            logit = np.maximum(pooled, 0) @ model.out + model.out_bias
+            cut = model.thresholds.get(toxicity.language(words), model.thresholds[""])
+            assert abs(got[doc.doc_id].score - 1 / (1 + np.exp(-(logit - cut + np.log(0.7 / 0.3))))) < 1e-4
+        assert got[doc.doc_id].predicted == (got[doc.doc_id].score >= 0.7)
+
+
+def test_toxicity_forgets_words_without_changing_scores(spark, monkeypatch):
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model, texts = toxicity.fit(docs, labels), [r.text or "" for r in docs.collect()]
+    want = model.score(texts)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 20)
+    monkeypatch.setattr(toxicity, "SCORE_CHARS", 500)
+    assert np.allclose(model.score(texts), want, atol=1e-5)
 
 
 MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
