@@ -6,6 +6,9 @@ return the columns of documents. Each case that an operator's docstring defines
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +20,23 @@ from larkfield.llm.common import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold. Labels teach the model, from the rows that aren't held out."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, column="_score").where(f"_score < {toxicity.TARGET}").drop("_score")
+    return docs.where(toxicity.score_of(docs, model) < toxicity.TARGET)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in dropped (doc_id); rows of a null id stay."""
-    gone = dropped.select(F.col("doc_id").alias("_dropped"))
-    return docs.join(gone, F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _kept(docs: DataFrame, dedup: Callable[..., DataFrame]) -> DataFrame:
+    """The rows that dedup keeps, each on its own: rows are told apart by their place in docs, a stored table, so that no other row of an id goes with one."""
+    place = f"row_{uuid.uuid4().hex}"  # no column of docs has this name
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    gone = dedup(placed, key=place).where("not kept").select(F.col("row").alias(place))
+    return placed.join(gone, place, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept").select("doc_id"))
+    return _kept(docs, exact_dedup.exact_dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup.near_dedup(docs).where("not kept").select("doc_id"))
+    return _kept(docs, near_dedup.near_dedup)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
