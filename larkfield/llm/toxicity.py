@@ -33,10 +33,12 @@ WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
 #: predicted is 1 from this score on.
 TARGET = 0.7
-#: Words whose projections a worker remembers before it starts anew, 288 bytes each; characters of text it scores at once. They bound its memory, not its results.
-CACHE_WORDS, SCORE_CHARS = 50_000, 125_000
+#: Words whose embeddings a worker remembers before it starts anew, 64 bytes each beside the word; characters of text it scores at once. They bound its memory, not its results.
+CACHE_WORDS, SCORE_CHARS = 200_000, 125_000
 #: Toxic rows that calibrate apart from the fit at least; rows of each class that a language's own threshold takes; row passes of a fit at least, and passes at most.
 LEAST_HELD, LEAST_LANGUAGE, LEAST_PASSES, MOST_PASSES = 8, 15, 40_000, 60
+#: Checksums that those of a whole word, a prefix and an ending go on from.
+WHOLE, FRONT, BACK = (zlib.crc32(c) for c in (b"=", b"^", b"$"))
 #: Function words that tell the languages apart.
 LANGUAGES = {
     "en": frozenset("the of and to in is that it for was on are as with be by at this have from".split()),
@@ -75,9 +77,12 @@ class Model:
 
     def features(self, word: str) -> list[int]:
         """Buckets of the word, its prefixes of 3 to 6 characters and its last 3 and 4."""
-        n, b = len(word), self.buckets
+        n, b, crc = len(word), self.buckets, zlib.crc32
+        if word.isascii():  # bytes are characters: no text is joined and encoded for each part
+            w = word.encode()
+            return [crc(w, WHOLE) % b, *(crc(w[:k], FRONT) % b if n >= k else b for k in (3, 4, 5, 6)), *(crc(w[-k:], BACK) % b if n > k else b for k in (3, 4))]
         parts = ["=" + word, *("^" + word[:k] if n >= k else "" for k in (3, 4, 5, 6)), *("$" + word[-k:] if n > k else "" for k in (3, 4))]
-        return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % b if p else b for p in parts]
+        return [crc(p.encode("utf-8", "surrogatepass")) % b if p else b for p in parts]
 
     def start(self) -> None:
         rng = np.random.default_rng(self.seed)
@@ -217,7 +222,7 @@ class Model:
         return self.raw(texts, cache)[0]
 
     def raw(self, texts: list[str], cache: dict | None = None):
-        """Logits and guessed languages. cache: a worker's projections by word."""
+        """Logits and guessed languages. cache: a worker's embeddings by word."""
         if cache is None:
             cache = {}
         index = cache.setdefault("index", {})
@@ -233,10 +238,10 @@ class Model:
             langs += [language(x) for x in lists]
             flat = [w for x in lists for w in x]
             if new := [w for w in dict.fromkeys(flat) if w not in index]:
-                rows = self.embed[np.array([self.features(w) for w in new])].sum(1) @ kernel
+                rows = self.embed[np.array([self.features(w) for w in new])].sum(1)
                 n0, table = len(index), cache.get("table")
                 if table is None or n0 + len(new) > len(table):
-                    bigger = np.zeros((max(n0 + n0 // 2, n0 + len(new), 1 << 12), kernel.shape[1]), np.float32)
+                    bigger = np.zeros((max(n0 + n0 // 2, n0 + len(new), 1 << 12), self.dim), np.float32)
                     if table is not None:
                         bigger[:n0] = table[:n0]
                     cache["table"] = table = bigger
@@ -245,7 +250,7 @@ class Model:
             at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
             n = np.array([len(x) for x in lists])
             starts = np.cumsum(n) - n
-            p = cache["table"][at] if len(at) else np.zeros((0, kernel.shape[1]), np.float32)
+            p = cache["table"][at] @ kernel if len(at) else np.zeros((0, kernel.shape[1]), np.float32)
             proj, c, f = [], 0, self.filters
             for w in WIDTHS:
                 proj.append([p[:, (c + k) * f : (c + k + 1) * f] for k in range(w)])
