@@ -47,7 +47,7 @@ def op8_licenses(spark, sf_dir):
 
 
 def op9_resharding(spark, sf_dir):
-    return resharding.reshard(table(spark, sf_dir, "documents"))
+    return resharding.reshard(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_token_counts(spark, sf_dir):

@@ -6,9 +6,15 @@ line: block totals give the blocks' offsets (first pass), a running sum inside a
 new shard. Only shards that gain or lose rows are rewritten.
 
 Rows larger than a FINE-th of a shard, of which there are FINE a shard at most, are placed one by one: they stay where they are while they fit,
-the others go, largest first, where most room is left; the flow fills up the rest. So, law `bytes`, a shard's size differs from its
-capacity by two FINE-ths about, unless single rows are larger than a shard. Cases: a null text has size 1; equal rows
-are placed each on their own, in order of (doc_id, text hash); an empty table gives no rows; extra columns are not read.
+the others go, largest first, where most room is left by the rows that stay; the flow fills up the rest. So, law `bytes`, a shard's size differs
+from its capacity by two FINE-ths about, unless single rows are larger than a shard.
+
+Old shards from the number of new ones on have no place to stay: they cost the same and are one source, their lines laid end to end. The driver
+sees a number for each old shard and for each block of some BLOCK_ROWS rows in it.
+
+Cases: a null text has size 1; rows of an equal text, a third of the table perhaps, are placed each on its own, as are rows that repeat a doc_id; a
+null old shard counts as one that has no place to stay; ids of any type, null too, are passed on unread; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from pyspark.sql import functions as F
 
 from larkfield.llm.common import text_of, written
 
-#: Rows that one block of the running sums holds about; the driver sees a few numbers a block.
-BLOCK_ROWS = 20_000
+#: Rows that one block of the running sums holds about.
+BLOCK_ROWS = 50_000
 #: Parts of a shard that a row may be large for the byte line; FINE * shards larger rows can exist at most.
 FINE = 1000
 
@@ -88,8 +94,8 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def place_large(rows: list[tuple[int, int]], capacity: list[int]) -> tuple[list[int], list[int]]:
-    """New shards of (old shard, size) rows, largest first, and the bytes they take in each."""
+def place_large(rows: list[tuple[int, int]], capacity: list[int], small: list[int]) -> tuple[list[int], list[int]]:
+    """New shards of (old shard, size) rows, largest first, and the bytes they take in each. small: bytes of each old shard's other rows."""
     taken, shard, moving = [0] * len(capacity), [-1] * len(rows), []
     for k, (old, size) in enumerate(rows):
         if old < len(capacity) and taken[old] + size <= capacity[old]:
@@ -97,7 +103,7 @@ def place_large(rows: list[tuple[int, int]], capacity: list[int]) -> tuple[list[
             taken[old] += size
         else:
             moving.append(k)
-    room = [(t - c, j) for j, (t, c) in enumerate(zip(taken, capacity))]
+    room = [(t + min(c - t, small[j] if j < len(small) else 0) - c, j) for j, (t, c) in enumerate(zip(taken, capacity))]
     heapq.heapify(room)
     for k in moving:
         over, j = room[0]
@@ -121,79 +127,82 @@ def room_left(capacity: list[int], taken: list[int], small: int) -> list[int]:
     return out
 
 
-def by_file(df: DataFrame) -> tuple[DataFrame, int]:
-    """df with `old_shard`: the rank of the file a row was read from, by path; and the number of files."""
-    files = sorted(r[0] for r in df.select(F.input_file_name().alias("f")).distinct().collect())  # a row per file
+def by_file(df: DataFrame) -> DataFrame:
+    """df with `old_shard`: the rank of the file a row was read from, by path."""
+    files = sorted(r[0] for r in df.select(F.input_file_name().alias("f")).distinct().collect())  # a row a file
     table = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "old_file string, old_shard int")
-    named = df.withColumn("old_file", F.input_file_name())
-    return named.join(F.broadcast(table), "old_file").drop("old_file"), len(files)
+    return df.withColumn("old_file", F.input_file_name()).join(F.broadcast(table), "old_file").drop("old_file")  # a row a file
 
 
-def reshard(docs: DataFrame, shards: int = 16, old: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1), text_crc32, law, old_shard, shard, slot (gapless from 0), moved.
+def reshard(docs: DataFrame, shards: int = 16, old: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None, key: str | None = None) -> DataFrame:
+    """doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot (gapless from 0), grown_shard, old_shard, moved, row (key, or a number of its own).
 
     old: the column with a row's old shard, an int from 0; None: the file it lies in. capacities: bytes of each new shard, in sum
-    the table's size; None: an even share each.
+    the table's size; None: an even share each. key: a column that tells rows apart.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *([F.col(old).cast("int").alias("old_shard")] if old else []))
-    if not old:
-        base, _ = by_file(base)
-    sized = written(base.select("doc_id", "old_shard", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid")), "reshard")
-    size = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    room = capacities or even_capacities(size["bytes"], shards)
-    limit = max(1, size["bytes"] // (len(room) * FINE))
-    big = sorted((-r["size"], r["doc_id"] is None, r["doc_id"], r["text_crc32"], r["uid"], r["old_shard"]) for r in sized.where(F.col("size") > limit).collect())  # FINE a shard at most
-    shard_of, taken = place_large([(r[-1], -r[0]) for r in big], room)
-    chosen = spark.createDataFrame([(r[-2], s) for r, s in zip(big, shard_of)], "uid bigint, shard int")
-    large = sized.where(F.col("size") > limit).join(F.broadcast(chosen), "uid").select("doc_id", "size", "text_crc32", "old_shard", F.lit(-1).alias("block"), F.lit(0).cast("bigint").alias("at"), "shard")
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
-    sized = sized.where(F.col("size") <= limit).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
-    totals = sorted((r["old_shard"], r["block"], r["n"]) for r in sized.groupBy("old_shard", "block").agg(F.sum("size").alias("n")).collect())  # numbers a block, not a row
-    supply = [0] * (1 + max((o for o, *_ in totals), default=0))
-    bases = []
+    own = [F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row")]
+    base = docs.select(*own, F.col(old).cast("int").alias("old_shard")) if old else by_file(docs.select(*own))
+    sized = written(base.select("doc_id", "row", "old_shard", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")), "reshard")
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    room = capacities or even_capacities(total, shards)
+    most, limit = len(room), max(1, total // (len(room) * FINE))
+    sized = sized.withColumn("old", F.coalesce("old_shard", F.lit(2**31 - 1)))
+    by_old = sized.groupBy("old").agg(F.count_if(F.col("size") <= limit).alias("rows"), F.sum(F.when(F.col("size") <= limit, F.col("size")).otherwise(0)).alias("bytes")).collect()  # a row an old shard
+    small = [0] * most
+    for r in by_old:
+        if r["old"] < most:
+            small[r["old"]] = r["bytes"]
+    big = sorted((-r["size"], r["text_crc32"], str(r["row"]), r["row"], r["old"]) for r in sized.where(F.col("size") > limit).collect())  # FINE a shard at most
+    shard_of, taken = place_large([(r[-1], -r[0]) for r in big], room, small)
+    chosen = spark.createDataFrame([(r[-2], s) for r, s in zip(big, shard_of)], f"row {sized.schema['row'].dataType.simpleString()}, shard int")
+    columns = ["doc_id", "row", "size", "text_crc32", "old_shard", "old", "block", "at", "shard"]
+    large = sized.where(F.col("size") > limit).join(F.broadcast(chosen), "row").withColumns({"block": F.lit(-1), "at": F.lit(0).cast("bigint")}).select(*columns)  # FINE a shard at most
+    blocks = spark.createDataFrame([(r["old"], max(1, -(-r["rows"] // BLOCK_ROWS))) for r in by_old], "old int, blocks int")
+    rest = sized.where(F.col("size") <= limit).join(blocks, "old").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).drop("blocks")
+    totals = sorted((r["old"], r["block"], r["n"]) for r in rest.groupBy("old", "block").agg(F.sum("size").alias("n")).collect())  # a number a block
+    supply, bases = [0] * (most + 1), []  # the last: old shards that have no place to stay
     for o, b, n in totals:
-        bases.append((o, b, supply[o]))
-        supply[o] += n
+        line = min(o, most)
+        bases.append((o, b, supply[line]))
+        supply[line] += n
     flow = min_cost_flow(supply, room_left(room, taken, sum(supply)), lambda i, j: int(i != j))
-    cuts = []  # pieces of an old shard's byte line: what stays comes first
+    lines = []  # pieces of a byte line: what stays comes first
     for o, to in enumerate(flow):
-        at = 0
+        at, cuts = 0, []
         for j in sorted(to, key=lambda j: (j != o, j)):
-            cuts.append((o, at, at + to[j], j))
+            cuts.append((at, at + to[j], j))
             at += to[j]
-    lines = spark.createDataFrame([(o, [(a, b, j) for oo, a, b, j in cuts if oo == o]) for o in range(len(flow))], "old_shard int, cuts array<struct<a:bigint,b:bigint,shard:int>>")
-    starts = spark.createDataFrame(bases, "old_shard int, block int, base bigint")
-    inside = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    # broadcast: a row for each block and each old shard, both counted on the driver above
-    rows = sized.join(F.broadcast(starts), ["old_shard", "block"]).join(F.broadcast(lines), "old_shard")
+        lines.append((o, cuts))
+    lines = spark.createDataFrame(lines, "line int, cuts array<struct<a:bigint,b:bigint,shard:int>>")
+    starts = spark.createDataFrame(bases, "old int, block int, base bigint")
+    inside = Window.partitionBy("old", "block").orderBy("text_crc32", "row")
+    # starts isn't broadcast by force: it has a row a block, and beyond Spark's limit the join shares the window's shuffle; lines: a row a new shard
+    rows = rest.join(starts, ["old", "block"]).withColumn("line", F.least("old", F.lit(most))).join(F.broadcast(lines), "line")
     at = F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rows = rows.withColumn("at", at).withColumn("shard", F.element_at(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (F.col("at") < c["b"])), 1)["shard"])
-    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "at", "shard").unionByName(large)
-    nth = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("at", "doc_id", "text_crc32"))
-    rows = written(rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", nth.alias("nth")), "reshard")
-    counts = sorted((r["shard"], r["old_shard"], r["block"], r["n"]) for r in rows.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n")).collect())
+    nth = F.row_number().over(Window.partitionBy("old", "block", "shard").orderBy("at", "text_crc32", "row"))
+    rows = written(rows.select(*columns).unionByName(large).withColumn("nth", nth), "reshard")
+    counts = sorted((r["shard"], r["old"], r["block"], r["n"]) for r in rows.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect())  # a block lies in a few shards
     slots, filled = [], {}
     for s, o, b, n in counts:
         slots.append((s, o, b, filled.get(s, 0)))
         filled[s] = filled.get(s, 0) + n
-    first = spark.createDataFrame(slots, "shard int, old_shard int, block int, first bigint")
-    return rows.join(F.broadcast(first), ["shard", "old_shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved")
+    first = spark.createDataFrame(slots, "shard int, old int, block int, first bigint")
+    return rows.join(first, ["shard", "old", "block"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (~F.col("old_shard").eqNullSafe(F.col("shard"))).alias("moved"), "row"
     )
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> list[int]:
     """Write the new shards that gained or lost rows under `path` (shard=k/), and return their numbers; the others' files may stay.
 
-    docs' ids must be unique. The list has a number a shard at most.
+    placed: of reshard with the same key, which tells rows of docs apart. The list has a number a shard at most.
     """
     moved = placed.where("moved")
-    touched = moved.select(F.col("shard").alias("s")).union(moved.select(F.col("old_shard").alias("s"))).distinct()
+    touched = moved.select(F.col("shard").alias("s")).union(moved.select(F.col("old_shard").alias("s"))).where("s is not null").distinct()
     affected = sorted(r["s"] for r in touched.collect())
-    places = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("shard"), F.col("slot").alias("_slot"))
-    rows = docs.drop("shard").join(places, F.col(id_col) == F.col("_id")).drop("_id")
+    places = placed.where(F.col("shard").isin(affected)).select(F.col("row").alias("_row"), F.col("shard").alias("shard"), F.col("slot").alias("_slot"))
+    rows = docs.drop("shard").join(places, F.col(key) == F.col("_row")).drop("_row")
     rows.repartitionByRange(F.col("shard"), F.col("_slot")).sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").mode("overwrite").parquet(path)
     return affected
-
-

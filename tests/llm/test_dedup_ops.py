@@ -152,7 +152,7 @@ def test_reshard(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [None, "", "é" * 500, "same", "same"] + ["x" * int(n) for n in rng.integers(0, 300, 200)]
     df = spark.createDataFrame([(i, t, int(rng.integers(0, 3)), "s") for i, t in enumerate(texts)], "doc_id bigint, text string, old int, slot string")
-    table = resharding.reshard(df, 4, old="old").cache()
+    table = resharding.reshard(df, 4, old="old", key="doc_id").cache()
     placed = table.collect()
     sizes = [len((t or "").encode()) + 1 for t in texts]
     assert sorted(r.doc_id for r in placed) == list(range(len(texts)))
@@ -166,6 +166,27 @@ def test_reshard(spark, tmp_path, monkeypatch):
     assert resharding.reshard(df.limit(0), 4, old="old").count() == 0
 
 
+def test_reshard_many_shards_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 100)
+    seen = []
+    flow = resharding.min_cost_flow
+    monkeypatch.setattr(resharding, "min_cost_flow", lambda supply, room, cost: seen.append((supply, room)) or flow(supply, room, cost))
+    rng = np.random.default_rng(6)
+    rows = [(7, "a hot text " * 9, int(o)) for o in rng.integers(0, 200, 2000)] + [(i, "x" * int(n), int(o)) for i, (n, o) in enumerate(zip(rng.integers(0, 200, 4000), rng.integers(0, 200, 4000)))] + [(None, "y", None)] * 3
+    placed = resharding.reshard(spark.createDataFrame(rows, "doc_id bigint, text string, old int"), 5, old="old").collect()
+    sizes = {s: sum(r.size for r in placed if r.shard == s) for s in range(5)}
+    assert len(placed) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 2 * 5 * 200
+    assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed))) for s in range(5))
+    assert all(len(supply) == 6 for supply, _ in seen)  # 195 shards are one source
+    stay = sum(r.size for r in placed if r.old_shard == r.shard)
+    assert stay >= 0.99 * sum(len(t) + 1 for _, t, o in rows if o is not None and o < 5)  # what has a place stays
+
+
+def test_large_rows_leave_room_for_what_stays():
+    shard, taken = resharding.place_large([(2, 10)] * 12, [100, 100, 100], [100, 80, 0])
+    assert taken == [0, 20, 100] and shard.count(1) == 2
+
+
 def test_pipeline_against_brute_force(spark):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")
