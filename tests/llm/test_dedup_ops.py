@@ -111,8 +111,8 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(embed_dedup, "TILE", 16)
+    for name, value in {"BLOCK_ROWS": 8, "TILE": 4, "LEAST_ROWS": 12, "GROUP_BYTES": 2400}.items():  # many blocks, groups and tiles
+        monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 12))
     x = np.vstack([base, base[:30] + rng.normal(size=(30, 12)) * 0.15, base[:20] * 3, base[:5], np.repeat(base[:1], 25, 0) + rng.normal(size=(25, 12)) * 0.01]).astype(np.float32)
@@ -135,6 +135,30 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.embed_dedup(df.limit(0)).count() == 0
 
 
+def test_groups_of_blocks():
+    assert embed_dedup.grouped([10] * 8, 4, 100) == [(k // 2, 1) for k in range(8)]
+    assert embed_dedup.grouped([5, 250, 5], 2, 100) == [(0, 1), (1, 3), (4, 1)]
+    assert embed_dedup.grouped([7], 1, 100) == [(0, 1)]
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 2000, 500).tolist()
+    dealt = embed_dedup.grouped(sizes, 12, 65536)
+    assert max(f for f, _ in dealt) <= 13 and max(sum(n for n, (f, _) in zip(sizes, dealt) if f == g) for g in range(14)) <= 1.2 * sum(sizes) / 12
+
+
+def test_far_blocks_are_left_out_and_no_link_is_lost():
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(30, 16))
+    x = embed_dedup.unit(np.vstack([m + rng.normal(size=(40, 16)) * 0.1 for m in middle]))
+    tree, centres = embed_dedup.cuts(x, 32)
+    b = embed_dedup.block_of(x, tree)
+    radius = np.array([np.sqrt(((x[b == k] - centres[k]) ** 2).sum(1).max()) if (b == k).any() else 0 for k in range(32)])
+    near = embed_dedup.can_link(centres, radius, centres, radius, 0.95)
+    i, j = np.nonzero(x @ x.T >= 0.95)
+    assert near[b[i], b[j]].all() and near.mean() < 0.6
+    count, _ = embed_dedup.compare(x, np.zeros(len(x)), np.ones(len(x), np.int64), 0.95, b)
+    assert (count == (x @ x.T >= 0.95).sum(1) - 1).all()
+
+
 @pytest.mark.parametrize("sizes, shards", [([40], 4), ([10, 0, 30, 7], 3), ([5, 5, 5], 5)])
 def test_min_cost_flow_moves_the_least(sizes, shards):
     room = resharding.even_capacities(sum(sizes), shards)

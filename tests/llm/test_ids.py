@@ -77,6 +77,12 @@ def test_near_keeps_one_row_of_a_cluster(docs, spark):
     assert [k for k in range(len(rows)) if by_row[k].kept] == [1, 5, 6, 7]
 
 
+def test_embeddings_repeated_and_null_ids(spark):
+    rows = [(BIG, [1.0, 0.0]), (BIG, [1.0, 0.01]), (None, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]
+    got = sorted(embed_dedup.embed_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)).collect(), key=str)
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(BIG, 1, BIG, True), (BIG, 1, BIG, True), (None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True)], key=str)
+
+
 @pytest.fixture(scope="module")
 def folder(docs, labels, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("corpus"))
