@@ -1,9 +1,10 @@
 """Licence scans: a sparse word n-gram logistic regression over paragraphs, with templates that confirm it.
 
 The driver trains a softmax regression on the template sentences below (with parts left out and words around them) against
-paragraphs that are no licence: decoys and a bounded sample of the corpus. Its weights are a table of n-grams, a row each; scoring joins the
-n-grams of candidate paragraphs to it and sums, with DataFrame functions only. Its last class is `unknown`; a temperature fitted on held-out
-variants calibrates the probabilities. A family counts if it beats `unknown`, reaches MIN_PROBABILITY and a template of that family is
+paragraphs that are no licence: decoys and a bounded sample of the corpus's lines, of `negatives` documents LINES_EACH runs of LINES_EACH lines, all by
+hash, of which training sees LINE_CHARS characters. Its weights are a table of n-grams, a row each; scoring joins the n-grams of candidate paragraphs to it and sums,
+with DataFrame functions only. Its last class is `unknown`; a temperature calibrates the probabilities, fitted on variants, decoys and lines kept
+out of the fit, none of which has the features of a row in it. A family counts if it beats `unknown`, reaches MIN_PROBABILITY and a template of that family is
 contained in the paragraph to MIN_CONTAINED of its word trigrams.
 
 Paragraphs are lines, of any length, and runs of two or more lines between blank ones (without a letter or digit, as a bare comment mark),
@@ -12,13 +13,14 @@ states, and lines of such a run are not `unknown`. Paragraphs that can't hold
 MIN_CONTAINED of any template, by needed_words(), are not scored, but for lines with a trigger word; a line is `unknown` if it has such a
 word or holds that much of a template, and no family claims it.
 
-Cases: null and empty texts hold no licence; repeated lines count each; rows that repeat a doc_id are one document and get the same result;
-an empty table gives no rows; extra columns are not read.
+Cases: null and empty texts hold no licence; repeated lines count each; of equally likely classes the first of TEMPLATES' order counts; rows that
+repeat a doc_id, a null one too, each get their own text's result; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -85,7 +87,9 @@ TRIGGER = r"(?i)licen[cs]e|copyright|spdx|redistribut|creative commons|public do
 TOKENS = r"[a-z0-9]+"
 #: Between runs of lines; line breaks with the comment marks after them, those that are words among them.
 BLANK, MARK = r"\n[^\p{L}\p{N}]*\n", r"(?i)(?:^|\r?\n)[^\p{L}\p{N}\n]*(?:(?:rem|dnl|c)[ \t]+)?"
-MOST_N, NEGATIVES, MIN_PROBABILITY, MIN_CONTAINED = 3, 1000, 0.7, 0.6
+MOST_N, MIN_PROBABILITY, MIN_CONTAINED = 3, 0.7, 0.6
+#: Bounds of the training sample: documents, runs of each and lines of each run, characters of a run; and a decoy's weight against a line's.
+NEGATIVES, LINES_EACH, LINE_CHARS, DECOY_WEIGHT = 1000, 3, 2000, 4.0
 UNKNOWN = "unknown"
 
 
@@ -102,35 +106,44 @@ def train(negatives: list[str], seed: int = 5, rounds: int = 400, l2: float = 2e
     rng = np.random.default_rng(seed)
     classes = [*TEMPLATES, UNKNOWN]
     filler = [w for t in negatives[:200] for w in tokens(t)] or tokens(" ".join(DECOYS))
-    rows: list[tuple[set[str], int]] = []
+    vocabulary = sorted(set().union(*(ngrams(tokens(s)) for ss in TEMPLATES.values() for s in ss)))
+    index = {g: i for i, g in enumerate(vocabulary)}
+    last = len(classes) - 1
+    fold: dict[tuple[frozenset[int], int, bool], float] = {}  # features, class, held out: weight
+
+    def add(words: list[str], k: int, weight: float, keep_out: bool) -> None:
+        row = frozenset(index[g] for g in ngrams(words) if g in index), k, keep_out
+        fold[row] = fold.get(row, 0.0) + weight
+
     for k, family in enumerate(TEMPLATES):
         for sentence in TEMPLATES[family]:
             words = tokens(sentence)
-            for v in range(6):  # the sentence, alone and inside other words, whole and with a tenth of its words lost
-                kept = [w for w in words if v % 3 == 0 or rng.random() > 0.1]
+            for v in range(9):  # the sentence, alone and inside other words, whole and with a tenth of its words lost; the last three are kept out
+                kept = [w for w in words if v % 3 == 0 and v < 6 or rng.random() > 0.1]
                 around = [filler[i] for i in rng.integers(0, len(filler), 0 if v < 3 else 20)]
-                rows.append((ngrams([*around[:10], *kept, *around[10:]]), k))
-    last = len(classes) - 1
-    for text in [*DECOYS * 4, *negatives]:
-        rows.append((ngrams(tokens(text)), last))
-    vocabulary = sorted(set().union(*(ngrams(tokens(s)) for ss in TEMPLATES.values() for s in ss)))
-    index = {g: i for i, g in enumerate(vocabulary)}
+                add([*around[:10], *kept, *around[10:]], k, 1.0, v >= 6)
+    for n, text in enumerate(DECOYS):
+        add(tokens(text), last, DECOY_WEIGHT, n % 5 == 4)
+    for n, text in enumerate(dict.fromkeys(negatives)):
+        add(tokens(text), last, 1.0, n % 5 == 4)
+    rows = [(x, n) for x, n in fold.items() if not x[2] or (x[0], x[1], False) not in fold]
     x = np.zeros((len(rows), len(vocabulary)))
-    for r, (grams, _) in enumerate(rows):
-        x[r, [index[g] for g in grams if g in index]] = 1.0
-    y = np.eye(len(classes))[[k for _, k in rows]]
-    held = np.arange(len(rows)) % 5 == 4
-    share = y.sum(0)
-    weight = (len(rows) / (len(classes) * np.maximum(share, 1)))[y.argmax(1)][:, None]
+    for r, ((features, *_), _) in enumerate(rows):
+        x[r, list(features)] = 1.0
+    y = np.eye(len(classes))[[k for (_, k, _), _ in rows]]
+    held, weight = np.array([out for (*_, out), _ in rows]), np.array([n for _, n in rows])
+    plain = weight[held]
+    share = weight @ y
+    weight = (weight * (weight.sum() / (len(classes) * np.maximum(share, 1)))[y.argmax(1)])[:, None]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    fit = ~held
+    x_fit, y_fit, w_fit = x[~held], y[~held], weight[~held] / (~held).sum()
     for t in range(1, rounds + 1):
-        z = x[fit] @ w + b
+        z = x_fit @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - y[fit]) * weight[fit] / fit.sum()
-        gw = x[fit].T @ g + l2 * w
+        g = (p - y_fit) * w_fit
+        gw = x_fit.T @ g + l2 * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= 0.5 * g.sum(0)
@@ -139,7 +152,7 @@ def train(negatives: list[str], seed: int = 5, rounds: int = 400, l2: float = 2e
     def loss(temperature: float) -> float:
         s = z / temperature
         s = s - s.max(1, keepdims=True)
-        return float(-(y[held] * (s - np.log(np.exp(s).sum(1, keepdims=True)))).sum())
+        return float(-(plain[:, None] * y[held] * (s - np.log(np.exp(s).sum(1, keepdims=True)))).sum())
 
     temperature = min((0.25 * 1.15**k for k in range(20)), key=loss)
     w[np.abs(w) < 1e-3] = 0.0
@@ -166,18 +179,18 @@ def needed_words() -> list[str]:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (doc_id, run, its hash, line; line -1 is the whole run; asked: a trigger word), paragraph: the lines with a
+    """key (doc_id, mark, a hash of its text, run, line; line -1 is the whole run; asked: a trigger word), paragraph: the lines with a
     trigger word, and all lines and runs of lines that can hold MIN_CONTAINED of a template."""
     near = rf"(?<![a-z0-9])(?:{'|'.join(needed_words())})(?![a-z0-9])"
     able = lambda x: F.lower(x).rlike(near)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(able(F.col("text")) | F.col("text").rlike(TRIGGER))
-    runs = rows.select("doc_id", F.posexplode(F.split("text", BLANK)).alias("run", "whole"))
+    runs = rows.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", BLANK)).alias("run", "whole"))
     lines = F.split("whole", "\n")
     joined = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("whole", MARK, " ").alias("paragraph")))).otherwise(F.array().cast("array<struct<line:int,paragraph:string>>"))
     every = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("paragraph"))), joined)
     every = F.transform(every, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), ((x["line"] >= 0) & x["paragraph"].rlike(TRIGGER)).alias("asked")))
-    rows = runs.select("doc_id", "run", F.xxhash64("whole").alias("hash"), F.inline(F.filter(every, lambda x: x["asked"] | able(x["paragraph"]))))
-    return rows.select(F.struct("doc_id", "run", "hash", "line", "asked").alias("key"), "paragraph")
+    rows = runs.select("doc_id", "mark", "run", F.inline(F.filter(every, lambda x: x["asked"] | able(x["paragraph"]))))
+    return rows.select(F.struct("doc_id", "mark", "run", "line", "asked").alias("key"), "paragraph")
 
 
 def grams(words, n: int):
@@ -185,15 +198,23 @@ def grams(words, n: int):
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
-    """One row per row of docs: doc_id, licences (families found, sorted, joined by ', '; empty if none), n_lines (confirmed
+def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES):
+    """train() on lines of `negatives` documents at most, those of least hash of the id: of each LINES_EACH runs, of each run LINES_EACH lines, by
+    hash, but for runs and lines that state a family."""
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(negatives)
+    runs = F.array_sort(F.transform(F.array_distinct(F.split("text", BLANK)), lambda x: F.struct(F.xxhash64(x).alias("k"), F.substring(x, 1, LINE_CHARS).alias("run"))))
+    some = rows.join(F.broadcast(chosen), "h").groupBy("h").agg(F.max("text").alias("text")).select("h", F.slice(runs, 1, LINES_EACH)["run"].alias("runs")).collect()
+    free = [run.split("\n") for r in sorted(some) for run in r["runs"] if not holds_template(run)]
+    return train([line for lines in free for line in sorted(lines, key=lambda x: zlib.crc32(x.encode()))[:LINES_EACH] if line.strip() and not holds_template(line)])
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES, model=None) -> DataFrame:
+    """One row per row of docs: doc_id, licences (families found, in TEMPLATES' order, joined by ', '; empty if none), n_lines (confirmed
     lines, and runs confirmed across lines), confidence (least probability of one of them, null if none), n_unknown (lines about
-    licences that no family claims)."""
+    licences that no family claims). model: of train(), or one is trained here."""
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text"))
-    chosen = rows.select("h").distinct().orderBy("h").limit(negatives)  # training rows only: a bounded sample of documents
-    some = rows.join(F.broadcast(chosen), "h").select("h", F.slice(F.split("text", "\n"), 1, 3).alias("lines")).dropDuplicates(["h"]).collect()
-    classes, weights, bias, temperature = train([line[:2000] for r in sorted(some) for line in r["lines"] if not re.search(TRIGGER, line) and not holds_template(line)])
+    classes, weights, bias, temperature = model or train_on(docs, id_col, text_col, negatives)
     families = classes[:-1]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
     shapes = [(f, k, g) for f, ss in TEMPLATES.items() for k, s in enumerate(ss) for g in sorted(_trigrams(s))]
@@ -221,16 +242,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     first = F.filter("held", lambda t: ~F.exists("held", lambda o: (o["share"] > t["share"]) & F.array_contains(F.get(rivals, t["template"]), o["template"])))
     own = F.transform(F.array_distinct(F.transform(first, lambda t: t["family"])), lambda f: F.struct(f.alias("family"), (1 / (1 + F.exp(F.col("z")[len(families)] - F.get("z", F.array_position(F.array(*map(F.lit, families)), f).cast("int") - 1)))).alias("p")))
     whole = held.select("key", F.filter(own, lambda s: s["p"] >= MIN_PROBABILITY).alias("stated"))
-    both = lined.unionByName(whole, allowMissingColumns=True).groupBy(F.col("key.doc_id").alias("id"), "key.run", "key.hash")
+    both = lined.unionByName(whole, allowMissingColumns=True).groupBy(F.col("key.doc_id").alias("id"), F.col("key.mark").alias("mark"), "key.run")
     by_run = both.agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("found"), F.count_if("sure").alias("n"), F.min(F.when(F.col("sure"), F.col("p"))).alias("p"), F.count_if("left").alias("left"), F.first("stated", ignorenulls=True).alias("stated"))
     by_run = by_run.withColumn("across", F.filter(F.coalesce("stated", F.array().cast("array<struct<family:string,p:double>>")), lambda s: ~F.array_contains("found", s["family"])))
     stated = F.concat("found", F.transform("across", lambda s: s["family"]))
     flags = [F.max(F.when(F.array_contains(stated, f), F.lit(f))).alias(f"f{k}") for k, f in enumerate(families)]
     least = F.min(F.least("p", F.array_min(F.transform("across", lambda s: s["p"])))).alias("confidence")
-    by_doc = by_run.groupBy("id").agg(*flags, F.sum(F.col("n") + F.size("across")).alias("n_lines"), least, F.sum(F.when(F.size("across") > 0, 0).otherwise(F.col("left"))).alias("n_unknown"))
-    by_doc = by_doc.select("id", F.concat_ws(", ", *(f"f{k}" for k in range(len(families)))).alias("licences"), "n_lines", F.round("confidence", 6).alias("confidence"), "n_unknown")
-    rows = docs.select(F.col(id_col).alias("doc_id"))
-    return rows.join(by_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "confidence", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
+    by_doc = by_run.groupBy("id", "mark").agg(*flags, F.sum(F.col("n") + F.size("across")).alias("n_lines"), least, F.sum(F.when(F.size("across") > 0, 0).otherwise(F.col("left"))).alias("n_unknown"))
+    by_doc = by_doc.select("id", "mark", F.concat_ws(", ", *(f"f{k}" for k in range(len(families)))).alias("licences"), "n_lines", F.round("confidence", 6).alias("confidence"), "n_unknown")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("own"))
+    return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark")), "left").select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "confidence", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
 
 
 def _trigrams(sentence: str) -> set[str]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from html.parser import HTMLParser
@@ -299,6 +300,74 @@ def test_licences_without_trigger_words(spark):
     assert [got[k].licences for k in range(2)] == ["GPL", "Apache-2.0"]
 
 
+def plain_scan(text, model):
+    """One text's (families, lines, unknown lines), paragraph by paragraph."""
+    classes, weights, bias, temperature = model
+    templates = [(f, set(licenses._trigrams(s))) for f, ss in licenses.TEMPLATES.items() for s in ss]
+
+    def odds(words):
+        z = np.array([sum(weights[g][k] for g in licenses.ngrams(words) if g in weights) + bias[k] for k in range(len(classes))]) / temperature
+        return z, np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def shares(words):
+        own = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or {" ".join(words)}
+        return [(len(own & every) / len(every), f, every) for f, every in templates]
+
+    found, n, unknown = set(), 0, 0
+    for run in re.split(r"\n(?:[^\w\n]|_)*\n", text or ""):
+        lines, own, left = run.split("\n"), set(), 0
+        for line in lines:
+            words = licenses.tokens(line)
+            if not any(g in weights for g in licenses.ngrams(words)):
+                left += bool(re.search(licenses.TRIGGER, line))
+                continue
+            z, p = odds(words)
+            best = classes[int(z.argmax())]
+            held = {f: max(s for s, g, _ in shares(words) if g == f) for f in licenses.TEMPLATES}
+            if best != "unknown" and p.max() >= 0.7 and held[best] >= 0.6:
+                own.add(best)
+                n += 1
+            else:
+                left += bool(re.search(licenses.TRIGGER, line)) or max(held.values()) >= 0.6
+        across = set()
+        if len(lines) > 1:
+            words = licenses.tokens(re.sub(r"(?i)(?:^|\r?\n)(?:[^\w\n]|_)*(?:(?:rem|dnl|c)[ \t]+)?", " ", run))
+            held = [x for x in shares(words) if x[0] >= 0.6]
+            held = [x for x in held if not any(y[0] > x[0] and y[1] != x[1] and y[2] & x[2] for y in held)]
+            z, _ = odds(words)
+            across = {f for _, f, _ in held if 1 / (1 + np.exp(z[-1] - z[classes.index(f)])) >= 0.7} - own
+        found |= own | across
+        n += len(across)
+        unknown += 0 if across else left
+    return ", ".join(f for f in licenses.TEMPLATES if f in found), n, unknown
+
+
+def test_licences_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng, sentences = random.Random(4), [s for ss in licenses.TEMPLATES.values() for s in ss] + licenses.DECOYS
+    made = []
+    for k in range(120):  # whole, cut, changed and wrapped statements between other lines
+        parts = []
+        for _ in range(rng.randrange(4)):
+            words = rng.choice(sentences).split()
+            words = [w for w in words if rng.random() > rng.choice((0, 0, 0.15, 0.4))]
+            parts.append(rng.choice(("\n", "\n# ", " "))[:3].join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7)) if rng.random() < 0.4 else " ".join(words))
+            parts.append(rng.choice(("", PROSE, "x = 1", "see the license")))
+        made.append((-k - 1, "\n".join(parts)))
+    both = docs.unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    model = licenses.train_on(docs)
+    texts = {r.doc_id: r.text for r in both.collect()}
+    got = {r.doc_id: (r.licences, r.n_lines, r.n_unknown) for r in licenses.scan(both, model=model).collect()}
+    assert got == {k: plain_scan(t, model) for k, t in texts.items()}
+    assert sum(bool(x[0]) for x in got.values()) > 50
+
+
+def test_licences_of_repeated_and_null_ids(spark):
+    rows = [(None, "Released under the MIT License."), (None, "Licensed under CC BY 4.0."), (3, "Released under the MIT License."), (3, "nothing here"), (None, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.licences) for r in got), key=str) == sorted([(None, "MIT"), (None, "CC-BY"), (3, "MIT"), (3, ""), (None, "")], key=str)
+
+
 def test_needed_words_are_necessary():
     rng, words = random.Random(2), set(licenses.needed_words())
     for sentence in (s for ss in licenses.TEMPLATES.values() for s in ss):
