@@ -30,13 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that this driver has written, once the results that read them are stored; returns their number."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def mark() -> int:
+    """The number of tables written so far, for clear()."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that this driver has written since a mark, but for the last `keep`, once what reads them is stored; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

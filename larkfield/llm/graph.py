@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import written
+from larkfield.llm.common import clear, mark, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,10 +30,12 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     Self links and nulls are ignored, repeated and reversed links count once, an empty table gives an empty result. Each round is
     written to the shared folder; only its row count and a checksum come to the driver.
     """
+    spark, since = edges.sparkSession, mark()
     e = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = None
     for _ in range(most_rounds):
         e = written(_star(_star(e, True), False), name)
+        clear(spark, since, keep=1)  # the round before
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count_distinct("u").alias("d")).first()
         if now["n"] == now["d"] and now == seen or now["n"] == 0:  # each node has one parent and nothing moved
             break
