@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkfield.llm import exact_dedup, near_dedup, packing, toxicity
-from larkfield.llm.common import written
+from larkfield.llm.common import clear, mark, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
+    """All stages in order, each written to the shared folder and read again; only the last one's tables stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, since, keep=1)  # the stage's own tables, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
