@@ -24,8 +24,8 @@ def dedup_window(rows: DataFrame, key: str = "query", window: int = 5, index: st
     """Keep a row unless a kept row of its key lies within the `window` rows before it; dropped rows hide nothing.
 
     Blocks of BLOCK rows are folded apart: for each number of rows that the block before may still hide (0 to window) a block tells how many
-    it hides in the next. Composing these few numbers block by block gives each block's true start, and a second fold the kept rows.
-    So no array grows with a hot key but the one of its blocks, a BLOCK-th of its rows.
+    it hides in the next. Runs of BLOCK blocks compose these few numbers into their own, and a key's runs are composed last: so a hot key's
+    arrays hold BLOCK numbers, BLOCK blocks, and a BLOCK-th of a BLOCK-th of its rows. From there true starts go back down to the rows.
     """
     if window >= BLOCK:
         raise ValueError("a block must be longer than the window")
@@ -33,17 +33,23 @@ def dedup_window(rows: DataFrame, key: str = "query", window: int = 5, index: st
     blocks = rows.select(F.col(key).alias("_k"), F.floor(F.col(index) / BLOCK).alias("_b"), place.alias("_p")).groupBy("_k", "_b").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
     hide = lambda start: F.aggregate("_ps", start, lambda until, p: F.when(p >= until, p + window + 1).otherwise(until))
     steps = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda s: F.greatest(F.lit(0), hide(s) - BLOCK))
-    chains = blocks.select("_k", "_b", steps.alias("_t")).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_b", "_t"))).alias("_c"))
-    zero = F.struct(F.lit(-2).cast("bigint").alias("b"), F.lit(0).alias("out"), F.expr("cast(array() as array<struct<b:bigint,s:int>>)").alias("seen"))
+    none = F.expr("cast(array() as array<struct<b:bigint,s:int>>)")
 
     def follow(acc, e):
         start = F.when(acc["b"] + 1 == e["_b"], acc["out"]).otherwise(F.lit(0))
         return F.struct(e["_b"].alias("b"), F.get(e["_t"], start).alias("out"), F.when(start > 0, F.concat(acc["seen"], F.array(F.struct(e["_b"].alias("b"), start.alias("s"))))).otherwise(acc["seen"]).alias("seen"))
 
-    starts = chains.select("_k", F.explode(F.aggregate("_c", zero, follow)["seen"]).alias("_s")).select(F.col("_k").alias("_sk"), F.col("_s.b").alias("_sb"), F.col("_s.s").alias("_start"))
+    before = lambda b, out: F.struct(b.alias("b"), out.alias("out"), none.alias("seen"))
+    runs = blocks.select("_k", F.floor(F.col("_b") / BLOCK).alias("_r"), F.struct("_b", steps.alias("_t")).alias("_e")).groupBy("_k", "_r").agg(F.sort_array(F.collect_list("_e")).alias("_c"))
+    whole = lambda s: F.aggregate("_c", before(F.col("_r") * BLOCK - 1, s), follow)
+    passed = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda s: F.when(whole(s)["b"] == F.col("_r") * BLOCK + BLOCK - 1, whole(s)["out"]).otherwise(F.lit(0)))
+    chains = runs.select("_k", F.struct(F.col("_r").alias("_b"), passed.alias("_t")).alias("_e")).groupBy("_k").agg(F.sort_array(F.collect_list("_e")).alias("_c"))
+    first = chains.select("_k", F.explode(F.aggregate("_c", before(F.lit(-2).cast("bigint"), F.lit(0)), follow)["seen"]).alias("_s")).select(F.col("_k").alias("_rk"), F.col("_s.b").alias("_rb"), F.col("_s.s").alias("_into"))
+    known = runs.join(first, F.col("_k").eqNullSafe(F.col("_rk")) & (F.col("_r") == F.col("_rb")), "left")
+    starts = known.select("_k", F.explode(whole(F.coalesce("_into", F.lit(0)))["seen"]).alias("_s")).select(F.col("_k").alias("_sk"), F.col("_s.b").alias("_sb"), F.col("_s.s").alias("_start"))
     known = blocks.join(starts, F.col("_k").eqNullSafe(F.col("_sk")) & (F.col("_b") == F.col("_sb")), "left")
-    first = F.struct(F.coalesce("_start", F.lit(0)).alias("until"), F.expr("cast(array() as array<int>)").alias("kept"))
-    fold = F.aggregate("_ps", first, lambda a, p: F.when(p >= a["until"], F.struct((p + window + 1).alias("until"), F.concat(a["kept"], F.array(p)).alias("kept"))).otherwise(a))
+    zero = F.struct(F.coalesce("_start", F.lit(0)).alias("until"), F.expr("cast(array() as array<int>)").alias("kept"))
+    fold = F.aggregate("_ps", zero, lambda a, p: F.when(p >= a["until"], F.struct((p + window + 1).alias("until"), F.concat(a["kept"], F.array(p)).alias("kept"))).otherwise(a))
     kept = known.select("_b", F.explode(fold["kept"]).alias("_p")).select((F.col("_b") * BLOCK + F.col("_p")).alias("_kept"))
     return rows.join(kept, F.col(index) == F.col("_kept"), "left_semi")
 
@@ -119,16 +125,17 @@ def nearest_prefecture(lng: Column, lat: Column) -> Column:
 
 
 def with_prefecture(rows: DataFrame, lng: Column, lat: Column, name: str = "ord") -> DataFrame:
-    """rows with the place of the nearest prefecture, null without coordinates: the least of 47 squared chords, in generated code. Great circles
-    are measured only where a second chord is as good as equal."""
+    """rows with the place of the nearest prefecture, null without coordinates: the least of 47 squared chords, over a constant array so that generated
+    code stays small. Great circles are measured only where a second chord is as good as equal."""
     phi = [(math.radians(y), math.radians(x)) for _, y, x, _ in PREFECTURES]
-    units = [(math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p)) for p, q in phi]
-    chord = lambda u: sum((F.col(f"_{c}") - v) * (F.col(f"_{c}") - v) for c, v in zip("vw", u[1:])) + (F.col("_u") - u[0]) * (F.col("_u") - u[0])
+    units = F.array(*(F.struct(F.lit(math.cos(p) * math.cos(q)).alias("u"), F.lit(math.cos(p) * math.sin(q)).alias("v"), F.lit(math.sin(p)).alias("w"), F.lit(k).alias("k")) for k, (p, q) in enumerate(phi)))
+    square = lambda x: x * x
     own = rows.withColumns({"_x": lng, "_y": lat}).withColumns({"_u": F.cos(F.radians("_y")) * F.cos(F.radians("_x")), "_v": F.cos(F.radians("_y")) * F.sin(F.radians("_x")), "_w": F.sin(F.radians("_y"))})
-    near = own.withColumn("_c", F.array(*map(chord, units))).withColumn("_s", F.slice(F.sort_array("_c"), 1, 2)).withColumns({"_m": F.get("_s", F.lit(0)), "_n": F.get("_s", F.lit(1))})
-    equal = F.col("_n") <= F.col("_m") * (1 + 1e-9) + 1e-15
-    place = F.when(equal, nearest_prefecture(F.col("_x"), F.col("_y"))["ord"]).otherwise((F.array_position("_c", F.col("_m")) - 1).cast("int"))
-    return near.withColumn(name, F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), place)).drop("_x", "_y", "_u", "_v", "_w", "_c", "_s", "_m", "_n")
+    chords = F.transform(units, lambda p: F.struct((square(F.col("_u") - p["u"]) + square(F.col("_v") - p["v"]) + square(F.col("_w") - p["w"])).alias("c"), p["k"].alias("k")))
+    near = own.withColumn("_s", F.slice(F.array_sort(chords), 1, 2))
+    best, second = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
+    place = F.when(second["c"] <= best["c"] * (1 + 1e-9) + 1e-15, nearest_prefecture(F.col("_x"), F.col("_y"))["ord"]).otherwise(best["k"])
+    return near.withColumn(name, F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), place)).drop("_x", "_y", "_u", "_v", "_w", "_s")
 
 
 def by_prefecture(rows: DataFrame) -> DataFrame:

@@ -151,14 +151,16 @@ def outliers(scored: DataFrame, least: float = 0.3, cut: float = 3.5, gap: float
     """Rows of qual_score >= least; of four and more only those whose modified z-score is beyond cut (with no spread: above the median by
     more than gap), unless that is none or all."""
     rows = scored.where(F.col("qual_score") >= least)
-    mid = rows.agg(F.median("qual_score").alias("_med"), F.count("*").alias("_n"))
-    off = rows.crossJoin(F.broadcast(mid))  # one row
-    mad = off.agg(F.median(F.abs(F.col("qual_score") - F.col("_med"))).alias("_mad"))
-    up = F.col("qual_score") - F.col("_med")
-    flagged = off.crossJoin(F.broadcast(mad)).withColumn("_out", F.when(F.col("_mad") < 1e-9, up > gap).otherwise(F.try_divide(0.6745 * up, F.col("_mad")) > cut))
-    total = flagged.agg(F.count_if("_out").alias("_flagged"))
-    keep = (F.col("_n") < 4) | (F.col("_flagged") == 0) | (F.col("_flagged") == F.col("_n")) | F.col("_out")
-    return flagged.crossJoin(F.broadcast(total)).where(keep).drop("_med", "_n", "_mad", "_out", "_flagged")
+    # scores have three decimals: their counts, a thousand rows at most, give both medians and the number flagged from one pass over the candidates
+    scores = rows.groupBy(F.col("qual_score").alias("_q")).agg(F.count("*").alias("_k"))
+    mid = scores.agg(F.percentile("_q", 0.5, F.col("_k")).alias("_med"), F.sum("_k").alias("_n"))
+    off = scores.crossJoin(F.broadcast(mid))  # one row
+    mad = off.agg(F.percentile(F.abs(F.col("_q") - F.col("_med")), 0.5, F.col("_k")).alias("_mad"))
+    up = F.col("_q") - F.col("_med")
+    flagged = off.crossJoin(F.broadcast(mad)).withColumn("_out", F.when(F.col("_mad") < 1e-9, up > gap).otherwise(F.try_divide(0.6745 * up, F.col("_mad")) > cut))  # one row
+    total = flagged.agg(F.sum(F.when(F.col("_out"), F.col("_k")).otherwise(0)).alias("_flagged"))
+    keep = flagged.crossJoin(F.broadcast(total)).where((F.col("_n") < 4) | (F.col("_flagged") == 0) | (F.col("_flagged") == F.col("_n")) | F.col("_out")).select("_q")  # one row
+    return rows.join(F.broadcast(keep), F.col("qual_score") == F.col("_q")).drop("_q")  # a row a score
 
 
 def rate(candidates: DataFrame, ratings: DataFrame, strict: bool = False) -> DataFrame:
@@ -172,11 +174,11 @@ def drop_categories(candidates: DataFrame, removed: DataFrame, keep_null: bool =
     """candidates without those whose categories (array) meet their group's removed ones; a group that would be left empty stays whole.
 
     candidates: group, poi_category; removed: group, remove (array)."""
-    joined = candidates.join(F.broadcast(removed.select(F.col("group").alias("_g"), "remove")), F.col("group") == F.col("_g"), "left")  # removed: a row a query group
+    joined = candidates.join(removed.select(F.col("group").alias("_g"), "remove"), F.col("group") == F.col("_g"), "left")
     gone = F.when(F.col("poi_category").isNull() | (F.size("poi_category") == 0), F.lit(not keep_null)).otherwise(F.coalesce(F.arrays_overlap("poi_category", "remove"), F.lit(False)))
     marked = joined.withColumn("_gone", gone)
     alive = marked.groupBy(F.col("group").alias("_h")).agg(F.max(~F.col("_gone")).alias("_alive"))
-    return marked.join(F.broadcast(alive), F.col("group") == F.col("_h")).where(~F.col("_gone") | ~F.col("_alive")).drop("_g", "remove", "_gone", "_h", "_alive")
+    return marked.join(alive, F.col("group") == F.col("_h")).where(~F.col("_gone") | ~F.col("_alive")).drop("_g", "remove", "_gone", "_h", "_alive")
 
 
 def drop_blocked(candidates: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -197,7 +199,7 @@ def in_scope(candidates: DataFrame, inside: Column) -> DataFrame:
 
 def resolve_category(queries: DataFrame, subnames: DataFrame) -> DataFrame:
     """(query, category) where exactly one category's sub-name or synonym fits. subnames: name, id."""
-    hit = queries.join(F.broadcast(subnames), F.col("query") == F.col("name"))
+    hit = queries.join(subnames, F.col("query") == F.col("name"))
     return hit.groupBy("query").agg(F.count_distinct("id").alias("n"), F.min("id").alias("category")).where("n = 1").drop("n")
 
 

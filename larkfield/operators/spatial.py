@@ -7,24 +7,43 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkfield.functions.geo import LAT_M, LNG_M, TURF_M, bearing, haversine, in_circle_polygon, in_polygon, to_line, towards
+from larkfield.functions.geo import EARTH_M, LAT_M, LNG_M, TURF_M, bearing, haversine, in_circle_polygon, in_polygon, to_line, towards
+from larkfield.functions.text import normalised_search_name
 
 
-def _cells(df: DataFrame, metres: float, most_lat: float, spread: bool) -> DataFrame:
-    """df with its grid cell (_cx, _cy), or with the nine around it. Cells are at least `metres` wide up to latitude most_lat."""
-    dy, dx = metres * 1.02 / LAT_M, metres * 1.02 / (LNG_M * math.cos(math.radians(most_lat)))
-    x, y = F.floor(F.col("lng") / dx), F.floor(F.col("lat") / dy)
-    if not spread:
-        return df.withColumn("_cx", x).withColumn("_cy", y)
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return df.withColumn("_s", F.explode(steps)).withColumn("_cx", x + F.col("_s.i")).withColumn("_cy", y + F.col("_s.j")).drop("_s")
+def _reach(top: Column, angle: float) -> Column:
+    """Degrees of longitude that a circle of `angle` radians spans to either side, its centre at most `top` degrees from the equator; 360 around a pole."""
+    return F.when(top + math.degrees(angle) >= 89.9999, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(angle) / F.cos(F.radians(F.least(top, F.lit(89.9999)))))))) * 1.0001
+
 
+def _columns(band: Column, height: float, angle: float) -> Column:
+    """The number of equal columns around the globe that a latitude band is cut into, each as wide as a circle's reach in it."""
+    return F.greatest(F.lit(1), F.floor(360 / _reach(F.greatest(F.abs(band * height), F.abs((band + 1) * height)), angle)))
 
-def pairs_within(a: DataFrame, b: DataFrame, metres: float, distance=None, most_lat: float = 60.0, where: Column | None = None) -> DataFrame:
-    """(a_id, b_id, distance) of points at most `metres` apart. Rows with null coordinates match nothing."""
+
+def _cells(df: DataFrame, metres: float, spread: bool) -> DataFrame:
+    """df with its cell (_cx, _cy); spread: with all cells that a circle of `metres` touches. Bands of latitude are as high as the radius and have
+    columns of their own, so that cells hold like areas from the equator to the poles; columns go round the globe."""
+    angle = metres * 1.01 / EARTH_M
+    height = math.degrees(angle)
+    east = F.pmod(F.col("lng") + 180, F.lit(360.0))
+    band = F.floor(F.col("lat") / height)
+    if not spread:
+        n = _columns(F.col("_cy"), height, angle)
+        return df.withColumn("_cy", band).withColumn("_cx", F.least(F.floor(east * n / 360), n - 1))
+    wide = df.withColumn("_cy", F.explode(F.sequence(band - 1, band + 1))).withColumn("_n", _columns(F.col("_cy"), height, angle))
+    own = _reach(F.abs("lat"), angle)
+    first, last = F.floor((east - own) * F.col("_n") / 360), F.floor((east + own) * F.col("_n") / 360)
+    n = F.col("_n")
+    touched = F.when(last - first + 1 >= n, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, n)))
+    return wide.withColumn("_cx", F.explode(touched)).drop("_n")
+
+
+def pairs_within(a: DataFrame, b: DataFrame, metres: float, distance=None, where: Column | None = None) -> DataFrame:
+    """(a_id, b_id, distance) of points at most `metres` apart, anywhere on the globe. Rows with null coordinates match nothing."""
     distance = distance or (lambda y1, x1, y2, x2: haversine(y1, x1, y2, x2, TURF_M, "atan2"))
-    left = _cells(a.where("lat is not null and lng is not null").select(F.col("id").alias("a_id"), "lat", "lng"), metres, most_lat, False).withColumnsRenamed({"lat": "a_lat", "lng": "a_lng"})
-    right = _cells(b.where("lat is not null and lng is not null").select(F.col("id").alias("b_id"), "lat", "lng"), metres, most_lat, True).withColumnsRenamed({"lat": "b_lat", "lng": "b_lng"})
+    left = _cells(a.where("lat is not null and lng is not null").select(F.col("id").alias("a_id"), "lat", "lng"), metres, False).withColumnsRenamed({"lat": "a_lat", "lng": "a_lng"})
+    right = _cells(b.where("lat is not null and lng is not null").select(F.col("id").alias("b_id"), "lat", "lng"), metres, True).withColumnsRenamed({"lat": "b_lat", "lng": "b_lng"})
     out = left.join(right, ["_cx", "_cy"]).withColumn("distance", distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).where(F.col("distance") <= metres)
     return (out if where is None else out.where(where)).drop("_cx", "_cy")
 
@@ -57,8 +76,9 @@ def uncovered(targets: DataFrame, results: DataFrame, metres: float = 200.0) ->
 def suggestions(candidates: DataFrame, landmarks: DataFrame, reach: float = 150.0, margin: float = 60.0, most: int = 15) -> DataFrame:
     """Landmarks that have one clearly nearest candidate: within reach, and `margin` nearer than the second; the `most` nearest of each candidate."""
     near = pairs_within(landmarks, candidates, reach + margin).select(F.col("a_id").alias("landmark"), F.col("b_id").alias("candidate"), "distance")
-    two = near.groupBy("landmark").agg(F.min(F.struct("distance", "candidate")).alias("one"), F.collect_list("distance").alias("all"))
-    second = F.get(F.sort_array("all"), F.lit(1))
+    order = Window.partitionBy("landmark").orderBy("distance", "candidate")  # Spark limits the groups to two before the shuffle
+    two = near.withColumn("_r", F.row_number().over(order)).where("_r <= 2").groupBy("landmark").agg(F.min(F.struct("distance", "candidate")).alias("one"), F.max(F.when(F.col("_r") == 2, F.col("distance"))).alias("two"))
+    second = F.col("two")
     clear = two.where((F.col("one.distance") <= reach) & (second.isNull() | (second - F.col("one.distance") >= margin)))
     w = Window.partitionBy("candidate").orderBy("distance", "landmark")
     return clear.select("landmark", "one.candidate", "one.distance").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
@@ -92,10 +112,17 @@ def floors(points: DataFrame, buildings: DataFrame, metres: float = 10.0, storey
 
 
 def around(points: DataFrame, lat: float, lng: float, radius: float) -> DataFrame:
-    """points within radius, with their distance _d. A box bounds what is read."""
-    dy, dx = radius / LAT_M * 1.01, radius / (LNG_M * math.cos(math.radians(lat))) * 1.01
-    box = points.where(F.col("lat").between(lat - dy, lat + dy) & F.col("lng").between(lng - dx, lng + dx))
-    return box.withColumn("_d", haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2")).where(F.col("_d") <= radius)
+    """points within radius, with their distance _d. A box bounds what is read; it goes round the globe and over the poles."""
+    angle = radius * 1.01 / EARTH_M
+    box = F.col("lat").between(lat - math.degrees(angle), lat + math.degrees(angle))
+    if abs(lat) + math.degrees(angle) < 89.9999:
+        wide = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat))))) * 1.0001
+        inside = F.col("lng").between(lng - wide, lng + wide)
+        for turn in (360, -360):
+            if lng - wide < -180 or lng + wide > 180:
+                inside = inside | F.col("lng").between(lng - wide + turn, lng + wide + turn)
+        box = box & inside
+    return points.where(box).withColumn("_d", haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2")).where(F.col("_d") <= radius)
 
 
 def _nearest(near: DataFrame, most: int) -> DataFrame:
@@ -121,15 +148,19 @@ def scan_layer(features: DataFrame, layer: str, lat: float, lng: float, radius:
     return _nearest(near, most)
 
 
-def lines_within(mains: DataFrame, lines: DataFrame, radius: float, cell_m: float = 1000.0, most_lat: float = 60.0) -> DataFrame:
-    """(id, line_id, d) of mains and lines (id, line: array<struct<lng,lat>>) whose segments come within radius metres, a row a segment. Lines
-    meet mains by the cells of their segments."""
-    ends = lines.select("id", F.explode(F.zip_with(F.slice("line", 1, F.greatest(F.size("line") - 1, F.lit(0))), F.slice("line", 2, F.greatest(F.size("line") - 1, F.lit(0))), lambda p, q: F.array(p, q))).alias("part"))
-    dy, dx = cell_m / LAT_M, cell_m / (LNG_M * math.cos(math.radians(most_lat)))
-    pad_y, pad_x = radius / LAT_M * 1.02, radius / (LNG_M * math.cos(math.radians(most_lat))) * 1.02
-    span = lambda c, d, pad: F.explode(F.sequence(F.floor((F.least(F.col("part")[0][c], F.col("part")[1][c]) - pad) / d), F.floor((F.greatest(F.col("part")[0][c], F.col("part")[1][c]) + pad) / d)))
-    parts = ends.withColumn("_cx", span("lng", dx, pad_x)).withColumn("_cy", span("lat", dy, pad_y))
-    own = mains.where("lat is not null and lng is not null").select("id", "lat", "lng").withColumn("_cx", F.floor(F.col("lng") / dx)).withColumn("_cy", F.floor(F.col("lat") / dy))
+def lines_within(mains: DataFrame, lines: DataFrame, radius: float, cell_m: float = 1000.0) -> DataFrame:
+    """(id, line_id, d) of mains and lines (id, line: array<struct<lng,lat>>) whose segments come within radius metres, a row a segment, on each
+    main's local plane. Lines meet mains by the cells of their segments; a latitude band has cells as wide as its own degrees are short."""
+    n = F.greatest(F.size("line") - 1, F.lit(0))
+    ends = lines.select("id", F.explode(F.zip_with(F.slice("line", 1, n), F.slice("line", 2, n), lambda p, q: F.array(p, q))).alias("part"))
+    height, pad = cell_m / LAT_M, radius / LAT_M * 1.02
+    degrees = lambda metres: metres / (LNG_M * F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(F.col("_cy") * height), F.abs((F.col("_cy") + 1) * height)))))))  # noqa: E731  in the band, at its far edge
+    width = F.least(F.lit(360.0), degrees(cell_m))
+    low, high = (lambda c: F.least(F.col("part")[0][c], F.col("part")[1][c])), (lambda c: F.greatest(F.col("part")[0][c], F.col("part")[1][c]))
+    parts = ends.withColumn("_cy", F.explode(F.sequence(F.floor((low("lat") - pad) / height), F.floor((high("lat") + pad) / height))))
+    wide = F.least(F.lit(360.0), degrees(radius * 1.02))
+    parts = parts.withColumn("_cx", F.explode(F.sequence(F.floor((low("lng") - wide) / width), F.floor((high("lng") + wide) / width))))
+    own = mains.where("lat is not null and lng is not null").select("id", "lat", "lng").withColumn("_cy", F.floor(F.col("lat") / height)).withColumn("_cx", F.floor(F.col("lng") / width))
     return own.join(parts.withColumnRenamed("id", "line_id"), ["_cx", "_cy"]).withColumn("d", to_line(F.col("lat"), F.col("lng"), F.col("part"))).where(F.col("d") <= radius).select("id", "line_id", "d")
 
 
@@ -157,12 +188,12 @@ def dedup_by_place(points: DataFrame, scale: float = 3000.0, order: str = "id")
 
 
 def union_sources(*sources: DataFrame, name: str = "name") -> DataFrame:
-    """Union in order of priority; of rows with one normalised name and place (to a thousandth of a degree) the first stays."""
+    """Union in order of priority; of rows with one normalised search name and place (to a thousandth of a degree) the first stays."""
     tagged = [s.withColumn("_source", F.lit(k)) for k, s in enumerate(sources)]
     out = tagged[0]
     for s in tagged[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(F.lower(F.regexp_replace(name, r"[\s　・]", "")), F.floor(F.col("lng") * 1000 + 0.5), F.floor(F.col("lat") * 1000 + 0.5)).orderBy("_source", "id")
+    w = Window.partitionBy(normalised_search_name(name), F.floor(F.col("lng") * 1000 + 0.5), F.floor(F.col("lat") * 1000 + 0.5)).orderBy("_source", "id")
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_source")
 
 

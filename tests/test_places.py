@@ -56,6 +56,50 @@ def test_pairs_equal_brute_force(spark, sf_dir):
     assert {(r.a_id, r.b_id) for r in spatial.pairs_within(places(spark, sf_dir), items(spark, sf_dir), 900.0).collect()} == want
 
 
+def far(a, b):
+    """Great circle by the angle between unit vectors, good at any distance."""
+    v = [[math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y))] for y, x in (a, b)]
+    return 2 * geo.TURF_M * math.asin(math.dist(*v) / 2)
+
+
+@pytest.mark.parametrize("lat, lng, spread", [(0.0, 20.0, 1.0), (70.0, 179.99, 2.5), (-70.0, -180.0, 2.5), (89.0, 0.0, 180.0), (89.99, 0.0, 180.0), (-89.999, 50.0, 180.0), (0.0, 180.0, 0.5), (45.0, 179.999, 0.5)])
+def test_pairs_everywhere_on_the_globe(spark, lat, lng, spread):
+    rng = random.Random(int(lat))
+    wrap = lambda x: (x + 180) % 360 - 180
+    points = [(k, max(-90.0, min(90.0, lat + rng.uniform(-0.03, 0.03))), wrap(lng + rng.uniform(-spread, spread) * 0.02)) for k in range(150)] + [(150 + k, max(-90.0, min(90.0, lat + rng.uniform(-0.03, 0.03))), wrap(lng + rng.uniform(-spread, spread))) for k in range(50)]
+    df = spark.createDataFrame(points, "id bigint, lat double, lng double")
+    want = {(a[0], b[0]) for a in points for b in points if far(a[1:], b[1:]) <= 800}
+    assert {(r.a_id, r.b_id) for r in spatial.pairs_within(df, df, 800.0).select("a_id", "b_id").collect()} == want and len(want) > 200
+    near = [r.id for r in spatial.around(df, lat, wrap(lng), 900.0).collect()]
+    assert sorted(near) == [i for i, y, x in points if far((lat, lng), (y, x)) <= 900]
+    covered = df.where("id % 3 = 0")
+    assert {r.id for r in spatial.uncovered(df, covered, 800.0).collect()} == {a for a, *_ in points if not any((a, b) in want for b in range(0, 200, 3))}
+
+
+@pytest.mark.parametrize("lat", [0.0, 70.0, 89.0])
+def test_lines_at_high_latitudes(spark, lat):
+    rng = random.Random(int(lat))
+    scale = 1 / math.cos(math.radians(lat))
+    spot = lambda: (10 + rng.uniform(-0.02, 0.02) * scale, lat + rng.uniform(-0.02, 0.02))
+    points, lines = [(k, *spot()[::-1]) for k in range(80)], [(k, [spot(), spot(), spot()]) for k in range(15)]
+
+    def away(y, x, p, q):
+        s = geo.LNG_M * math.cos(math.radians(y))
+        (a, b), (c, d) = (((u - x) * s, (v - y) * geo.LAT_M) for u, v in (p, q))
+        t = max(0, min(1, -(a * (c - a) + b * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))
+        return math.hypot(a + t * (c - a), b + t * (d - b))
+
+    want = {(i, k, n) for i, y, x in points for k, line in lines for n in (0, 1) if away(y, x, line[n], line[n + 1]) <= 300}
+    got = spatial.lines_within(spark.createDataFrame(points, "id bigint, lat double, lng double"), spark.createDataFrame(lines, "id bigint, line array<struct<lng:double,lat:double>>"), 300.0).collect()
+    assert sorted((r.id, r.line_id) for r in got) == sorted((i, k) for i, k, _ in want) and len(want) > 50
+
+
+def test_union_of_sources_by_normalised_names(spark):
+    rows = lambda *names: spark.createDataFrame([(k, n, 35.0, 139.0) for k, n in enumerate(names)], "id bigint, name string, lat double, lng double")
+    got = spatial.union_sources(rows("ＡＢＣ １", "すし"), rows("abc1", "スシ", "other"))
+    assert sorted(r.name for r in got.collect()) == sorted(["ＡＢＣ １", "すし", "other"])
+
+
 def test_reach_and_scores(spark):
     assert search.reach_of({"meters": 70, "level": "nearby"}).radius_m == 70 and search.reach_of({"level": "far"}).pushback
     assert search.reach_of({"level": "nearby", "method": "isochrone"}).minutes == 5 and search.reach_of({"level": "adjacent", "method": "isochrone"}).radius_m == 50
