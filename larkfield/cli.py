@@ -44,8 +44,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         rows = rows if args.max_batches is None else rows.where(F.col("row_idx") < args.max_batches * args.batch_size)
         save(q.apply_labels(rows.drop("ai_classification"), models.classify(rows, batch=args.batch_size)).orderBy("row_idx"), "classified_analysis_result")
     elif args.command == "ai-retry":
-        chosen = q.retry_targets(rows, args.category, args.max_batches and args.max_batches * args.batch_size)
-        save(q.apply_labels(rows, models.classify(chosen, batch=args.batch_size), args.category).orderBy("row_idx"), "classified_retry_analysis_result")
+        redone = q.retry(rows, lambda r: models.classify(r, batch=args.batch_size), args.category, args.max_batches and args.max_batches * args.batch_size)
+        save(redone.orderBy("row_idx"), "classified_retry_analysis_result")
     elif args.command == "count-classifications":
         save(q.count_labels(rows), "classification_count_analysis_result", True)
     else:

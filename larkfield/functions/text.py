@@ -78,6 +78,11 @@ def plain_address(address: str | None) -> str:
     return re.sub("-+", "-", re.sub(r"[\s,、]+", "", text)).lower()
 
 
+def bare_name(name: str | None) -> str:
+    """NFKC without white space, lower case."""
+    return "".join(unicodedata.normalize("NFKC", name or "").split()).lower()
+
+
 def _series(f):
     def run(values: pd.Series) -> pd.Series:
         return values.map(f)
@@ -85,7 +90,7 @@ def _series(f):
     return F.pandas_udf(run, StringType())
 
 
-normalised_name, normalised_search_name, normalised_address = _series(plain_name), _series(search_name), _series(plain_address)
+normalised_name, normalised_search_name, normalised_address, compact_name = _series(plain_name), _series(search_name), _series(plain_address), _series(bare_name)
 
 
 def clean_name(name: Column) -> Column:

@@ -17,6 +17,19 @@ def _far(a: str, b: str, radius: str = "6371008.8") -> str:
     return f"(2 * {radius} * atan2(sqrt({s}), sqrt(1 - {s})))"
 
 
+def _bearing(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    d = f"(radians({lng2}) - radians({lng1}))"
+    return f"degrees(atan2(sin({d}) * cos(radians({lat2})), cos(radians({lat1})) * sin(radians({lat2})) - sin(radians({lat1})) * cos(radians({lat2})) * cos({d})))"
+
+
+def _turn(x: str, whole: float = 360.0) -> str:
+    return f"(({x}) - {whole} * floor(({x}) / {whole}))"
+
+
+def _compass(x: str) -> str:
+    return f"['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(floor({_turn(x)} / 45 + 0.5)::INT % 8) + 1]"
+
+
 def _rounded(df, col):
     return df.withColumn(col, F.round(col, 3))
 
@@ -47,9 +60,22 @@ now AS (SELECT l.* FROM log l JOIN (SELECT key AS k, arg_max(roundId, seq) AS r
 
 
 def _two_sides(spark, sf_dir):
-    make = lambda df, name: df.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("rank"), name.alias("name"), F.concat(F.lit("tokyo 1-"), (F.col("id") % 23).cast("string")).alias("address"), "lat", "lng")
+    """Pages of 30 places and two items: pages grow in number, not in length."""
+    make = lambda df, name, page: df.select(F.floor(F.col("id") / page).alias("query_id"), F.col("id").alias("rank"), name.alias("name"), F.concat(F.lit("tokyo 1-"), (F.col("id") % 23).cast("string")).alias("address"), "lat", "lng")
     label = F.concat(F.lit("(株) Shop-"), (F.col("id") % 30).cast("string"))
-    return make(places(spark, sf_dir), label), make(items(spark, sf_dir), F.concat(F.lit("shop "), (F.col("id") % 30).cast("string")))
+    return make(places(spark, sf_dir), label, 30), make(items(spark, sf_dir), F.concat(F.lit("ＳＨＯＰ　"), (F.col("id") % 30).cast("string"), F.lit("株式会社")), 2)
+
+
+def _named_sources(spark, sf_dir):
+    """Places with katakana names and items with hiragana ones, on a coarse grid so that many share name and place."""
+    coarse = lambda df, word: df.select("id", F.concat(F.lit(word), (F.col("id") % 7).cast("string")).alias("name"), *((F.floor(F.col(c) * 20) / 20).alias(c) for c in ("lat", "lng")))
+    return coarse(places(spark, sf_dir), "ショップ　"), coarse(items(spark, sf_dir), "しょっぷ ")
+
+
+def _asked(spark, sf_dir):
+    """Places as queries of four wordings."""
+    word = F.element_at(F.array(*map(F.lit, ("渋谷区", "東京駅", " ", "カフェ"))), (F.col("id") % 4 + 1).cast("int"))
+    return places(spark, sf_dir).select("id", word.alias("query"))
 
 
 def _slices(spark, sf_dir):
@@ -90,20 +116,20 @@ QUERIES = {
     "advise_refine": lambda s, d: advisors.refine(places(s, d).where("id % 2 = 0"), places(s, d).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("condition"), F.lit(0.5).alias("closeness")), places(s, d).where("id % 5 = 0").select("id", F.lit("b").alias("condition"), F.lit(0.9).alias("closeness"))),
     "advise_travel_times": lambda s, d: advisors.with_travel_times(places(s, d).select("id"), table(s, d, "events").select(F.col("user_id").alias("dst"), F.col("value").alias("sec"))).where("reach_sec is not null"),
     "geo_facing_roads": lambda s, d: _rounded(advisors.facing_roads(places(s, d), _roads(s, d), (100.0, 300.0, 500.0)).select("id", "road", "class_rank", "distance", "rank"), "distance"),
-    "geo_between": lambda s, d: advisors.next_to_each_other(places(s, d).where("id < 200").select(F.col("id").alias("pair"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("lat") + 0.013).alias("lat2"), (F.col("lng") - 0.011).alias("lng2")), items(s, d)),
+    "geo_between": lambda s, d: advisors.next_to_each_other(places(s, d).select(F.col("id").alias("pair"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("lat") + 0.013).alias("lat2"), (F.col("lng") - 0.011).alias("lng2")), items(s, d)),
     "geo_travel_bearing": lambda s, d: places(s, d).select("id", advisors.travel_bearing(F.col("lat"), F.col("lng"), F.lit(35.05), F.lit(139.05), F.col("id") % 2 == 0)["direction"].alias("direction")),
     "geo_visible": lambda s, d: advisors.visible(places(s, d).withColumn("filterrank", F.when(F.col("id") % 6 != 0, F.col("id") % 14)), 1, 16.5).select("id"),
     "usage_by_role": lambda s, d: advisors.usage(_calls(s, d), 1.0, 5.0).withColumn("cost", F.round("cost", 4)),
     "usage_requests": lambda s, d: advisors.requests(_calls(s, d)),
-    "list_dedup_names": lambda s, d: candidates.dedup_names(_listed(s, d)),
+    "list_dedup_names": lambda s, d: candidates.dedup_names(_listed(s, d), 2000.0),
     "list_dedup_contained": lambda s, d: candidates.dedup_contained(_listed(s, d)),
     "list_spread": lambda s, d: candidates.spread(_listed(s, d), 10),
     "list_near_clusters": lambda s, d: candidates.near_clusters(_listed(s, d), 200.0),
-    "list_hulls": lambda s, d: candidates.hulls(_listed(s, d)).select("group", F.size("ring").alias("corners")),
+    "list_hulls": lambda s, d: candidates.hulls(_listed(s, d), 500.0).select("group", F.size("ring").alias("corners"), F.round(F.array_min(F.transform("ring", lambda p: p["lat"])), 7).alias("south"), F.round(F.array_max(F.transform("ring", lambda p: p["lat"])), 7).alias("north")),
     "text_search_names": lambda s, d: _named(s, d).select("pos", text.normalised_search_name("name").alias("name"), text.normalised_address("address").alias("address")),
     "text_query_types": lambda s, d: _named(s, d).select("pos", text.query_type(F.coalesce("address", F.lit(""))).alias("kind"), text.short_hash(F.col("name")).alias("hash")),
-    "model_classify": lambda s, d: models.classify(query_log(s, d)),
-    "log_retry_update": lambda s, d: querylog.apply_labels(query_log(s, d).withColumn("ai_classification", F.lit("others")), models.classify(query_log(s, d)), "others").select("row_idx", "ai_classification"),
+    "model_classify": lambda s, d: models.classify(_asked(s, d)),
+    "log_retry_update": lambda s, d: querylog.retry(_asked(s, d).select(F.col("id").alias("row_idx"), "query", F.when(F.col("id") % 3 == 0, "poi_brand").otherwise("others").alias("ai_classification")), models.classify, "others", 400).select("row_idx", "ai_classification"),
     "geo_pairs_within": lambda s, d: _rounded(spatial.pairs_within(places(s, d), items(s, d), 800.0).select("a_id", "b_id", "distance"), "distance"),
     "geo_nearest_match": lambda s, d: _rounded(spatial.nearest_match(places(s, d), items(s, d), 800.0), "nearest"),
     "geo_nearest_match_north": lambda s, d: _rounded(spatial.nearest_match(places(s, d), items(s, d), 800.0, "north"), "nearest"),
@@ -116,7 +142,7 @@ QUERIES = {
     "geo_floors": lambda s, d: spatial.floors(places(s, d), _buildings(s, d), 500.0).select("id", F.coalesce("floors", F.lit(0)).alias("floors")),
     "geo_scan": lambda s, d: spatial.scan(places(s, d), 35.05, 139.05, 2000.0).select("id", "distance"),
     "geo_dedup_by_place": lambda s, d: spatial.dedup_by_place(places(s, d), 100.0).select("id"),
-    "geo_union_sources": lambda s, d: spatial.union_sources(places(s, d).where("id < 500"), places(s, d)).select("id", "name"),
+    "geo_union_sources": lambda s, d: spatial.union_sources(*_named_sources(s, d)).select("id", "name"),
     "geo_within_reach": lambda s, d: _rounded(spatial.within_reach(places(s, d), 35.05, 139.05, 4000.0, 1000.0).select("id", "distance"), "distance"),
     "geo_extent": lambda s, d: spatial.extent(places(s, d)).select(*(F.round(c, 6).alias(c) for c in ("min_lng", "min_lat", "max_lng", "max_lat", "lat", "lng"))),
     "search_evaluate": lambda s, d: _scored(s, d).select("id", "hit", "total", "score", "class"),
@@ -134,8 +160,8 @@ QUERIES = {
     "compare_recent_queries": lambda s, d: compare.recent_queries(table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("props").alias("query")), 40),
     "route_islands": lambda s, d: routes.islands(_slices(s, d)),
     "route_simplify": lambda s, d: _rounded(routes.simplify(places(s, d), 2).select("id", "lat2", "lng2", "offset_m"), "offset_m"),
-    "route_precision_table": lambda s, d: routes.precision_table(places(s, d), 6).groupBy("decimals").agg(F.round(F.max("offset_m"), 3).alias("most_m")),
-    "route_add_no_toll": lambda s, d: routes.add_no_toll(*(table(s, d, "events").where(w).select(F.col("event_id").alias("route_id"), F.col("value").alias("duration"), (F.col("value") * 10).alias("distance")) for w in ("event_id % 5 = 0", "event_id % 5 = 1"))),
+    "route_precision_table": lambda s, d: routes.precision_table(places(s, d), 6).groupBy("decimals").agg(F.round(F.max("offset_m"), 2).alias("most_m")),
+    "route_add_no_toll": lambda s, d: routes.add_no_toll(*(table(s, d, "events").where(w).select(F.col("event_id").alias("route_id"), F.col("value").alias("duration"), (F.col("value") * 10).alias("distance")) for w in ("event_id % 2 = 0", "event_id % 2 = 1"))),
 }
 
 _NEAR = BASE + f"x AS (SELECT p.id AS a_id, i.id AS b_id, p.lat, p.lng, i.lat AS lat2, i.lng AS lng2, i.height, {_far('p', 'i')} AS d FROM p JOIN i ON abs(p.lat - i.lat) < 0.02 AND abs(p.lng - i.lng) < 0.02)"
@@ -163,7 +189,7 @@ SELECT min(id) AS id, floors FROM first WHERE floors IS NOT NULL GROUP BY floors
     "geo_facing_roads": BASE + f"""k AS (SELECT *, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 3 THEN 10 END AS c, CASE WHEN id % 3 <> 0 THEN 'r' || id % 5 ELSE 'road ' || id END AS road FROM i WHERE id % 4 <> 2),
 x AS (SELECT p.id, k.id AS road_id, road, c, {_far('p', 'k')} AS d FROM p JOIN k ON abs(p.lat - k.lat) < 0.02 AND abs(p.lng - k.lng) < 0.02), m AS (SELECT id, min(CASE WHEN d <= 100 THEN 100 WHEN d <= 300 THEN 300 ELSE 500 END) AS r FROM x WHERE d <= 500 GROUP BY 1),
 u AS (SELECT x.*, row_number() OVER (PARTITION BY x.id, road ORDER BY c, d, road_id) AS k FROM x JOIN m USING (id) WHERE d <= r) SELECT id, road, c AS class_rank, round(d, 3) AS distance, row_number() OVER (PARTITION BY id ORDER BY c, d, road_id) AS rank FROM u WHERE k = 1""",
-    "geo_between": BASE + "q AS (SELECT id, lat, lng, lat + 0.013 AS lat2, lng - 0.011 AS lng2 FROM p WHERE id < 200) SELECT q.id AS pair, count(i.id) AS blocking FROM q LEFT JOIN i ON i.lat > q.lat AND i.lat < lat2 AND i.lng < q.lng AND i.lng > lng2 GROUP BY 1",
+    "geo_between": BASE + "q AS (SELECT id, lat, lng, lat + 0.013 AS lat2, lng - 0.011 AS lng2 FROM p) SELECT q.id AS pair, count(i.id) AS blocking FROM q LEFT JOIN i ON i.lat > q.lat AND i.lat < lat2 AND i.lng < q.lng AND i.lng > lng2 GROUP BY 1",
     "geo_visible": "SELECT c_custkey AS id FROM customer WHERE c_custkey % 6 = 0 OR c_custkey % 14 <= 7",
     "usage_by_role": f"WITH c AS ({_CALLS}) SELECT role, count(*) AS calls, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output, sum(r)::BIGINT AS cache_read, sum(w)::BIGINT AS cache_write, sum(ms)::BIGINT AS ms, round((sum(i) + sum(r) * 0.1::DOUBLE + sum(w) * 1.25::DOUBLE + sum(o) * 5.0::DOUBLE) / 1e6, 4) AS cost FROM c GROUP BY 1",
     "usage_requests": "SELECT CASE event_id % 5 WHEN 0 THEN 'tile' WHEN 1 THEN 'isochrone' WHEN 2 THEN 'matrix' WHEN 3 THEN 'search' ELSE 'other' END AS purpose, count(*) AS count FROM events GROUP BY 1",
@@ -179,7 +205,8 @@ c AS (SELECT landmark, candidate, d, row_number() OVER (PARTITION BY candidate O
     "geo_floors": _NEAR + ", b AS (SELECT a_id, arg_min(height, struct_pack(d := d, b := b_id)) AS h FROM x WHERE d <= 500 AND height > 0 GROUP BY 1) SELECT p.id, greatest(1, floor(b.h / 3 + 0.5))::INT AS floors FROM p JOIN b ON b.a_id = p.id UNION ALL SELECT id, 0 FROM p WHERE id NOT IN (SELECT a_id FROM b)",
     "geo_scan": BASE + f"o AS (SELECT 35.05 AS lat, 139.05 AS lng), x AS (SELECT p.id, {_far('o', 'p')} AS d FROM p, o) SELECT id, floor(d + 0.5)::BIGINT AS distance FROM x WHERE d <= 2000 ORDER BY d, id LIMIT 50",
     "geo_dedup_by_place": BASE + "x AS (SELECT 1) SELECT min(id) AS id FROM p GROUP BY floor(lat * 100 + 0.5), floor(lng * 100 + 0.5)",
-    "geo_union_sources": BASE + "x AS (SELECT 1) SELECT id, name FROM p",
+    "geo_union_sources": BASE + """u AS (SELECT 0 AS s, id, 'ショップ　' || (id % 7) AS name, id % 7 AS k, floor(lat * 20) AS y, floor(lng * 20) AS x FROM p UNION ALL SELECT 1, id, 'しょっぷ ' || (id % 7), id % 7, floor(lat * 20), floor(lng * 20) FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, y, x ORDER BY s, id) AS r FROM u) SELECT id, name FROM r WHERE r = 1""",
     "geo_within_reach": BASE + f"o AS (SELECT 35.05 AS lat, 139.05 AS lng), x AS (SELECT p.id, {_far('o', 'p')} AS d FROM p, o) SELECT id, round(d, 3) AS distance FROM x WHERE d BETWEEN 1000 AND 4000",
     "geo_extent": BASE + "e AS (SELECT min(lat) a, max(lat) b, min(lng) c, max(lng) d, avg(lat) lat, avg(lng) lng FROM p) SELECT round(c - 150 / (111320 * cos(radians(lat))), 6) AS min_lng, round(a - 150 / 110540.0, 6) AS min_lat, round(d + 150 / (111320 * cos(radians(lat))), 6) AS max_lng, round(b + 150 / 110540.0, 6) AS max_lat, round(lat, 6) AS lat, round(lng, 6) AS lng FROM e",
     "search_evaluate": _evald + " SELECT id, hit::BIGINT AS hit, total::BIGINT AS total, score, class FROM s",
@@ -190,7 +217,7 @@ f AS (SELECT id, n, CASE WHEN mad < 1e-9 THEN q - med > 0.05 ELSE 0.6745 * (q -
     "search_floor_filter": "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 30 <= 12",
     "search_confidence": _evald + ", n AS (SELECT count(*) FILTER (class = 'full') AS \"full\", count(*) FILTER (class = 'partial') AS partial FROM s) SELECT \"full\", partial, CASE WHEN \"full\" = 1 THEN 'decisive' WHEN \"full\" > 1 THEN 'ambiguous' WHEN partial > 0 THEN 'tentative' ELSE 'none' END AS label FROM n",
     "search_travel_times": "SELECT user_id AS dst, min(value) AS sec FROM events GROUP BY 1",
-    "compare_match_classes": BASE + f"""j AS (SELECT p.id % 40 AS query_id, p.id AS rank, coalesce(p.id % 30 = i.id % 30, false) AS n, coalesce(('tokyo1-' || p.id % 23) LIKE '%' || ('tokyo1-' || i.id % 23), false) OR coalesce(('tokyo1-' || i.id % 23) LIKE '%' || ('tokyo1-' || p.id % 23), false) OR coalesce({_far('p', 'i', '6371000.0')} <= 50, false) AS a FROM p LEFT JOIN i ON p.id % 40 = i.id % 40)
+    "compare_match_classes": BASE + f"""j AS (SELECT p.id // 30 AS query_id, p.id AS rank, coalesce(p.id % 30 = i.id % 30, false) AS n, coalesce(('tokyo1-' || p.id % 23) LIKE '%' || ('tokyo1-' || i.id % 23), false) OR coalesce(('tokyo1-' || i.id % 23) LIKE '%' || ('tokyo1-' || p.id % 23), false) OR coalesce({_far('p', 'i', '6371000.0')} <= 50, false) AS a FROM p LEFT JOIN i ON p.id // 30 = i.id // 2)
 SELECT query_id, rank, CASE WHEN max((n AND a)::INT) = 1 THEN 'both' WHEN max(n::INT) = 1 THEN 'name' WHEN max(a::INT) = 1 THEN 'address' ELSE 'none' END AS match FROM j GROUP BY 1, 2""",
     "compare_row_states": LOG + " SELECT key, coalesce(arg_min(state, seq) FILTER (type = 'state'), CASE WHEN count(*) FILTER (type = 'ticket') > 0 THEN 'problem' END, 'untested') AS state, arg_min(reason, seq) FILTER (type = 'state') AS reason, count(*) FILTER (type = 'ticket') AS tickets FROM now GROUP BY 1",
     "compare_latest_round": LOG + " SELECT seq, key, roundId FROM now",
@@ -201,5 +228,17 @@ SELECT query_id, rank, CASE WHEN max((n AND a)::INT) = 1 THEN 'both' WHEN max(n:
 n AS (SELECT *, CASE WHEN coalesce(lag(m) OVER w, false) AND m AND coalesce(lag(b) OVER w = a, false) THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY route ORDER BY pos)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY route ORDER BY pos)::BIGINT AS island FROM n) SELECT route, island, arg_min(a, pos) AS a, arg_max(b, pos) AS b, count(*) AS slices FROM g WHERE m GROUP BY 1, 2""",
     "route_simplify": BASE + f"q AS (SELECT id, lat, lng, floor(lat * 100 + 0.5) / 100 AS lat2, floor(lng * 100 + 0.5) / 100 AS lng2 FROM p), z AS (SELECT id, lat2 AS lat, lng2 AS lng FROM q) SELECT q.id, q.lat2, q.lng2, round({_far('q', 'z', '6371000.0')}, 3) AS offset_m FROM q JOIN z USING (id)",
-    "route_add_no_toll": "WITH e AS (SELECT event_id AS route_id, value AS duration, value * 10 AS distance FROM events), r AS (SELECT * FROM e WHERE route_id % 5 = 0 ORDER BY duration, route_id LIMIT 4) SELECT * FROM r UNION ALL SELECT * FROM e WHERE route_id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE abs(e.duration - r.duration) < 30 AND abs(e.distance - r.distance) < 100)",
+    "route_add_no_toll": "WITH e AS (SELECT event_id AS route_id, value AS duration, value * 10 AS distance FROM events), r AS (SELECT * FROM e WHERE route_id % 2 = 0 ORDER BY duration, route_id LIMIT 4) SELECT * FROM r UNION ALL SELECT * FROM e WHERE route_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE abs(e.duration - r.duration) < 30 AND abs(e.distance - r.distance) < 100)",
+    "geo_travel_bearing": BASE + f"t AS (SELECT id, {_bearing('35.05::DOUBLE', '139.05::DOUBLE', 'lat', 'lng')} + CASE WHEN id % 2 = 0 THEN 90 ELSE -90 END AS b FROM p) SELECT id, {_compass('b')} AS direction FROM t",
+    "geo_nearest_match_polygon": _NEAR + f", c AS (SELECT a_id, d, {_turn(_bearing('lat2', 'lng2', 'lat', 'lng'), 11.25)} AS b FROM x WHERE d <= 800) SELECT a_id AS id, round(min(d), 3) AS nearest FROM c WHERE d * cos(radians(b) - pi() / 32) <= 800 * cos(pi() / 32) GROUP BY 1",
+    "list_dedup_names": BASE + f"""l AS (SELECT (id // 75)::VARCHAR AS g, id, '店' || (id % 40) || CASE WHEN id % 5 = 0 THEN '店' ELSE '' END AS name, id % 5 = 0 AS b, lat, lng, (id % 97)::DOUBLE AS distance FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY g, name ORDER BY distance, id) AS r FROM l), o AS (SELECT * FROM k WHERE r = 1)
+SELECT g AS "group", id AS pos, id, name, lat, lng, distance FROM o n WHERE b OR NOT EXISTS (SELECT 1 FROM o f WHERE f.g = n.g AND f.b AND starts_with(f.name, n.name) AND {_far('f', 'n', '6371000.0')} <= 2000)""",
+    "text_search_names": BASE + "x AS (SELECT 1) SELECT id AS pos, lower(CASE WHEN id % 9 <> 0 THEN 'X' ELSE '' END || 'Shop' || id) AS name, CASE WHEN id % 7 <> 0 THEN '東京都' || substr('甲乙丙丁戊己庚辛壬癸子', id % 11 + 1, 1) || '市1-' || id ELSE '' END AS address FROM p",
+    "text_query_types": BASE + """x AS (SELECT id, CASE WHEN id % 9 <> 0 THEN 'X' ELSE '' END || 'Shop' || id AS n FROM p) SELECT id AS pos, 'both' AS kind,
+lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(n, ''), c -> ascii(c)::BIGINT)), (a, c) -> xor((a * 33) & 4294967295, c)), 36)) AS hash FROM x""",
+    "model_classify": "SELECT * FROM (VALUES ('渋谷区', 'address'), ('東京駅', 'poi'), (' ', 'broken_query'), ('カフェ', 'others')) t(query, label) WHERE (SELECT count(*) FROM customer) > 3",
+    "log_retry_update": """WITH r AS (SELECT c_custkey AS row_idx, c_custkey % 3 <> 0 AS o, ['address', 'poi', 'broken_query', 'others'][c_custkey % 4 + 1] AS l FROM customer), f AS (SELECT row_idx FROM r WHERE o ORDER BY row_idx LIMIT 400)
+SELECT row_idx, CASE WHEN NOT o THEN 'poi_brand' WHEN row_idx IN (SELECT row_idx FROM f) THEN l ELSE 'others' END AS ai_classification FROM r""",
+    "route_precision_table": BASE + f"q AS (SELECT id, lat, lng, n::INT AS decimals, floor(lat * power(10, n) + 0.5) / power(10, n) AS lat2, floor(lng * power(10, n) + 0.5) / power(10, n) AS lng2 FROM p, range(7) t(n)), z AS (SELECT id, decimals, lat2 AS lat, lng2 AS lng FROM q) SELECT q.decimals, round(max({_far('q', 'z', '6371000.0')}), 2) AS most_m FROM q JOIN z ON q.id = z.id AND q.decimals = z.decimals GROUP BY 1",
 }

@@ -202,6 +202,13 @@ def retry_targets(rows: DataFrame, category: str = "others", most: int | None =
     return chosen if most is None else chosen.orderBy("row_idx").limit(most)
 
 
+def retry(rows: DataFrame, classify, category: str = "others", most: int | None = None) -> DataFrame:
+    """rows with new labels for those of a category, the first `most` by row_idx: these rows only, though others may ask the same. classify: rows -> (query, label)."""
+    chosen = retry_targets(rows, category, most)
+    new = chosen.join(classify(chosen).select(F.col("query").alias("_q"), "label"), F.col("query") == F.col("_q")).select(F.col("row_idx").alias("_i"), "label")
+    return rows.join(new, F.col("row_idx") == F.col("_i"), "left").withColumn("ai_classification", F.coalesce("label", "ai_classification")).drop("_i", "label")
+
+
 def usage_distribution(counts: DataFrame, col: str = "count") -> DataFrame:
     """Queries that occur once, 2 to 10, 11 to 50 and more often."""
     c = F.col(col).try_cast("double")

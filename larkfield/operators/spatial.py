@@ -21,7 +21,7 @@ def _columns(band: Column, height: float, angle: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360 / _reach(F.greatest(F.abs(band * height), F.abs((band + 1) * height)), angle)))
 
 
-def _cells(df: DataFrame, metres: float, spread: bool) -> DataFrame:
+def cells(df: DataFrame, metres: float, spread: bool) -> DataFrame:
     """df with its cell (_cx, _cy); spread: with all cells that a circle of `metres` touches. Bands of latitude are as high as the radius and have
     columns of their own, so that cells hold like areas from the equator to the poles; columns go round the globe."""
     angle = metres * 1.01 / EARTH_M
@@ -42,8 +42,8 @@ def _cells(df: DataFrame, metres: float, spread: bool) -> DataFrame:
 def pairs_within(a: DataFrame, b: DataFrame, metres: float, distance=None, where: Column | None = None) -> DataFrame:
     """(a_id, b_id, distance) of points at most `metres` apart, anywhere on the globe. Rows with null coordinates match nothing."""
     distance = distance or (lambda y1, x1, y2, x2: haversine(y1, x1, y2, x2, TURF_M, "atan2"))
-    left = _cells(a.where("lat is not null and lng is not null").select(F.col("id").alias("a_id"), "lat", "lng"), metres, False).withColumnsRenamed({"lat": "a_lat", "lng": "a_lng"})
-    right = _cells(b.where("lat is not null and lng is not null").select(F.col("id").alias("b_id"), "lat", "lng"), metres, True).withColumnsRenamed({"lat": "b_lat", "lng": "b_lng"})
+    left = cells(a.where("lat is not null and lng is not null").select(F.col("id").alias("a_id"), "lat", "lng"), metres, False).withColumnsRenamed({"lat": "a_lat", "lng": "a_lng"})
+    right = cells(b.where("lat is not null and lng is not null").select(F.col("id").alias("b_id"), "lat", "lng"), metres, True).withColumnsRenamed({"lat": "b_lat", "lng": "b_lng"})
     out = left.join(right, ["_cx", "_cy"]).withColumn("distance", distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).where(F.col("distance") <= metres)
     return (out if where is None else out.where(where)).drop("_cx", "_cy")
 

@@ -132,6 +132,8 @@ def test_lists(spark):
     assert [r.id for r in candidates.spread(df, 3).collect()] == [0, 2, 3]
     assert {r.id for r in candidates.near_clusters(df).collect() if r.cluster is not None} == {3, 4, 5}
     assert len(candidates.hulls(df).first().ring) == 2
+    alone = candidates.hulls(df.where("pos = 0"), 100.0).first().ring
+    assert len(alone) == 32 and all(abs(candidates.planar_metres({"lat": 35.0, "lng": 139.0}, p) - 100) < 0.1 for p in alone)
 
 
 def test_lists_hold_all_places_and_are_bounded(spark, sf_dir, monkeypatch):
@@ -143,7 +145,8 @@ def test_lists_hold_all_places_and_are_bounded(spark, sf_dir, monkeypatch):
     big = place_queries._listed(spark, sf_dir)
     assert big.count() == 20000 and big.groupBy("group").count().agg(F.max("count")).first()[0] == 75
     rows = spark.range(candidates.MOST + 1).selectExpr("'g' as group", "id as pos", "id", "'a' as name", "35.0D + id / 1000D as lat", "139.0D as lng", "1.0D as distance")
-    for operator in (candidates.dedup_names, candidates.near_clusters, candidates.hulls):
+    assert candidates.dedup_names(rows).count() == 1 and len(candidates.hulls(rows).first().ring) == 2  # of any length
+    for operator in (candidates.dedup_contained, candidates.near_clusters, lambda df: candidates.spread(df, 5)):
         with pytest.raises(Exception, match="cap them first"):
             operator(rows).collect()
         assert operator(rows.where("id < 50")).count() > 0
