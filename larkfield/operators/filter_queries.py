@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import geo
 from larkfield.operators import routes, search, spatial
+from larkfield.operators.place_queries import _far
 from larkfield.operators.querylog import with_query_count
 from larkfield.sources.tables import ITEMS_SQL, PLACES_SQL, items, places, query_log, table, with_row_index
 
@@ -66,7 +67,7 @@ QUERIES = {
     "scan_layer_by_place": lambda s, d: spatial.scan_layer(_layers(s, d), "poi", 35.05, 139.05, 6000.0, by_place=2).select("id"),
     "geo_inside_polygon": lambda s, d: spatial.split_by_polygons(places(s, d), _ring(s)).select("id", "inside"),
     "geo_nearest_line": lambda s, d: spatial.nearest_line(places(s, d), _lines(s, d), 400.0).select("id", F.round("nearest", 3).alias("nearest")),
-    "geo_hex_grid": lambda s, d: spatial.hex_grid(s, 35.0, 139.0, 1000.0),
+    "geo_hex_grid": lambda s, d: spatial.hex_grid(s, 35.0, 139.0, 1000.0).select(F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng")),
     "route_truncate": lambda s, d: routes.simplify(places(s, d), 2, "truncate").select("id", "lat2", "lng2"),
     "log_query_count": lambda s, d: with_query_count(query_log(s, d)).select("row_idx", "same_query_count"),
     "log_row_index": lambda s, d: with_row_index(table(s, d, "events").select("event_id")).select("event_id", "row_idx"),
@@ -74,6 +75,7 @@ QUERIES = {
 
 _O = "SELECT id, lng - 0.03 AS a, lat - 0.02 AS b, lng + 0.01 AS c, lat + 0.05 AS d FROM p"
 _OUT = "round({}, 7) AS min_lng, round({}, 7) AS min_lat, round({}, 7) AS max_lng, round({}, 7) AS max_lat"
+_SCAN = BASE + f", o AS (SELECT 35.05::DOUBLE AS lat, 139.05::DOUBLE AS lng), x AS (SELECT i.id, i.lat, i.lng, {_far('o', 'i')} AS d FROM i, o) "
 ORACLE = {
     "filter_in_box": BASE + "SELECT id FROM p WHERE lng BETWEEN 139.02 AND 139.08 AND lat BETWEEN 35.01 AND 35.06",
     "filter_in_scope": BASE + "SELECT id FROM p WHERE lng BETWEEN 139.02 AND 139.08 AND lat BETWEEN 35.01 AND 35.06",
@@ -98,4 +100,14 @@ SELECT id FROM m WHERE NOT gone OR g NOT IN (SELECT g FROM m WHERE NOT gone)""",
 SELECT id, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lng < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 AS inside FROM p, d GROUP BY id""",
     "log_query_count": "SELECT event_id AS row_idx, count(*) OVER (PARTITION BY props) AS same_query_count FROM events",
     "log_row_index": "SELECT event_id, event_id AS row_idx FROM events",
+    "scalar_distance_label": BASE + "SELECT id, CASE WHEN id * 7 < 1000 THEN (id * 7) || ' m' ELSE printf('%.1f', id * 7 / 1000.0::DOUBLE) || ' km' END AS label FROM p",
+    "scan_layer": _SCAN + "SELECT id, floor(d + 0.5)::BIGINT AS distance FROM x WHERE id % 2 = 0 AND id % 3 = 0 AND d <= 6000 ORDER BY d, id LIMIT 50",
+    "scan_layer_by_place": _SCAN + "c AS (SELECT *, row_number() OVER (PARTITION BY floor(lat * 100 + 0.5), floor(lng * 100 + 0.5) ORDER BY d, id) AS r FROM x WHERE id % 2 = 1 AND d <= 6000) SELECT id FROM c WHERE r = 1 ORDER BY d, id LIMIT 50".replace("c AS", ", c AS", 1),
+    "geo_nearest_line": BASE + """, s AS (SELECT p.id, 111320.0::DOUBLE * cos(radians(p.lat)) AS k, (i.lng - p.lng) AS x, (i.lat - p.lat) AS y FROM p JOIN i ON abs(p.lat - i.lat) < 0.02 AND abs(p.lng - i.lng) < 0.02),
+m AS (SELECT id, x * k AS ax, y * 110540.0::DOUBLE AS ay, (x + 0.004::DOUBLE) * k AS bx, (y + 0.004::DOUBLE) * 110540.0::DOUBLE AS bq FROM s),
+t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (bq - ay)) / (power(bx - ax, 2) + power(bq - ay, 2)))) AS t FROM m), d AS (SELECT id, sqrt(power(ax + t * (bx - ax), 2) + power(ay + t * (bq - ay), 2)) AS d FROM t)
+SELECT id, round(min(d), 3) AS nearest FROM d WHERE d <= 400 GROUP BY 1""",
+    "geo_hex_grid": """WITH k AS (SELECT 65 * sqrt(3) * 0.95::DOUBLE AS step, 65 * 1.5::DOUBLE * 0.95::DOUBLE AS rise), g AS (SELECT r, c, step, rise FROM k, range(-100, 101) a(r), range(-100, 101) b(c) WHERE abs(r) <= ceil(1000 / rise) + 1 AND abs(c) <= ceil(1000 / step) + 1)
+SELECT round(35.0 + r * rise / 110540.0::DOUBLE, 9) AS lat, round(139.0 + (c + abs(r % 2) / 2.0::DOUBLE) * step / (111320.0::DOUBLE * cos(radians(35.0::DOUBLE))), 9) AS lng FROM g""",
+    "route_truncate": BASE + "SELECT id, regexp_extract(lat::VARCHAR, '^[0-9]+(\\.[0-9]{1,2})?')::DOUBLE AS lat2, regexp_extract(lng::VARCHAR, '^[0-9]+(\\.[0-9]{1,2})?')::DOUBLE AS lng2 FROM p",
 }

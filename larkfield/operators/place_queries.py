@@ -236,7 +236,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY g, name ORDER BY distance, id) A
 SELECT g AS "group", id AS pos, id, name, lat, lng, distance FROM o n WHERE b OR NOT EXISTS (SELECT 1 FROM o f WHERE f.g = n.g AND f.b AND starts_with(f.name, n.name) AND {_far('f', 'n', '6371000.0')} <= 2000)""",
     "text_search_names": BASE + "x AS (SELECT 1) SELECT id AS pos, lower(CASE WHEN id % 9 <> 0 THEN 'X' ELSE '' END || 'Shop' || id) AS name, CASE WHEN id % 7 <> 0 THEN '東京都' || substr('甲乙丙丁戊己庚辛壬癸子', id % 11 + 1, 1) || '市1-' || id ELSE '' END AS address FROM p",
     "text_query_types": BASE + """x AS (SELECT id, CASE WHEN id % 9 <> 0 THEN 'X' ELSE '' END || 'Shop' || id AS n FROM p) SELECT id AS pos, 'both' AS kind,
-lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(n, ''), c -> ascii(c)::BIGINT)), (a, c) -> xor((a * 33) & 4294967295, c)), 36)) AS hash FROM x""",
+lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(n, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: xor((a * 33) & 4294967295, c)), 36)) AS hash FROM x""",
     "model_classify": "SELECT * FROM (VALUES ('渋谷区', 'address'), ('東京駅', 'poi'), (' ', 'broken_query'), ('カフェ', 'others')) t(query, label) WHERE (SELECT count(*) FROM customer) > 3",
     "log_retry_update": """WITH r AS (SELECT c_custkey AS row_idx, c_custkey % 3 <> 0 AS o, ['address', 'poi', 'broken_query', 'others'][c_custkey % 4 + 1] AS l FROM customer), f AS (SELECT row_idx FROM r WHERE o ORDER BY row_idx LIMIT 400)
 SELECT row_idx, CASE WHEN NOT o THEN 'poi_brand' WHEN row_idx IN (SELECT row_idx FROM f) THEN l ELSE 'others' END AS ai_classification FROM r""",
