@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.operators import models
+from larkfield.operators import assistant, models
 from larkfield.operators import querylog as q
 from larkfield.sources.sinks import output_path, report, stamp, write_csv
 from larkfield.sources.tables import read_query_log, with_row_index
@@ -24,11 +24,22 @@ TRENDS = {
 }
 
 
+CHARTS = {"trend_daily_volume_result": "line", "trend_hourly_volume_result": "bar", "trend_proximity_prefecture_result": "bar", "trend_column_usage_result": "pie"}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """Run a command and return the paths it wrote."""
     needed = ("query", "ai_classification", "datetime") if args.command.startswith("analyze") else ("ai_classification",) if args.command == "count-classifications" else ("query",)
     rows, when, out = with_row_index(read_query_log(spark, args.input, needed)), stamp(), []
 
+    def labelled(df: DataFrame) -> DataFrame:
+        """Labels of df's queries by the model named, or the stand-in; as one batch job or on so many workers."""
+        model = models.load(args.model) if args.model else models.stub
+        if args.batch_api:
+            requests = assistant.batch_requests(df, args.batch_size)
+            return assistant.batch_labels(requests, models.answered(requests, model))
+        return models.classify(df, model, args.batch_size, workers=args.workers)
+
     def save(df: DataFrame, suffix: str, single: bool = False) -> None:
         out.append(output_path(args.out, args.input, suffix, when))
         write_csv(df.drop("row_idx", "first_idx"), out[-1], single=single)
@@ -42,9 +53,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         save(q.count_queries(rows), "count_analysis_result")
     elif args.command == "ai-classify":
         rows = rows if args.max_batches is None else rows.where(F.col("row_idx") < args.max_batches * args.batch_size)
-        save(q.apply_labels(rows.drop("ai_classification"), models.classify(rows, batch=args.batch_size)).orderBy("row_idx"), "classified_analysis_result")
+        save(q.apply_labels(rows.drop("ai_classification"), labelled(rows)).orderBy("row_idx"), "classified_analysis_result")
     elif args.command == "ai-retry":
-        redone = q.retry(rows, lambda r: models.classify(r, batch=args.batch_size), args.category, args.max_batches and args.max_batches * args.batch_size)
+        redone = q.retry(rows, labelled, args.category, args.max_batches and args.max_batches * args.batch_size)
         save(redone.orderBy("row_idx"), "classified_retry_analysis_result")
     elif args.command == "count-classifications":
         save(q.count_labels(rows), "classification_count_analysis_result", True)
@@ -54,7 +65,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         for name, df in found.items():
             save(df, name, True)
         path = output_path(args.out, args.input, "trend_report_ai" if args.command == "analyze-ai" else "trend_report", when, "html")
-        page = report("Query trends", list(found.items()), "" if args.command == "analyze" else "Commentary is written by a model function.")
+        text = assistant.commentary(q.summary_payload(rows), models.load(args.model)) if args.command == "analyze-ai" and args.model else ""
+        page = report("Query trends", list(found.items()), text, charts=CHARTS)
         spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         out.append(path)
         rows.unpersist()
@@ -69,6 +81,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--columns-only", action="store_true")
     p.add_argument("--batch-size", type=int, default=30)
     p.add_argument("--max-batches", type=int)
+    p.add_argument("--model", help="module:function of a model; its environment holds its own credentials")
+    p.add_argument("--batch-api", action="store_true", help="requests in one job, those that fail get the default label")
+    p.add_argument("--workers", type=int, help="batches asked at once")
     p.add_argument("--category", default="others")
     p.add_argument("--top-n", type=int, default=20)
     return p

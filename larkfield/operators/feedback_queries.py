@@ -241,6 +241,15 @@ w AS (SELECT id, pos, {_turn(_bearing('y', 'x', 'lat', 'lng') + ' + 90')} AS way
 m AS (SELECT id, k, (x - lng) * w AS ax, (y - lat) * 110540.0::DOUBLE AS ay, (u - lng) * w AS bx, (v - lat) * 110540.0::DOUBLE AS bq FROM (SELECT *, 111320.0::DOUBLE * cos(radians(lat)) AS w FROM p), l),
 t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (bq - ay)) / (power(bx - ax, 2) + power(bq - ay, 2)))) AS t FROM m)
 SELECT id, count(DISTINCT k) AS routes, count(DISTINCT k) / 4.0::DOUBLE AS share FROM t WHERE sqrt(power(ax + t * (bx - ax), 2) + power(ay + t * (bq - ay), 2)) <= 600 GROUP BY 1""",
+    "search_plan": BASE + f""", o AS (SELECT lat, lng FROM p WHERE id = 5), b AS (SELECT lat - 4800 * 1.02::DOUBLE / 110540.0::DOUBLE AS s, lat + 4800 * 1.02::DOUBLE / 110540.0::DOUBLE AS n, lng - 4800 * 1.02::DOUBLE / (111320.0::DOUBLE * cos(radians(lat))) AS w, lng + 4800 * 1.02::DOUBLE / (111320.0::DOUBLE * cos(radians(lat))) AS e FROM o),
+t AS (SELECT p.id, p.name, p.lat, p.lng, {_far('o', 'p')} AS d FROM p, o, b WHERE p.lat BETWEEN s AND n AND p.lng BETWEEN w AND e), r AS (SELECT * FROM t WHERE d BETWEEN 800 AND 4800),
+c AS (SELECT p.id, p.lat, p.lng FROM p, b WHERE contains(p.name, 'Customer#00000001') AND p.lat BETWEEN s - 816 / 110540.0::DOUBLE AND n + 816 / 110540.0::DOUBLE AND p.lng BETWEEN w - 816 / (111320.0::DOUBLE * cos(radians(n))) AND e + 816 / (111320.0::DOUBLE * cos(radians(n)))),
+x AS (SELECT min(lng) - 800 / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS w, min(lat) - 800 / 110540.0::DOUBLE AS s, max(lng) + 800 / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS e, max(lat) + 800 / 110540.0::DOUBLE AS n, count(*) AS k FROM c),
+m AS (SELECT r.* FROM r, x WHERE (SELECT count(*) FROM r) <= 150 OR x.k = 0 OR (r.lat BETWEEN x.s AND x.n AND r.lng BETWEEN x.w AND x.e) ORDER BY d, id LIMIT 150),
+h AS (SELECT m.id, min({_far('m', 'c')}) AS near FROM m, c GROUP BY 1), q AS (SELECT m.*, CASE WHEN near <= 800 THEN 1 - near / 800 ELSE 0 END AS cond FROM m LEFT JOIN h ON h.id = m.id),
+s AS (SELECT *, round((0.2 * 0.4 + 0.7 * cond + greatest(0, 1 - d / 4800)) / 1.9, 3) AS score, round((0.2 * 0.4 + 0.7 * cond) / 0.9, 3) AS q FROM q), k AS (SELECT * FROM s WHERE q >= 0.3),
+md AS (SELECT median(q) AS med, count(*) AS n FROM k), mad AS (SELECT median(abs(q - med)) AS mad FROM k, md), f AS (SELECT k.*, n, CASE WHEN mad < 1e-9 THEN q - med > 0.05 ELSE 0.6745 * (q - med) / mad > 3.5 END AS o FROM k, md, mad), z AS (SELECT count(*) FILTER (o) AS z FROM f)
+SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, name, lat, lng, score FROM f, z WHERE n < 4 OR z = 0 OR z = n OR o""",
     "layer_shelters": _G + f" SELECT id, {_ROUND} FROM g WHERE layer = 'natural_label' AND name IS NOT NULL AND d <= 9000 ORDER BY d, id LIMIT 50",
     "text_clean_names": BASE + "SELECT id, name FROM p",
     "text_search_numerals": BASE + "SELECT id, ['東23丁目', '西105番地', '中08号', 'ショウ10条'][id % 4 + 1] AS name FROM p",

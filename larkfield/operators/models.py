@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -37,15 +38,38 @@ def classify_batch(model: Classifier, queries: list[str], default: str = "others
     return [x if x in CATEGORIES else default for x in labels]
 
 
-def classify(rows: DataFrame, model: Classifier = stub, batch: int = 30, column: str = "query") -> DataFrame:
-    """(query, label) of the distinct queries: each is classified once."""
+def load(name: str) -> Callable:
+    """A model by module:function."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def answered(requests: DataFrame, model: Classifier) -> DataFrame:
+    """(custom_id, labels) of batch requests (custom_id, queries); no row for a request that fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, queries in zip(frame["custom_id"], frame["queries"]):
+                try:
+                    out.append((name, list(model(list(queries)))))
+                except Exception:
+                    continue
+            yield pd.DataFrame(out, columns=["custom_id", "labels"])
+
+    return requests.select("custom_id", "queries").mapInPandas(run, "custom_id string, labels array<string>")
+
+
+def classify(rows: DataFrame, model: Classifier = stub, batch: int = 30, column: str = "query", workers: int | None = None) -> DataFrame:
+    """(query, label) of the distinct queries: each is classified once. workers: batches asked at once, by default as many as there are partitions."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["query"].tolist()
             yield pd.DataFrame({"query": texts, "label": [x for k in range(0, len(texts), batch) for x in classify_batch(model, texts[k : k + batch])]})
 
-    return rows.select(F.coalesce(F.col(column), F.lit("")).alias("query")).distinct().mapInPandas(run, "query string, label string")
+    distinct = rows.select(F.coalesce(F.col(column), F.lit("")).alias("query")).distinct()
+    return (distinct.repartition(workers) if workers else distinct).mapInPandas(run, "query string, label string")
 
 
 def ask(rows: DataFrame, model: Callable[[str], str], column: str = "payload", attempts: int = 3) -> DataFrame:

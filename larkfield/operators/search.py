@@ -191,15 +191,24 @@ def drop_building_names(candidates: DataFrame, intent: str) -> DataFrame:
     return candidates.where(~F.coalesce(F.col("name").rlike("(ビル|ビルヂング|ビルディング)$"), F.lit(False))) if intent in ("mansion", "apartment") else candidates
 
 
-def in_scope(candidates: DataFrame, inside: Column) -> DataFrame:
-    """Rows inside; all rows if there are none."""
+def in_scope(candidates: DataFrame, inside: Column, near: Column | None = None) -> DataFrame:
+    """Rows inside; if there are none those `near` (the headless variant: inside the scope with a margin), by default all."""
     n = candidates.agg(F.count_if(inside).alias("_in"))
-    return candidates.crossJoin(F.broadcast(n)).where(inside | (F.col("_in") == 0)).drop("_in")  # n: one row
+    return candidates.crossJoin(F.broadcast(n)).where(inside | ((F.col("_in") == 0) & (F.lit(True) if near is None else near))).drop("_in")  # n: one row
 
 
-def resolve_category(queries: DataFrame, subnames: DataFrame) -> DataFrame:
-    """(query, category) where exactly one category's sub-name or synonym fits. subnames: name, id."""
-    hit = queries.join(subnames, F.col("query") == F.col("name"))
+def resolve_category(queries: DataFrame, subnames: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(query, category) where exactly one category fits: its sub-name is the query, or one of its synonyms (synonym, id) lies inside it. subnames: name, id.
+
+    Synonyms meet the pieces of a query of their lengths, so that nothing is compared with everything."""
+    asked = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
+    hit = asked.join(subnames.select("name", "id"), F.col("query") == F.col("name")).select("query", "id")
+    if synonyms is not None:
+        most = synonyms.agg(F.max(F.length("synonym")).alias("n")).first()["n"] or 0  # a number
+        pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("query") - n + 1, F.lit(1))), lambda k: F.substring(F.col("query"), k, F.lit(n)))
+        if most:
+            parts = asked.select("query", F.explode(F.array_distinct(F.concat(*map(pieces, range(1, most + 1))))).alias("piece"))
+            hit = hit.unionByName(parts.join(synonyms, F.col("piece") == F.col("synonym")).select("query", "id"))
     return hit.groupBy("query").agg(F.count_distinct("id").alias("n"), F.min("id").alias("category")).where("n = 1").drop("n")
 
 

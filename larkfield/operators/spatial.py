@@ -215,6 +215,67 @@ def hex_grid(spark, lat: float, lng: float, half_m: float, radius: float = 65.0,
     return grid.select((F.lit(lat) + y / LAT_M).alias("lat"), (F.lit(lng) + x / (LNG_M * math.cos(math.radians(lat)))).alias("lng"))
 
 
+def grid_scan(points: DataFrame, min_lng: float, min_lat: float, max_lng: float, max_lat: float, radius: float = 65.0, overlap: float = 0.95, ring: Column | None = None, hole: Column | None = None, buffer_m: float = 0.0, places: int = 3) -> DataFrame:
+    """points within radius of a centre of the hexagonal cover of a box, one (the nearest to the middle) of those that share coordinates to `places`
+    decimals, nearest first, with distance to the middle. ring: only centres in that polygon or within buffer_m of its edge count; hole: no
+    points inside it."""
+    lat, lng = (min_lat + max_lat) / 2, (min_lng + max_lng) / 2
+    half = max((max_lat - min_lat) * LAT_M, (max_lng - min_lng) * LNG_M * math.cos(math.radians(lat))) / 2
+    centres = hex_grid(points.sparkSession, lat, lng, half, radius, overlap).where(F.col("lat").between(min_lat - radius / LAT_M, max_lat + radius / LAT_M)).withColumn("id", F.monotonically_increasing_id())
+    if ring is not None:
+        edge = F.concat(ring, F.slice(ring, 1, 1))
+        centres = centres.where(in_polygon(F.col("lat"), F.col("lng"), ring) | (to_line(F.col("lat"), F.col("lng"), edge) <= buffer_m))
+    hit = pairs_within(points, centres, radius).select(F.col("a_id").alias("_id")).distinct()
+    rows = points.join(hit, F.col("id") == F.col("_id"), "left_semi")
+    if hole is not None:
+        rows = rows.where(~in_polygon(F.col("lat"), F.col("lng"), hole))
+    rows = rows.withColumn("_d", haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), TURF_M, "atan2"))
+    cell = [F.floor(F.col(c) * 10**places + 0.5) for c in ("lat", "lng")]
+    one = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_d", "id"))).where("_r = 1").drop("_r")
+    return one.withColumn("distance", F.floor(F.col("_d") + 0.5)).drop("_d").orderBy("distance", "id")
+
+
+def circle_ring(lat: float, lng: float, radius: float, steps: int = 32) -> list[tuple[float, float]]:
+    """The regular polygon of `steps` corners (lng, lat) that stands for a circle."""
+    angle = radius / TURF_M
+    out = []
+    for k in range(steps):
+        turn = -2 * math.pi * k / steps
+        y = math.asin(math.sin(math.radians(lat)) * math.cos(angle) + math.cos(math.radians(lat)) * math.sin(angle) * math.cos(turn))
+        x = math.radians(lng) + math.atan2(math.sin(turn) * math.sin(angle) * math.cos(math.radians(lat)), math.cos(angle) - math.sin(math.radians(lat)) * math.sin(y))
+        out.append((math.degrees(x), math.degrees(y)))
+    return out
+
+
+def reach_area(lat: float, lng: float, least: float | None, most: float | None, speed: float, source=None, usual: tuple[float, float, float, float] | None = None) -> dict:
+    """The area between `least` and `most` minutes from a point: box, outer and hole (rings of lng, lat, or None), too_large.
+
+    source(lat, lng, minutes): a ring, or None where there is none (then a circle by speed, metres a minute, stands in). Without `most` the box is the
+    inner area's, half as large again; if that is nearly as wide as the usual box, too_large, and the usual box."""
+    ring = lambda minutes: (source(lat, lng, minutes) if source else None) or circle_ring(lat, lng, minutes * speed)
+    box = lambda r: (min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r))
+    inner, outer = ring(least) if least is not None else None, ring(most) if most is not None else None
+    if outer is not None:
+        return {"box": box(outer), "outer": outer, "hole": inner, "too_large": False}
+    if inner is None:
+        return {"box": usual, "outer": None, "hole": None, "too_large": False}
+    a, b, c, d = box(inner)
+    if usual and c - a >= 0.9 * (usual[2] - usual[0]):
+        return {"box": usual, "outer": None, "hole": None, "too_large": True}
+    x, y = (a + c) / 2, (b + d) / 2
+    return {"box": (x - (x - a) * 1.5, y - (y - b) * 1.5, x + (c - x) * 1.5, y + (d - y) * 1.5), "outer": None, "hole": inner, "too_large": False}
+
+
+def in_area(points: DataFrame, area: dict) -> DataFrame:
+    """points within an area's box and outer ring, not in its hole."""
+    ring = lambda r: F.array(*(F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in r))
+    a, b, c, d = area["box"]
+    out = points.where(F.col("lng").between(a, c) & F.col("lat").between(b, d))
+    if area["outer"]:
+        out = out.where(in_polygon(F.col("lat"), F.col("lng"), ring(area["outer"])))
+    return out.where(~in_polygon(F.col("lat"), F.col("lng"), ring(area["hole"]))) if area["hole"] else out
+
+
 def extent(points: DataFrame, pad_m: float = 150.0) -> DataFrame:
     """One row: the box of all points with a margin, and their mean."""
     e = points.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lng").alias("c"), F.max("lng").alias("d"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))

@@ -107,7 +107,7 @@ def test_plan_rings_floors_buildings_and_points(spark):
     assert find({"anchors": [station], "within": {"maxMeters": 3000}}, target={"floors": {"min": 5}}) == ["店B", "店C"]
     steps = []
     assert find({"scope": {"text": "港"}}, steps, conditions=[{"type": "poi", "text": "銀行", "distance": {"level": "same_building"}}]) == ["店C"]
-    assert [(name, df.count()) for name, df in steps][:2] == [("reach", 3), ("rules", 1)]
+    assert [(name, df.count()) for name, df in steps][:3] == [("names", 3), ("reach", 3), ("rules", 1)]
     assert len(find({"scope": {"text": "港"}}, conditions=[{"type": "poi", "text": "無い", "distance": {"level": "same_building"}}])) == 3
     assert [r["name"] for r in search_poi.search_poi(poi, {"proximity": {"scope": {"text": "nowhere"}}, "target": {"text": "店"}}, point=(35.02, 139.0), least=0.0).collect()] == ["店C"]
 
