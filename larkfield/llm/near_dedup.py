@@ -275,7 +275,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     links = links.unionByName(verified(third, texts, threshold)).unionByName(large)
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.select("digest", "rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class"), F.col("doc_id").alias("rep_id"), F.struct("doc_id", F.col("rep").alias("row")).alias("first"), F.coalesce("component", "rep").alias("comp"))
-    firsts = classes.groupBy(F.col("comp").alias("whole")).agg(F.min("first").alias("least"))
+    # written: apart from its aggregate the join below can be split where one component holds most classes
+    classes = written(classes, "clustered")
+    firsts = written(classes.groupBy(F.col("comp").alias("whole")).agg(F.min("first").alias("least")), "firsts")
     classes = classes.join(firsts, F.col("comp") == F.col("whole")).select("class", "rep_id", "least")
     alone = sketch.where("digest is null or doc_id is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept"), "row")
     rest = known.select("doc_id", "row", "digest").join(classes, F.col("digest") == F.col("class")).select("doc_id", "rep_id", F.col("least.doc_id").alias("cluster_id"), (F.col("row") == F.col("least.row")).alias("kept"), "row")
