@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +125,12 @@ class Model:
             return self
         self.start()
         rng = np.random.default_rng(self.seed)
-        words = [WORD.findall(t.lower()) for t in texts]
         index: dict[str, int] = {}
-        rows = [np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int64, len(ws)) for ws in words]
+        rows, guess = [], []  # a text's words as numbers: each distinct word is held once
+        for text in texts:
+            words = WORD.findall(text.lower())
+            guess.append(language(words))
+            rows.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
         feats = np.array([self.features(w) for w in index] or [[self.buckets] * self.FEATURES], dtype=np.int64)
         order = np.zeros(len(labels), dtype=np.int64)
         for y in (0, 1):
@@ -207,7 +211,7 @@ class Model:
         # thresholds: by guessed language where it has enough rows of both classes, else over all
         check = np.flatnonzero(held) if held.any() else train
         logits = self.logits([texts[i] for i in check])
-        guess = np.array([language(words[i]) for i in check])
+        guess = np.array(guess)[check]
         y = labels[check]
         everywhere = _threshold(logits, y)
         self.thresholds = {"": everywhere}
@@ -237,7 +241,10 @@ class Model:
             lists = [WORD.findall(t.lower()) for t in texts[a:b]]
             langs += [language(x) for x in lists]
             flat = [w for x in lists for w in x]
-            if new := [w for w in dict.fromkeys(flat) if w not in index]:
+            at = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+            if len(lacking := np.flatnonzero(at < 0)):
+                met = [flat[i] for i in lacking.tolist()]
+                new = list(dict.fromkeys(met))
                 rows = self.embed[np.array([self.features(w) for w in new])].sum(1)
                 n0, table = len(index), cache.get("table")
                 if table is None or n0 + len(new) > len(table):
@@ -247,7 +254,7 @@ class Model:
                     cache["table"] = table = bigger
                 table[n0 : n0 + len(new)] = rows
                 index.update(zip(new, range(n0, n0 + len(new))))
-            at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+                at[lacking] = [index[w] for w in met]
             n = np.array([len(x) for x in lists])
             starts = np.cumsum(n) - n
             p = cache["table"][at] @ kernel if len(at) else np.zeros((0, kernel.shape[1]), np.float32)
