@@ -14,6 +14,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from larkfield.llm.common import map_texts, text_of
 
-#: Pre-tokens a worker remembers before it starts anew; bounds its memory, not its results.
-CACHE_WORDS = 150_000
+#: Pre-tokens a worker remembers before it forgets most; bounds its memory, not its results.
+CACHE_WORDS = 450_000
+#: Bytes of text that are encoded at once.
+STEP_BYTES = 500_000
 #: Below this code point lower-casing, composition and classes are those of Python's tables; a text beyond it goes through the library's own normalizer.
 PLAIN = 0x250
 #: Marks of pre-tokens that are not plain words; beyond PLAIN, so no plain word begins with them.
@@ -77,13 +80,16 @@ class WordBpe:
         letters, numbers = _classes("L"), _classes("N")
         self.words = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^\\s{letters}{numbers}]+".replace("\\s", r"\t-\r \x85\xa0"))
         self.odd = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.start, self.count, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
 
+    def forget(self) -> None:
+        """Keep a third of the words, those met first: frequent ones are among them."""
+        self.n = min(self.n, CACHE_WORDS // 3)
+        self.index = dict(islice(self.index.items(), self.n))
+        self.used = int(self.start[self.n - 1] + self.count[self.n - 1]) if self.n else 0
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty byte words: (all ids in order, ids per word)."""
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -180,7 +186,10 @@ class WordBpe:
                 elif part:
                     words += self._pretokens(part)
             per_text[k] = len(words) - before
-        if new := set(words).difference(index):
+        at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(lacking := np.flatnonzero(at < 0)):
+            met = [words[i] for i in lacking.tolist()]
+            new = set(met)
             special = [w for w in new if w[0] == SPECIAL]
             if rest := sorted(new.difference(special)):
                 self._learn(rest)
@@ -192,7 +201,7 @@ class WordBpe:
                 self.flat[self.used], self.start[self.n], self.count[self.n] = self.special[w[1:]], self.used, 1
                 index[w] = self.n
                 self.used, self.n = self.used + 1, self.n + 1
-        at = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+            at[lacking] = [index[w] for w in met]
         n = self.count[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -235,4 +244,4 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         return work
 
-    return map_texts(rows, {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string"} if emit == "ids" else {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, start)
+    return map_texts(rows, {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string"} if emit == "ids" else {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, start, STEP_BYTES)

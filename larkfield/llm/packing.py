@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.bpe import encoder
+from larkfield.llm.bpe import STEP_BYTES, encoder
 from larkfield.llm.common import map_texts, text_of, written
 
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, opens boolean, closes boolean"
@@ -43,7 +43,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
         return work
 
-    return written(map_texts(rows, {"part": "int", "part_start": "bigint", "doc_tokens": "bigint", "ids": "binary"}, start), "packing")
+    return written(map_texts(rows, {"part": "int", "part_start": "bigint", "doc_tokens": "bigint", "ids": "binary"}, start, STEP_BYTES), "packing")
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
