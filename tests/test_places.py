@@ -140,6 +140,12 @@ def test_nearest_north_measures_copies_once(spark, monkeypatch):
     assert 0 < count < 100  # of 120,000 pairs of rows
 
 
+def test_nearest_in_polygon_measures_copies_once(spark, monkeypatch):
+    got, count = nearest_copies(spark, monkeypatch, polygon_steps=4)
+    assert got == {i: 222.4 if i % 3 else 111.2 for i in range(900) if i % 3 != 1} | {None: 111.2}
+    assert 0 < count < 100  # of 120,000 pairs of rows
+
+
 @pytest.mark.parametrize("lat", [0.0, 70.0, 89.0])
 def test_lines_at_high_latitudes(spark, lat):
     rng = random.Random(int(lat))
